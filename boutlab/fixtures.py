@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutlab.functions.text import class_name
-from boutlab.schema import AREAS, MAX_ROUNDS, WEIGHT_CLASSES
+from boutlab.operators.totals import pair_up
+from boutlab.schema import AREAS, MAX_ROUNDS, STAT_COLUMNS, WEIGHT_CLASSES
 
 PROTECTED_PART = "red plate"
 CLASS_NAMES = [n.title() for n in WEIGHT_CLASSES]
@@ -247,5 +247,122 @@ def history(bouts: DataFrame) -> DataFrame:
     return bouts.filter(F.col("bout_date") < last_day(bouts))
 
 
-def upcoming_class(c: str) -> Column:
-    return class_name(c)
+def bout_odds(bouts: DataFrame) -> DataFrame:
+    """Odds of each quoted bout by corner."""
+    mine = quotes(bouts)
+    swapped = F.col("quote_id") % 3 == 0
+    return mine.select(
+        F.col("quote_id").alias("bout_id"),
+        F.when(swapped, F.col("right_odds")).otherwise(F.col("left_odds")).alias("r_odds"),
+        F.when(swapped, F.col("left_odds")).otherwise(F.col("right_odds")).alias("b_odds"),
+    )
+
+
+def raw_stat_cells(stats: DataFrame) -> DataFrame:
+    """Landed and attempted as one text per area: ``109 of 156``."""
+    return stats.select(
+        "stats_id", *[F.expr(f"concat({a}_landed, ' of ', {a}_attempted) AS {a}") for a in AREAS]
+    )
+
+
+def _round_text(name: str, side: str = "") -> str:
+    landed, attempted = f"{side}{name}_landed", f"{side}{name}_attempted"
+    return (
+        f"concat({landed}, ' of ', {attempted}, ' - ', "
+        f"{landed} * 100 div greatest({attempted}, 1), '%')"
+    )
+
+
+def raw_round_cells(stats: DataFrame) -> DataFrame:
+    """One text per round fought: ``51 of 69 - 74%``."""
+    cells = ", ".join(f"{n}, {_round_text(f'round_{n}_sig_str')}" for n in range(1, MAX_ROUNDS + 1))
+    return stats.selectExpr(
+        "stats_id", f"stack({MAX_ROUNDS}, {cells}) AS (round, text)"
+    ).filter("text IS NOT NULL")
+
+
+def raw_dates(bouts: DataFrame) -> DataFrame:
+    return bouts.select(
+        "bout_id",
+        F.date_format("bout_date", "MMMM dd, yyyy").alias("card_text"),
+        F.date_format("bout_date", "MMM dd, yyyy").alias("birth_text"),
+        F.date_format("bout_date", "MM.dd.yyyy").alias("quote_text"),
+    )
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """A target for every page; the stored pages do not link to each other."""
+    count = pages.agg(F.count(F.lit(1))).scalar()
+    return pages.select("page_id", ((F.col("page_id") * 7 + 1) % count).alias("target_page_id"))
+
+
+def _cell(expression: str) -> str:
+    red, blue = expression.format("r_"), expression.format("b_")
+    return f"'<td class=\"b-fight-details__table-col\"><p>', {red}, '</p><p>', {blue}, '</p></td>'"
+
+
+def _of(area: str) -> str:
+    return f"concat({{0}}{area}_landed, ' of ', {{0}}{area}_attempted)"
+
+
+def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
+    """A page per bout, in the markup the extraction jobs expect."""
+    wide = bouts.join(pair_up(stats, STAT_COLUMNS), "bout_id")
+
+    def person(side):
+        status = f"CASE WHEN winner = {side}_name THEN 'W' WHEN winner = '' THEN 'D' ELSE 'L' END"
+        return (
+            f"'<div class=\"b-fight-details__person\"><i class=\"b-fight-details__person-status\">', "
+            f"{status}, '</i><h3><a class=\"b-fight-details__person-link\" href=\"/competitor/', "
+            f"{side}_id, '\">', {side}_name, '</a></h3></div>'"
+        )
+
+    def item(label, value):
+        return (
+            "'<i class=\"b-fight-details__text-item\"><i class=\"b-fight-details__label\">"
+            f"{label}</i> ', {value}, ' </i>'"
+        )
+
+    clock = "concat({0}ctrl_time div 60, ':', lpad({0}ctrl_time % 60, 2, '0'))"
+    empty = "''"
+    total_cells = ["{0}kd_landed", _of("sig_str"), empty, _of("total_str"), _of("td"), empty,
+                   "{0}subs_attempted", "{0}reversals", clock]
+    strike_cells = [empty, empty] + [_of(a) for a in ("head", "body", "legs", "distance", "clinch", "ground")]
+    rounds = []
+    for n in range(1, MAX_ROUNDS + 1):
+        red, blue = (_round_text(f"round_{n}_sig_str", s) for s in ("r_", "b_"))
+        rounds.append(
+            f"coalesce(concat('<div class=\"b-fight-details__bar-charts-row\"><i class=\"js-red\"><i>', {red}, "
+            f"'</i></i><i class=\"js-blue\"><i>', {blue}, '</i></i></div>'), '')"
+        )
+    parts = [
+        "'<html><body><i>Date:</i> '", "date_format(bout_date, 'MMMM dd, yyyy')",
+        "'<i>Location:</i> Hall '", "bout_id % 9",
+        person("r"), person("b"),
+        "'<div class=\"b-fight-details__fight\"><i class=\"b-fight-details__fight-title\">'",
+        "CASE WHEN championship_fight THEN '<img src=\"/img/belt.png\">' ELSE '<img src=\"/img/perf.png\">' END",
+        "weight_class", "' Bout</i>'",
+        "'<i><i>Method:</i><i style=\"font-style: normal\">'", "win_method", "'</i></i>'",
+        item("Round:", "finish_round"), item("Time:", "finish_time"),
+        item("Time format:", "concat(number_of_rounds, ' Rnd')"),
+        item("Referee:", "concat('<span>Referee ', bout_id % 13, '</span>')"),
+        item("Details:", "concat('after ', finish_time)"),
+        "'</div><table><tbody>'", *[_cell(c) for c in total_cells], "'</tbody></table>'",
+        "'<table><tbody>'", *[_cell(c) for c in strike_cells], "'</tbody></table>'",
+        *rounds, "'</body></html>'",
+    ]
+    return wide.selectExpr(
+        "bout_id AS page_id", "concat('/bout/', bout_id) AS url", f"concat({', '.join(parts)}) AS html"
+    )
+
+
+def quote_pages(quotes: DataFrame) -> DataFrame:
+    """A page per quote; some have another line where the odds should be."""
+    label = F.when(F.col("quote_id") % 6 == 0, "Nickname").otherwise("Betting Odds")
+    cell = F.lit("</td><td>")
+    odds = [F.concat(c, F.lit(" (text)")) for c in ("left_odds", "right_odds")]
+    cells = [odds[0], cell, F.lit("x"), cell, label, cell, F.lit("x"), cell, odds[1]]
+    return quotes.select(
+        F.col("quote_id").alias("page_id"),
+        F.concat(F.lit("<table><tr><td>"), *cells, F.lit("</td></tr></table>")).alias("html"),
+    )

@@ -45,7 +45,7 @@ def attributes(html: Column, tag: str, name: str) -> Column:
 
 
 def text_after(html: Column, label: str, tag: str = "i") -> Column:
-    """The text that follows ``label</tag>``; NULL when the label is absent."""
-    pattern = rf"{re.escape(label)}\s*</{tag}>([^<]*)"
+    """The text that follows ``label</tag>``, bare or in a span; NULL when the label is absent."""
+    pattern = rf"{re.escape(label)}\s*</{tag}>\s*(?:<span[^>]*>)?([^<]*)"
     found = F.regexp_substr(html, F.lit(pattern))
     return F.trim(F.regexp_extract(found, pattern, 1))

@@ -32,7 +32,9 @@ def _axis(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
+        # Seconds of the wall clock; going through a time zone could run backwards for an hour.
+        clock = F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
+        return F.unix_date(F.col(name).cast("date")).cast("long") * 86_400 + clock
     if isinstance(kind, T.DateType):
         return F.unix_date(name).cast("long")
     return F.col(name).cast("long")

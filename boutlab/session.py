@@ -43,3 +43,11 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings the jobs rely on, for sessions built elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Rows have up to 160 columns: let methods the JIT would refuse fall back to smaller ones.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
