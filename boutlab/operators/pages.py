@@ -101,25 +101,27 @@ def extract_tail_text(pages: DataFrame, label: str, tag: str = "i") -> DataFrame
 
 
 def follow_links(start: DataFrame, links: DataFrame, depth: int = 2) -> DataFrame:
-    """Pages reached from the start pages in exactly ``depth`` steps.
+    """The links walked from the start pages: ``step``, ``page_id``, ``target_page_id``.
 
-    ``links`` has ``page_id`` and ``target_page_id``. Only ids travel; fetch the pages afterwards.
-    Each step drops repeated (start, page) pairs, which no later step can tell apart.
+    ``links`` has ``page_id`` and ``target_page_id``. A page is left once per step however many pages
+    lead to it, so the result never exceeds ``depth`` times the links. Only ids travel.
     """
-    reached = start.select(F.col("page_id").alias("start_id"), "page_id").distinct()
-    steps = links.select("page_id", "target_page_id").distinct()
-    for _ in range(depth):
-        reached = (
-            reached.join(steps, "page_id")
-            .select("start_id", F.col("target_page_id").alias("page_id"))
-            .distinct()
-        )
-    return reached
+    edges = links.select("page_id", "target_page_id").distinct()
+    frontier = start.select("page_id").distinct()
+    walked = None
+    for step in range(1, depth + 1):
+        taken = lookup(edges, frontier, ["page_id"], ["target_page_id"], "left_semi")
+        numbered = taken.select(F.lit(step).alias("step"), "page_id", "target_page_id")
+        walked = numbered if walked is None else walked.unionByName(numbered)
+        frontier = taken.select(F.col("target_page_id").alias("page_id")).distinct()
+    return walked
 
 
 def linked_pages(start: DataFrame, links: DataFrame, pages: DataFrame, depth: int = 2) -> DataFrame:
-    reached = follow_links(start, links, depth)
-    return lookup(reached, pages, ["page_id"], ["start_id"], "inner")
+    """The pages reached in exactly ``depth`` steps."""
+    last = follow_links(start, links, depth).filter(F.col("step") == depth)
+    reached = last.select(F.col("target_page_id").alias("page_id")).distinct()
+    return pages.join(reached, "page_id", "left_semi")
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,10 @@
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task. So the keys are counted
 first, on their key and order columns only. While no key has more than ``rows_per_slot`` rows the
-plain window is the plan. Bigger keys are cut into time slots: the window runs per (key, slot) and
-the totals of the earlier slots - at most ``MAX_SLOTS`` small rows per key - are added afterwards.
-Slot bounds come from exact counts, minima and maxima, so a recomputed task cuts at the same places.
+plain window is the plan. Bigger keys are cut into time slots, slots that are still too big are cut
+again: the window runs per (key, slot) and the totals of the earlier slots - one small row per slot -
+are added afterwards. Slot bounds come from exact counts, minima and maxima, so a recomputed task
+cuts at the same places.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import types as T
 ROWS_PER_SLOT = 1_000_000
 # Slots are cut evenly in time, so leave room for uneven ones.
 OVERSPLIT = 8
-MAX_SLOTS = 65_536
-# Copies of a lookup row when the lookup is too big to broadcast.
-LOOKUP_COPIES = 32
+# Cuts of one key per level; a slot number holds three levels in one long.
+MAX_SLOTS = 65_535
+BASE = MAX_SLOTS + 1
+LEVELS = 3
+# Most tasks the facts of one hot lookup key are spread over.
+MAX_COPIES = 4_096
 
 SLOT = "_slot"
 
@@ -51,12 +55,19 @@ def _slot_count(rows: Column, rows_per_slot: int) -> Column:
 
 @dataclass(frozen=True)
 class Slots:
-    """The keys of a frame that are too big for one task, and where to cut them."""
+    """The keys of a frame that are too big for one task, and where to cut them.
+
+    Each level is a small table of (key, slot so far) with the size and the span to cut.
+    """
 
     key: str
     order: tuple[str, ...]
     rows_per_slot: int
-    hot: DataFrame | None
+    levels: tuple[DataFrame, ...]
+
+    @property
+    def cut(self) -> bool:
+        return bool(self.levels)
 
 
 def find_slots(
@@ -64,25 +75,34 @@ def find_slots(
 ) -> Slots:
     """Count the rows of every key; an eager pass over ``key`` and ``order`` only.
 
-    What comes back to the driver is one row per hot key, and each hot key stands for more than
-    ``rows_per_slot`` rows of the input.
+    What comes back to the driver is one row per hot key or slot, and each stands for more than
+    ``rows_per_slot`` rows of the input. A further level looks at the rows of hot keys alone.
     """
-    first, second = order[0], order[-1]
-    hot = (
-        census.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_hot_key"))
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min(_axis(census, first)).alias("_low"),
-            F.max(_axis(census, first)).alias("_high"),
-            F.min(_axis(census, second)).alias("_low2"),
-            F.max(_axis(census, second)).alias("_high2"),
+    first, second = order[0], order[min(1, len(order) - 1)]
+    slots = Slots(key, tuple(order), rows_per_slot, ())
+    while len(slots.levels) < LEVELS:
+        counted = census.withColumn(SLOT, F.lit(0).cast("long"))
+        if slots.cut:
+            counted = add_slots(census, slots).filter(F.col(SLOT) > 0)
+        big = (
+            counted.filter(F.col(key).isNotNull())
+            .groupBy(F.col(key).alias("_hot_key"), F.col(SLOT).alias("_hot_slot"))
+            .agg(
+                F.count(F.lit(1)).alias("_rows"),
+                F.min(_axis(census, first)).alias("_low"),
+                F.max(_axis(census, first)).alias("_high"),
+                F.min(_axis(census, second)).alias("_low2"),
+                F.max(_axis(census, second)).alias("_high2"),
+            )
+            .filter(F.col("_rows") > rows_per_slot)
+            .filter("_low < _high OR _low2 < _high2")
         )
-        .filter(F.col("_rows") > rows_per_slot)
-    )
-    rows = hot.collect()
-    found = census.sparkSession.createDataFrame(rows, hot.schema) if rows else None
-    return Slots(key, tuple(order), rows_per_slot, found)
+        rows = big.collect()
+        if not rows:
+            break
+        found = census.sparkSession.createDataFrame(rows, big.schema)
+        slots = Slots(key, tuple(order), rows_per_slot, (*slots.levels, found))
+    return slots
 
 
 def add_slots(df: DataFrame, slots: Slots) -> DataFrame:
@@ -90,20 +110,21 @@ def add_slots(df: DataFrame, slots: Slots) -> DataFrame:
 
     Rows with a NULL order value come first and belong to the first slot.
     """
-    first, second = slots.order[0], slots.order[-1]
+    first, second = slots.order[0], slots.order[min(1, len(slots.order) - 1)]
     count = _slot_count(F.col("_rows"), slots.rows_per_slot)
-    # All rows of the key at one moment: the tie-break column has to do the cutting.
+    # All rows of the key at one moment: the next order column has to do the cutting.
     slot = F.when(
         F.col("_low") < F.col("_high"),
         _slot_number(_axis(df, first), F.col("_low"), F.col("_high"), count),
     ).otherwise(_slot_number(_axis(df, second), F.col("_low2"), F.col("_high2"), count))
-    return df.join(F.broadcast(slots.hot), F.col(slots.key) == F.col("_hot_key"), "left").select(
-        *df.columns,
-        F.when(F.col("_hot_key").isNull(), F.lit(0))
-        .otherwise(F.coalesce(slot, F.lit(1)))
-        .cast("int")
-        .alias(SLOT),
-    )
+    within = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.coalesce(slot, F.lit(1)))
+    slotted = df.withColumn(SLOT, F.lit(0).cast("long"))
+    for level in slots.levels:
+        same = (F.col(slots.key) == F.col("_hot_key")) & (F.col(SLOT) == F.col("_hot_slot"))
+        slotted = slotted.join(F.broadcast(level), same, "left").select(
+            *df.columns, (F.col(SLOT) * BASE + within).cast("long").alias(SLOT)
+        )
+    return slotted
 
 
 def _up_to_here(slots: Slots, *extra: str) -> str:
@@ -134,7 +155,7 @@ def running_sums(
         text = f"sum({{0}}) OVER {frame} {own}AS {{0}}"
         return [text.format(c) if c in wanted else c for c in df.columns]
 
-    if slots.hot is None:
+    if not slots.cut:
         return df.selectExpr(*running(_up_to_here(slots)))
 
     slotted = add_slots(df, slots)
@@ -156,7 +177,7 @@ def running_sums(
 
 def running_last(df: DataFrame, slots: Slots, value: str) -> DataFrame:
     """Replace ``value`` by its latest non-NULL occurrence up to this row of the key."""
-    if slots.hot is None:
+    if not slots.cut:
         return df.withColumn(value, F.expr(f"last({value}, true) OVER {_up_to_here(slots)}"))
 
     slotted = add_slots(df, slots)
@@ -183,29 +204,27 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers from ``start + 1`` along ``order`` without a single-task window.
 
-    ``order`` has to be unique; its first column has to be numeric, a date or a timestamp.
+    ``order`` has to be unique; its first two columns have to be numbers, dates or timestamps unless
+    the frame fits one task.
     """
-    axis = _axis(df, order[0])
-    span = df.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("rows"), F.min(axis).alias("low"), F.max(axis).alias("high")
-        )
-    ).scalar()
-    slots = _slot_count(span["rows"], rows_per_slot)
-    slotted = df.withColumn(
-        SLOT, F.coalesce(_slot_number(axis, span["low"], span["high"], slots), F.lit(1)).cast("int")
-    )
-    counts = slotted.groupBy(SLOT).agg(F.count(F.lit(1)).alias("_n"))
-    # One small row per slot, at most MAX_SLOTS of them.
-    offsets = counts.select(
-        SLOT,
-        F.sum("_n")
-        .over(Window.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_offset"),
-    )
     start = F.lit(start) if isinstance(start, int) else start
-    place = F.row_number().over(Window.partitionBy(SLOT).orderBy(*order))
-    return slotted.withColumn("_place", place).join(offsets, SLOT, "left").select(
+    axis = _axis(df, order[0])
+    span = df.agg(F.count(F.lit(1)), F.min(axis), F.max(axis)).first()
+    if span[0] <= rows_per_slot:
+        place = F.row_number().over(Window.orderBy(*order))
+        return df.withColumn(name, (start + place).cast("long"))
+
+    rows, low, high = (F.lit(v) for v in span)
+    part = F.coalesce(_slot_number(axis, low, high, _slot_count(rows, rows_per_slot)), F.lit(1))
+    parted = df.withColumn("_part", part.cast("long"))
+    slots = find_slots(parted.select("_part", *order), "_part", order, rows_per_slot)
+    slotted = add_slots(parted, slots)
+    counts = slotted.groupBy("_part", SLOT).agg(F.count(F.lit(1)).alias("_n"))
+    # One small row per slot goes through one task here.
+    earlier = Window.orderBy("_part", SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", SLOT, F.sum("_n").over(earlier).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_part", SLOT).orderBy(*order))
+    return slotted.withColumn("_place", place).join(offsets, ["_part", SLOT], "left").select(
         *df.columns,
         (start + F.coalesce("_offset", F.lit(0)) + F.col("_place")).cast("long").alias(name),
     )
@@ -227,17 +246,49 @@ def lookup(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    copies: int = LOOKUP_COPIES,
+    rows_per_task: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """Join facts to a table that is unique on ``on``, whatever the key distribution of the facts.
 
-    A table within Spark's broadcast limit is left to Spark, which broadcasts it. A bigger one is
-    copied ``copies`` times and the facts are spread over the copies by a hash of ``spread``, so a
-    hot key (or a pile of NULL keys) lands in many tasks.
+    A table within Spark's broadcast limit is left to Spark, which broadcasts it. For a bigger one
+    the facts' keys are counted first. Only the table rows of hot keys are copied, and the facts of
+    such a key are spread over the copies by a hash of ``spread``; NULL keys, which match nothing,
+    are spread as well.
     """
     on = list(on)
     if estimated_bytes(table) <= broadcast_limit(facts.sparkSession):
         return facts.join(table, on, how)
-    salted = facts.withColumn("_copy", F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int"))
-    copied = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return salted.join(copied, on + ["_copy"], how).drop("_copy")
+    return spread_lookup(facts, table, on, spread, how, rows_per_task)
+
+
+def spread_lookup(facts, table, on, spread, how, rows_per_task):
+    """``lookup`` for a table too big to broadcast."""
+    hash_of_row = F.xxhash64(*spread)
+    known = facts.dropna(subset=on)
+    size = F.least(F.ceil(F.col("_rows") / F.lit(float(rows_per_task))), F.lit(MAX_COPIES))
+    # Each row collected stands for more than `rows_per_task` facts.
+    hot = (
+        known.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > rows_per_task)
+        .select(*on, size.cast("int").alias("_copies"))
+    )
+    rows = hot.collect()
+    unmatched = F.lit(False)
+    for c in on:
+        unmatched = unmatched | F.col(c).isNull()
+    anywhere = F.pmod(hash_of_row, F.lit(MAX_COPIES))
+    if not rows:
+        placed = facts.withColumn("_copy", F.when(unmatched, anywhere).otherwise(0).cast("int"))
+        copied = table.withColumn("_copy", F.lit(0))
+        return placed.join(copied, on + ["_copy"], how).drop("_copy")
+    copies = F.broadcast(facts.sparkSession.createDataFrame(rows, hot.schema))
+    share = F.pmod(hash_of_row, F.coalesce("_copies", F.lit(1)))
+    placed = (
+        facts.join(copies, on, "left")
+        .withColumn("_copy", F.when(unmatched, anywhere).otherwise(share).cast("int"))
+        .drop("_copies")
+    )
+    numbers = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)
+    copied = table.join(copies, on, "left").withColumn("_copy", F.explode(numbers)).drop("_copies")
+    return placed.join(copied, on + ["_copy"], how).drop("_copy")

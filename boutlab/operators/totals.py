@@ -266,26 +266,26 @@ def previous_bout(
     """
     history = unpivot(
         bouts.filter("r_id IS NOT NULL AND b_id IS NOT NULL"),
-        ["bout_ts AS at", "1L AS place", "bout_id AS previous_bout_id", "bout_ts AS previous_ts"],
+        ["bout_ts AS at", "1L AS place", "bout_id"],
         lambda me, other: {"competitor_id": f"{me}_id"},
     ).selectExpr(
         "competitor_id",
         "at",
         "place",
-        "CAST(NULL AS BIGINT) AS probe_id",
-        "struct(previous_ts, previous_bout_id, corner AS previous_corner) AS previous",
+        "bout_id AS tie",
+        "struct(at AS previous_ts, bout_id AS previous_bout_id, corner AS previous_corner) AS previous",
     )
     asked = probes.filter("competitor_id IS NOT NULL").selectExpr(
-        "competitor_id", "probe_ts AS at", "0L AS place", "probe_id", "NULL AS previous"
+        "competitor_id", "probe_ts AS at", "0L AS place", "probe_id AS tie", "NULL AS previous"
     )
     line = history.unionByName(asked)
-    order = ("at", "place", "probe_id")
+    # Of two bouts at one moment the one with the higher id is the later.
+    order = ("at", "place", "tie")
     slots = find_slots(line.select("competitor_id", *order), "competitor_id", order, rows_per_slot)
-    # Ties between bouts of one moment go to the higher bout id.
     return (
         running_last(line, slots, "previous")
-        .filter("probe_id IS NOT NULL")
-        .selectExpr("probe_id", "competitor_id", "at AS probe_ts", "previous.*")
+        .filter("place = 0")
+        .selectExpr("tie AS probe_id", "competitor_id", "at AS probe_ts", "previous.*")
     )
 
 

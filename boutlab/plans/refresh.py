@@ -16,7 +16,7 @@ from boutlab.operators.quotes import (
     unmatched_quotes,
 )
 from boutlab.operators.resolve import resolve_aliases, resolve_names
-from boutlab.operators.skew import ROWS_PER_SLOT
+from boutlab.operators.skew import ROWS_PER_SLOT, lookup
 from boutlab.operators.snapshots import (
     append_with_keys,
     natural_order,
@@ -96,7 +96,7 @@ def new_competitors(
         .distinct()
         .join(competitors.select("name").distinct(), "name", "left_anti")
     )
-    found = clean_competitors(directory).join(names, "name", "left_semi")
+    found = lookup(clean_competitors(directory), names, ["name"], ["id"], "left_semi")
     # One entry per name, whichever the directory lists twice.
     single = found.groupBy("name").agg(
         *[

@@ -435,11 +435,14 @@ GROUP BY ALL""")
     q["chunk_cells"] = "SELECT page_id, CAST(row AS INTEGER) AS row, " + ", ".join(
         f"items[row * 4 + {i + 1}] AS cell_{i}" for i in range(4)
     ) + f" FROM (SELECT page_id, items, unnest(range(CAST(ceil(len(items) / 4.0) AS BIGINT))) AS row FROM ({ITEMS}))"
-    jump = "(SELECT page_id, (page_id * 7 + 1) % (SELECT count(*) FROM pages) AS t FROM pages)"
-    follow = f"SELECT DISTINCT a.page_id AS start_id, b.t AS page_id FROM {jump} a JOIN {jump} b ON b.page_id = a.t"
-    q["follow_links"] = f"SELECT start_id, page_id FROM ({follow})"
-    q["linked_page_titles"] = f"""SELECT f.start_id, f.page_id, {_strip(title)} AS text
-FROM ({follow}) f JOIN pages p ON p.page_id = f.page_id"""
+    walk = {
+        "edge": "SELECT page_id, (page_id * 7 + 1) % (SELECT count(*) FROM pages) AS target_page_id, url FROM pages",
+        "one": "SELECT page_id, target_page_id FROM edge WHERE url LIKE 'https%'",
+        "two": "SELECT page_id, target_page_id FROM edge WHERE page_id IN (SELECT target_page_id FROM one)",
+    }
+    q["follow_links"] = sql([], "SELECT 1 AS step, * FROM one UNION ALL SELECT 2, * FROM two", walk)
+    q["linked_page_titles"] = sql([], f"""SELECT page_id, {_strip(title)} AS text FROM pages
+WHERE page_id IN (SELECT target_page_id FROM two)""", walk)
     q["flag_marker"] = r"""SELECT page_id,
   list_contains(regexp_extract_all(html, '<a\s(?:[^>]*\s)?href="([^"]*)"', 1), '/to') AS flag FROM pages"""
     q["flag_title_belt"] = sql(["bouts"], "SELECT bout_id AS page_id, championship_fight AS flag FROM bouts")

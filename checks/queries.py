@@ -287,14 +287,15 @@ def chunk_cells(g):
 
 @query
 def follow_links(g):
-    return pages.follow_links(g.table("pages"), fx.links(g.table("pages")), 2)
+    p = g.table("pages")
+    return pages.follow_links(p.filter(F.col("url").startswith("https")), fx.links(p), 2)
 
 
 @query
 def linked_page_titles(g):
     p = g.table("pages")
     titles = pages.extract_text_field(p, "title")
-    return pages.linked_pages(p, fx.links(p), titles, 2)
+    return pages.linked_pages(p.filter(F.col("url").startswith("https")), fx.links(p), titles, 2)
 
 
 @query
