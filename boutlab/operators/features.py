@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,23 +189,34 @@ def split_random(dataset: DataFrame, key: str = "bout_id", seed: int = 0):
 
 
 def column_mean_std(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population standard deviation of each column: one pass, one row."""
-    return frame.agg(
-        *[F.expr(f"avg({c}) AS {c}_mean") for c in columns],
-        *[F.expr(f"stddev_pop({c}) AS {c}_std") for c in columns],
+    """Mean and population standard deviation of the columns: one row of two arrays.
+
+    The columns travel as one vector through one aggregate, not as hundreds of SQL aggregates.
+    A column with NULLs has no mean, as a NaN would have none.
+    """
+    vectors = VectorAssembler(
+        inputCols=list(columns), outputCol="_vector", handleInvalid="keep"
+    ).transform(frame.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    found = vectors.agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("_vector")).alias("s")
+    ).select(
+        vector_to_array("s.mean").alias("means"),
+        vector_to_array("s.variance").alias("variances"),
+        F.col("s.count").alias("n"),
     )
+    # The summary divides by n - 1.
+    return found.selectExpr("means", "transform(variances, v -> sqrt(v * (n - 1) / n)) AS stds")
 
 
 def mean_std_rows(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The same, one row per column."""
-    wide = column_mean_std(frame, columns)
-    triples = ", ".join(f"'{c}', {c}_mean, {c}_std" for c in columns)
-    return wide.selectExpr(f"stack({len(columns)}, {triples}) AS (feature, mean, std)")
+    names = F.array(*[F.lit(c) for c in columns]).alias("feature")
+    return column_mean_std(frame, columns).select(
+        F.inline(F.arrays_zip(names, F.col("means").alias("mean"), F.col("stds").alias("std")))
+    ).toDF("feature", "mean", "std")
 
 
-def standardize(
-    train: DataFrame, rows: DataFrame, columns: Sequence[str]
-) -> DataFrame:
+def standardize(train: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Subtract the training mean, divide by the training deviation; a constant column becomes 0.
 
     The statistics are a single row, fetched once as a scalar subquery.
@@ -210,8 +224,8 @@ def standardize(
     fitted = column_mean_std(train, columns).selectExpr("struct(*) AS s").scalar()
     staged = rows.withColumn("_s", fitted)
     scaled = {
-        c: f"coalesce(try_divide({c} - _s.{c}_mean, _s.{c}_std), if({c} IS NULL, NULL, 0D)) AS {c}"
-        for c in columns
+        c: f"if(_s.stds[{i}] = 0, if({c} IS NULL, NULL, 0D), try_divide({c} - _s.means[{i}], _s.stds[{i}])) AS {c}"
+        for i, c in enumerate(columns)
     }
     return staged.selectExpr(*[scaled.get(c, c) for c in rows.columns])
 

@@ -206,29 +206,32 @@ def bout_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame
 def corner_stats_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
     """Two rows per page with what each corner did; rounds not fought are NULL."""
     bodies = markup.elements(F.col("html"), "tbody")
+
+    def lines(cell):
+        return F.transform(markup.elements(cell, "p"), markup.inner_text)
+
+    def texts(body: int) -> Column:
+        """Per cell the lines of the two corners, found once for all columns of both corners."""
+        return F.transform(markup.elements(F.get(bodies, F.lit(body)), "td", layout.cell), lines)
+
+    def both(row):
+        sides = (layout.red, layout.blue)
+        return F.array(*[markup.inner_text(markup.first_element(row, "i", s)) for s in sides])
+
     staged = pages.select(
         "page_id",
-        markup.elements(F.get(bodies, F.lit(0)), "td", layout.cell).alias("_totals"),
-        markup.elements(F.get(bodies, F.lit(1)), "td", layout.cell).alias("_strikes"),
-        markup.elements(F.col("html"), "div", layout.round_row).alias("_rounds"),
-    ).select(
-        "page_id",
-        "_totals",
-        "_strikes",
-        "_rounds",
+        texts(0).alias("_totals"),
+        texts(1).alias("_strikes"),
+        F.transform(markup.elements(F.col("html"), "div", layout.round_row), both).alias("_rounds"),
         F.posexplode(F.array(F.lit("r"), F.lit("b"))).alias("_place", "corner"),
     )
 
     def value(cells: str, n: int) -> Column:
         """The corner's own line of the n-th cell."""
-        lines = markup.elements(F.get(cells, F.lit(n)), "p")
-        return markup.inner_text(F.get(lines, F.col("_place")))
+        return F.get(F.get(cells, F.lit(n)), F.col("_place"))
 
     def in_round(n: int) -> Column:
-        row = F.get("_rounds", F.lit(n))
-        red = markup.first_element(row, "i", layout.red)
-        blue = markup.first_element(row, "i", layout.blue)
-        return markup.inner_text(F.when(F.col("_place") == 0, red).otherwise(blue))
+        return value("_rounds", n)
 
     sources = {
         area: value("_totals", TOTAL_CELLS[area]) if area in TOTAL_CELLS

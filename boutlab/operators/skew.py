@@ -46,7 +46,8 @@ def _axis(df: DataFrame, name: str) -> Column:
 
 def _slot_number(axis: Column, low: Column, high: Column, slots: Column) -> Column:
     share = (axis - low).cast("double") / (high - low + F.lit(1)).cast("double")
-    return F.least(F.floor(share * slots), slots - 1) + 1
+    # `least` would skip a NULL; a row without an order value belongs to the first slot.
+    return F.when(axis.isNull(), 1).otherwise(F.least(F.floor(share * slots), slots - 1) + 1)
 
 
 def _slot_count(rows: Column, rows_per_slot: int) -> Column:
@@ -117,7 +118,7 @@ def add_slots(df: DataFrame, slots: Slots) -> DataFrame:
         F.col("_low") < F.col("_high"),
         _slot_number(_axis(df, first), F.col("_low"), F.col("_high"), count),
     ).otherwise(_slot_number(_axis(df, second), F.col("_low2"), F.col("_high2"), count))
-    within = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.coalesce(slot, F.lit(1)))
+    within = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(slot)
     slotted = df.withColumn(SLOT, F.lit(0).cast("long"))
     for level in slots.levels:
         same = (F.col(slots.key) == F.col("_hot_key")) & (F.col(SLOT) == F.col("_hot_slot"))
@@ -215,7 +216,7 @@ def number_rows(
         return df.withColumn(name, (start + place).cast("long"))
 
     rows, low, high = (F.lit(v) for v in span)
-    part = F.coalesce(_slot_number(axis, low, high, _slot_count(rows, rows_per_slot)), F.lit(1))
+    part = _slot_number(axis, low, high, _slot_count(rows, rows_per_slot))
     parted = df.withColumn("_part", part.cast("long"))
     slots = find_slots(parted.select("_part", *order), "_part", order, rows_per_slot)
     slotted = add_slots(parted, slots)

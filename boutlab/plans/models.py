@@ -58,9 +58,10 @@ def scaling_stage(train: DataFrame) -> SQLTransformer:
     Fetches one row of two numbers per model column.
     """
     fitted = column_mean_std(dummy_stage().transform(train), MODEL_COLUMNS).first()
+    found = {c: pair for c, *pair in zip(MODEL_COLUMNS, fitted["means"], fitted["stds"])}
 
     def scaled(c):
-        mean, std = fitted[f"{c}_mean"] or 0.0, fitted[f"{c}_std"] or 0.0
+        mean, std = found[c]
         return f"({c} - {mean!r}D) / {std!r}D AS _z_{c}" if std else f"0D AS _z_{c}"
 
     columns = ", ".join(scaled(c) for c in MODEL_COLUMNS)

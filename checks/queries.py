@@ -83,6 +83,11 @@ class Given:
     def raw_competitors(self):
         return fx.raw_competitors(self.spark, self.folder)
 
+    @functools.cached_property
+    def bout_pages(self):
+        """Stored pages, one per bout."""
+        return tables.stage(fx.bout_pages(self.bouts, self.stats), "bout_pages")
+
     @functools.cached_property
     def quotes(self):
         return fx.quotes(self.bouts)
@@ -109,7 +114,15 @@ class Given:
     def stored_totals(self):
         """Totals of the bouts up to the cutoff, with ids."""
         done = self.bouts.filter(F.col("bout_date") <= F.lit(CUTOFF).cast("date"))
-        return with_totals_ids(totals.running_totals(done, self.stats))
+        return tables.stage(
+            with_totals_ids(totals.running_totals(done, self.stats)), "stored_totals"
+        )
+
+    @functools.cached_property
+    def newest_before_card(self):
+        """Stored totals of the bouts before the card, the newest per competitor."""
+        past = with_totals_ids(totals.running_totals(self.history, self.stats))
+        return totals.latest_totals(tables.stage(past, "past_totals"))
 
     @functools.cached_property
     def priced(self):
@@ -305,7 +318,7 @@ def flag_marker(g):
 
 @query
 def flag_title_belt(g):
-    return pages.flag_marker(fx.bout_pages(g.bouts, g.stats), "/img/belt.png")
+    return pages.flag_marker(g.bout_pages, "/img/belt.png")
 
 
 @query
@@ -315,17 +328,17 @@ def slice_items(g):
 
 @query
 def extract_tail_text(g):
-    return pages.extract_tail_text(fx.bout_pages(g.bouts, g.stats), "Referee:")
+    return pages.extract_tail_text(g.bout_pages, "Referee:")
 
 
 @query
 def bout_record_from_page(g):
-    return pages.bout_from_page(fx.bout_pages(g.bouts, g.stats))
+    return pages.bout_from_page(g.bout_pages)
 
 
 @query
 def corner_records_from_page(g):
-    return pages.corner_stats_from_page(fx.bout_pages(g.bouts, g.stats))
+    return pages.corner_stats_from_page(g.bout_pages)
 
 
 @query
@@ -567,16 +580,12 @@ def previous_totals(g):
     return totals.previous_totals(g.bouts, g.stats, wanted).select(*CORNER_KEYS, *wanted)
 
 
-def _newest_before_card(g):
-    return totals.latest_totals(with_totals_ids(totals.running_totals(g.history, g.stats)))
-
-
 @query
 def matchup_join(g):
-    pairs = features.upcoming_pairs(g.card, g.full_competitors, _newest_before_card(g)).withColumn(
+    pairs = features.upcoming_pairs(g.card, g.full_competitors, g.newest_before_card).withColumn(
         "bout_date", fx.last_day(g.bouts)
     )
-    return features.matchup_join(pairs, _newest_before_card(g), g.full_competitors, "card_id").drop(
+    return features.matchup_join(pairs, g.newest_before_card, g.full_competitors, "card_id").drop(
         "weight_class"
     )
 
@@ -809,7 +818,7 @@ def training_dataset_after(g):
 
 def _card_features(g):
     return features.upcoming_features(
-        g.card, fx.last_day(g.bouts), g.full_competitors, _newest_before_card(g)
+        g.card, fx.last_day(g.bouts), g.full_competitors, g.newest_before_card
     )
 
 
@@ -953,9 +962,8 @@ def correct_incorrect(g):
 
 
 def _refresh(g):
-    stored = with_totals_ids(
-        totals.running_totals(g.linked.filter("r_totals_id IS NOT NULL"), g.stats)
-    )
+    done = g.linked.filter("r_totals_id IS NOT NULL")
+    stored = tables.stage(with_totals_ids(totals.running_totals(done, g.stats)), "done_totals")
     return refresh.refresh_totals(g.linked, g.stats, g.competitors, stored, CUTOFF)
 
 
@@ -989,7 +997,7 @@ def _page_refresh(g):
     late = g.bouts.filter(F.col("bout_date") > F.lit(CUTOFF).cast("date"))
     stored = g.bouts.filter(F.col("bout_date") <= F.lit(CUTOFF).cast("date"))
     known = g.competitors.filter(F.col("id") % 7 != 0)
-    found = fx.bout_pages(late, g.stats)
+    found = tables.stage(fx.bout_pages(late, g.stats), "late_pages")
     return refresh.refresh_bouts(found, stored, known, g.raw_competitors)
 
 
@@ -1017,7 +1025,7 @@ def full_refresh(g):
     day = F.lit(CUTOFF).cast("date")
     stored = g.bouts.filter(F.col("bout_date") <= day)
     late = g.bouts.filter((F.col("bout_date") > day) & (F.col("bout_date") < fx.last_day(g.bouts)))
-    pages_in = fx.bout_pages(late, g.stats)
+    pages_in = tables.stage(fx.bout_pages(late, g.stats), "late_pages")
     linked = fx.linked_bouts(stored).withColumns(
         {"r_odds": F.lit(None).cast("string"), "b_odds": F.lit(None).cast("string")}
     )
