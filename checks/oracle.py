@@ -612,7 +612,7 @@ WHERE competitor_id = 7 ORDER BY totals_id DESC LIMIT 1""")
     scaled = ", ".join(
         f"round((d.{c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train), 6) AS {c}" for c in five
     )
-    q["standardize_columns"] = sql(["dataset"], f"SELECT d.bout_id, {scaled} FROM dataset d",
+    q["standardize"] = sql(["dataset"], f"SELECT d.bout_id, {scaled} FROM dataset d",
                                    {"train": f"SELECT * FROM dataset WHERE NOT ({HASHED})"})
     q["training_dataset"] = sql(["dataset"], "SELECT * FROM dataset")
     q["training_dataset_after"] = sql(["bouts", "totals"], """SELECT r.bout_id, r.wins AS r_wins, b.wins AS b_wins,

@@ -796,14 +796,17 @@ def split_random(g):
     return _split(*features.split_random(g.bouts))
 
 
-@query
-def standardize_columns(g):
+def _standardized(g):
     columns = ["r_wins", "b_losses", "r_age", "weight", "b_sig_str_landed"]
     rows = g.dataset.select("bout_id", *columns)
     train, _ = features.split_random(rows)
     return _rounded(features.standardize(train, rows, columns), ["bout_id"])
 
 
+_standardized.__name__ = "standardize"
+query(_standardized)
+
+
 @query
 def training_dataset(g):
     return g.dataset
