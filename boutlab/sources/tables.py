@@ -79,12 +79,21 @@ def write_prediction_report(predictions: DataFrame, path: str, mode: str = "erro
     report_lines(predictions).write.mode(mode).text(path)
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
+def stage(frame: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Store an intermediate table in the shared folder, for a job that reads it several times.
 
-    Also the point a job restarts from when executors are lost.
+    Also the point a job restarts from when executors are lost. ``spread_by`` writes at least one file
+    per core: pages compress so well that few tasks would otherwise read, and parse, all of them.
     """
-    return save_snapshot(frame, scratch_path(frame.sparkSession, name))
+    spark = frame.sparkSession
+    if spread_by:
+        parts = max(
+            spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+        )
+        # By a hash of the key: by the key itself, an earlier shuffle on it would be reused as it is.
+        frame = frame.repartition(parts, F.xxhash64(spread_by))
+    return save_snapshot(frame, scratch_path(spark, name))
 
 
 def save_snapshot(frame: DataFrame, path: str) -> DataFrame:

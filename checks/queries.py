@@ -86,7 +86,7 @@ class Given:
     @functools.cached_property
     def bout_pages(self):
         """Stored pages, one per bout."""
-        return tables.stage(fx.bout_pages(self.bouts, self.stats), "bout_pages")
+        return tables.stage(fx.bout_pages(self.bouts, self.stats), "bout_pages", "page_id")
 
     @functools.cached_property
     def quotes(self):
@@ -1000,7 +1000,7 @@ def _page_refresh(g):
     late = g.bouts.filter(F.col("bout_date") > F.lit(CUTOFF).cast("date"))
     stored = g.bouts.filter(F.col("bout_date") <= F.lit(CUTOFF).cast("date"))
     known = g.competitors.filter(F.col("id") % 7 != 0)
-    found = tables.stage(fx.bout_pages(late, g.stats), "late_pages")
+    found = tables.stage(fx.bout_pages(late, g.stats), "late_pages", "page_id")
     return refresh.refresh_bouts(found, stored, known, g.raw_competitors)
 
 
@@ -1028,7 +1028,7 @@ def full_refresh(g):
     day = F.lit(CUTOFF).cast("date")
     stored = g.bouts.filter(F.col("bout_date") <= day)
     late = g.bouts.filter((F.col("bout_date") > day) & (F.col("bout_date") < fx.last_day(g.bouts)))
-    pages_in = tables.stage(fx.bout_pages(late, g.stats), "late_pages")
+    pages_in = tables.stage(fx.bout_pages(late, g.stats), "late_pages", "page_id")
     linked = fx.linked_bouts(stored).withColumns(
         {"r_odds": F.lit(None).cast("string"), "b_odds": F.lit(None).cast("string")}
     )
