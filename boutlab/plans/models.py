@@ -142,7 +142,11 @@ def name_winners(scored: DataFrame) -> DataFrame:
 
 
 def predict_upcoming(model: PipelineModel, features: DataFrame) -> DataFrame:
-    return name_winners(score(model, features))
+    """Picks for the bouts of a card whose numeric columns are all known.
+
+    A weight class without pounds, say, leaves a bout that no model can place.
+    """
+    return name_winners(score(model, features.dropna(subset=NUMERIC_FEATURES)))
 
 
 def with_folds(train: DataFrame, key: str = "bout_id", folds: int = FOLDS) -> DataFrame:

@@ -76,3 +76,13 @@ def test_winner_is_named_on_its_own_row(spark, rows):
     picks = models.predict_upcoming(model, card).join(two.selectExpr("bout_id AS card_id", "winner AS truth"), "card_id")
     right = picks.filter("winner = if(truth = 'Red', 'Ann', 'Bea')").count()
     assert right / picks.count() > 0.95
+
+
+def test_card_rows_with_unknown_columns_get_no_pick(rows):
+    two = rows.filter("winner <> 'DRAW'")
+    model = models.train_gbt(two, maxIter=1)
+    card = two.withColumn("card_id", F.col("bout_id")).withColumn(
+        "weight", F.when(F.col("bout_id") % 2 == 0, F.col("weight"))
+    )
+    picks = models.predict_upcoming(model, card).collect()
+    assert picks and all(r["card_id"] % 2 == 0 for r in picks)
