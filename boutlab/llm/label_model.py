@@ -47,10 +47,17 @@ def _log_odds(p: float) -> float:
 
 
 def fit_label_model(
-    votes: DataFrame, labelers: Sequence[str], prior: float, accuracy: float = 0.9, rounds: int = 50
+    votes: DataFrame,
+    labelers: Sequence[str],
+    prior: float,
+    accuracy: float = 0.9,
+    rounds: int = 50,
+    weight: str | None = None,
 ) -> LabelModel:
     """Estimate the model by expectation-maximisation, starting from ``prior`` and ``accuracy``.
 
+    ``weight`` names a column that says how many rows a row stands for.
+
     A vote never counts for the opposite of what it says, so that the two classes cannot swap places.
     100 rows at the starting rates are added to the counts, so that a table of few rows stays near
     them; one without rows leaves them as they are.
@@ -59,7 +66,7 @@ def fit_label_model(
         raise ValueError(f"more than {MOST_LABELERS} labelers: too many vote patterns")
     patterns = [
         (tuple(r[name] for name in labelers), r["_rows"])
-        for r in votes.groupBy(*labelers).agg(F.count(F.lit(1)).alias("_rows")).collect()
+        for r in votes.groupBy(*labelers).agg(F.sum(weight or F.lit(1)).alias("_rows")).collect()
     ]
     start = ((accuracy / 2, (1 - accuracy) / 2), ((1 - accuracy) / 2, accuracy / 2))
     model = LabelModel(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutlab.llm import byte_cnn, packing, quality_rules, simhash
+from boutlab.llm import byte_cnn, line_templates, mixing, nn_descent, packing, pii, ppm, quality_rules, sharding, simhash
 from boutlab.sources.tables import read_table
 
 
@@ -16,12 +16,26 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii_ids(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.BASE],
+        F.sha2(pii.written("base_spans"), 256).alias("base_sha256"),
+        pii.written("spans").alias("spans"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read_table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     net = byte_cnn.fit_quality(docs, labels, remainder(3) != 1)
@@ -33,6 +47,27 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
+def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(read_table(spark, sf_dir, "documents"), passed_on=["doc_id"])
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge_quality(docs, passed_on=["doc_id"])
@@ -44,9 +79,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
+    "op3_ppm": op3_ppm,
     "op4_byte_cnn": op4_byte_cnn,
+    "op5_mixing": op5_mixing,
+    "op6_nn_descent": op6_nn_descent,
+    "op7_line_templates": op7_line_templates,
+    "op8_hash_ring": op8_hash_ring,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.mix_sql(),
+    "op7_line_templates": line_templates.drop_recurring_lines_sql(),
+}
