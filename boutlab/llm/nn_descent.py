@@ -323,6 +323,7 @@ def search(vectors: DataFrame, is_query: Column, most: int = 20, settings: Setti
     non-finite components take no part, as queries or neighbours; a repeated vec_id counts once, with
     the least of its vectors; a table of one row or none gives no rows; other columns are ignored.
     """
+    ready_for_python(vectors.sparkSession, 4096)
     known = stage(usable(vectors), "vectors")
     nodes = stage(distinct_vectors(known, most + 1), "vector_nodes")
     codes = stage(lifted(nodes), "vector_codes")
