@@ -188,7 +188,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanClassifier:
-    """The combinations of kind, votes and features that count as personal data."""
+    """The combinations of loose kind, votes and features that count as personal data."""
 
     accepted: tuple[str, ...]
 
@@ -228,7 +228,9 @@ def fit_classifier(spans: DataFrame) -> SpanClassifier:
     assembler = VectorAssembler(inputCols=[*[f"k_{k}" for k in KINDS], *FEATURES], outputCol="features")
     learner = LogisticRegression(labelCol="side", weightCol="weight", maxIter=30, regParam=1e-3)
     fitted = learner.fit(assembler.transform(both))
-    scored = fitted.transform(assembler.transform(wide)).filter("prediction = 1").select("pattern").collect()
+    # A base match that fails its check teaches what is none, and is never added.
+    loose = wide.join(counted.filter(F.col("kind").isin(*LOOSE)).select("pattern"), "pattern", "left_semi")
+    scored = fitted.transform(assembler.transform(loose)).filter("prediction = 1").select("pattern").collect()
     return SpanClassifier(tuple(sorted(r.pattern for r in scored)))
 
 

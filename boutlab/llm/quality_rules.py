@@ -125,5 +125,5 @@ def judge_quality(
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose posterior says good, with their own columns."""
-    judged = judge_quality(docs.select(F.struct("*").alias("_doc"), "text"))
+    judged = judge_quality(docs.select(F.struct("*").alias("_doc"), "text"), passed_on=["_doc"])
     return judged.filter("kept").select("_doc.*")
