@@ -43,7 +43,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     several = F.col("low") < F.col("high")
     leaves = lines.groupBy("leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     # Only leaves that several documents reach can hold a recurring template; most lines end here.
-    reached = lines.join(leaves.filter(several).select("leaf"), "leaf", "left_semi")
+    # Written first: joined to stored rows, a hot leaf's lines can be split.
+    shared = stage(leaves.filter(several).select("leaf"), "shared_leaves")
+    reached = lines.join(shared, "leaf", "left_semi")
     known = stage(reached.withColumn("id", F.md5(F.concat_ws(" ", F.col("leaf").cast("string"), "masked"))), "lines")
     distinct = stage(
         known.groupBy("id").agg(
@@ -68,6 +70,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .filter(several)
         .select("key")
     )
+    literal = stage(literal, "literal_tokens")
     own = single.select("id", "leaf", F.posexplode("tokens").alias("at", "token")).filter(
         (F.col("at") >= DEPTH) & (F.col("token") != VARIABLE)
     )
@@ -91,7 +94,8 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .filter(several)
         .select("shape", "first")
     )
-    dropped = shapes.select("id", "shape").join(recurring, "shape").select("id", "first")
+    recurring = stage(recurring, "recurring_templates")
+    dropped = stage(shapes.select("id", "shape").join(recurring, "shape").select("id", "first"), "recurring")
     return (
         known.select("id", "doc", "row", "no")
         .join(dropped, "id")
