@@ -17,8 +17,9 @@ def connected(links: DataFrame) -> DataFrame:
     neighbour list is only ever aggregated, never gathered. Each round is written to the shared
     folder, which cuts the lineage.
     """
-    edges = _both_ways(links).filter("a > b").distinct()
-    edges = stage(edges, "links")
+    # Written before it is read twice; making links is the dear part.
+    links = stage(links, "links")
+    edges = stage(_both_ways(links).filter("a > b").distinct(), "links")
     before = None
     while True:
         large = _link_to_least(_both_ways(edges), "n > node")
@@ -41,7 +42,8 @@ def _link_to_least(edges: DataFrame, which: str) -> DataFrame:
     """For every node the pairs (neighbour, least of node and neighbours), larger end first."""
     named = edges.select(F.col("a").alias("node"), F.col("b").alias("n"))
     least = named.groupBy("node").agg(F.least(F.min("n"), F.col("node")).alias("least"))
-    linked = named.join(least, "node")
+    # Stored, so that the neighbours of a hot node can be split over tasks.
+    linked = named.join(stage(least, "least"), "node")
     to_least = linked.filter(which).select(F.col("n").alias("a"), F.col("least").alias("b"))
-    own = least.select(F.col("node").alias("a"), F.col("least").alias("b"))
+    own = linked.select(F.col("node").alias("a"), F.col("least").alias("b"))
     return to_least.union(own).filter("a > b").distinct()

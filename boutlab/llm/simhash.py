@@ -117,6 +117,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     placed = prints.select("fingerprint", F.explode(keys).alias("key")).select("fingerprint", "key.i", "key.bits")
     # Only buckets of two or more have work to do; few are.
     sizes = placed.groupBy("i", "bits").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    sizes = stage(sizes, "bucket_sizes")
     parts = F.ceil(F.col("_size") / F.lit(float(block))).cast("int")
     shared = (
         placed.join(sizes, ["i", "bits"])
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         "fingerprint_groups",
     )
     # Only roots that joined several fingerprints need more than their own least id.
-    names = groups.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    names = stage(groups.groupBy("_root").agg(F.min("_least").alias("component_id")), "component_names")
     named = stage(groups.join(names, "_root").select("fingerprint", "component_id"), "named_fingerprints")
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
