@@ -177,9 +177,11 @@ def quotes(bouts: DataFrame) -> DataFrame:
     quoted = bouts.filter(F.col("bout_id") % 11 != 0)
     # Every thirteenth quote is for a card a year later and finds no bout.
     day = F.when(F.col("bout_id") % 13 == 0, F.date_add("bout_date", 365)).otherwise(F.col("bout_date"))
+    left = F.when(swapped, F.col("b_name")).otherwise(r_name)
     return quoted.select(
         F.col("bout_id").alias("quote_id"),
-        F.when(swapped, F.col("b_name")).otherwise(r_name).alias("left_name"),
+        # Some quotes name one side only.
+        F.when(F.col("bout_id") % 89 != 0, left).alias("left_name"),
         F.when(swapped, r_name).otherwise(F.col("b_name")).alias("right_name"),
         F.when(swapped, b_odds).otherwise(r_odds).alias("left_odds"),
         F.when(swapped, r_odds).otherwise(b_odds).alias("right_odds"),

@@ -13,6 +13,11 @@ def payout(odds: Column) -> Column:
 
 
 def units(label: Column, prediction: Column, r_odds: Column, b_odds: Column) -> Column:
-    """Gain of one bet: the payout when right (0 for a draw), -1 when wrong, NULL without odds."""
-    won = F.when(label == 0, payout(r_odds)).when(label == 1, payout(b_odds)).otherwise(F.lit(0.0))
-    return F.when(label == prediction, won).otherwise(F.lit(-1.0))
+    """Gain of one bet: the payout when right (0 for a draw), -1 when wrong.
+
+    NULL where there was no bet: no known result or pick, or no odds for the corner picked.
+    """
+    won = F.when(prediction == 0, payout(r_odds)).when(prediction == 1, payout(b_odds)).otherwise(F.lit(0.0))
+    return F.when(label.isNull() | prediction.isNull() | won.isNull(), None).otherwise(
+        F.when(label == prediction, won).otherwise(F.lit(-1.0))
+    )

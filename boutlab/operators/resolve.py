@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutlab.operators.skew import lookup
-from boutlab.operators.totals import unpivot
+from boutlab.operators.totals import complete, unpivot
 from boutlab.schema import NAME_ALIASES, SHARED_NAMES
 
 
@@ -95,13 +95,6 @@ def search_names(directory: DataFrame, wanted: DataFrame, key: str = "entry_id")
     )
 
 
-def complete(bouts: DataFrame) -> DataFrame:
-    """Bouts with both competitors and both totals rows known."""
-    return bouts.filter(
-        "r_id IS NOT NULL AND b_id IS NOT NULL AND r_totals_id IS NOT NULL AND b_totals_id IS NOT NULL"
-    )
-
-
 def bout_legs_of(bouts: DataFrame) -> DataFrame:
     def side(me, other):
         return {

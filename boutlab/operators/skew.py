@@ -41,6 +41,10 @@ def _axis(df: DataFrame, name: str) -> Column:
         return F.unix_date(F.col(name).cast("date")).cast("long") * 86_400 + clock
     if isinstance(kind, T.DateType):
         return F.unix_date(name).cast("long")
+    if isinstance(kind, T.StringType):
+        # The first seven bytes as a number: texts are ordered by their bytes.
+        start = F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7))
+        return F.conv(F.rpad(start, 14, "0"), 16, 10).cast("long")
     return F.col(name).cast("long")
 
 
@@ -205,8 +209,8 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers from ``start + 1`` along ``order`` without a single-task window.
 
-    ``order`` has to be unique; its first two columns have to be numbers, dates or timestamps unless
-    the frame fits one task.
+    ``order`` has to be unique; its first two columns are numbers, texts, dates or timestamps. The
+    numbers are the same however the rows are cut.
     """
     start = F.lit(start) if isinstance(start, int) else start
     axis = _axis(df, order[0])

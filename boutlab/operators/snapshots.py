@@ -50,7 +50,7 @@ def append_with_keys(
 ) -> DataFrame:
     """New rows with ids following the greatest stored one, along a unique order.
 
-    The first order column has to be a number, date or timestamp; see ``natural_order``.
+    Rows are cut for numbering by the first two order columns; ``natural_order`` spreads any key evenly.
     """
     last = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
     return number_rows(new_rows, order, key, last, rows_per_slot)

@@ -52,6 +52,13 @@ def countable(bouts: DataFrame) -> DataFrame:
     )
 
 
+def complete(bouts: DataFrame) -> DataFrame:
+    """Bouts with both competitors and both totals rows known."""
+    return bouts.filter(
+        "r_id IS NOT NULL AND b_id IS NOT NULL AND r_totals_id IS NOT NULL AND b_totals_id IS NOT NULL"
+    )
+
+
 def rejected(bouts: DataFrame) -> DataFrame:
     """Bouts whose winner is neither corner."""
     return bouts.filter(label_of("winner", "r_name", "b_name").isNull())
@@ -259,13 +266,15 @@ def previous_totals(
 def previous_bout(
     bouts: DataFrame, probes: DataFrame, rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Latest bout of a competitor strictly before a moment, for any moments.
+    """Latest complete bout of a competitor strictly before a moment, for any moments.
+
+    Complete bouts know both competitors and both totals rows.
 
     ``probes`` has ``probe_id``, ``competitor_id`` and ``probe_ts``. Bouts and probes are laid on one
     time line per competitor; at the same moment a probe comes before a bout.
     """
     history = unpivot(
-        bouts.filter("r_id IS NOT NULL AND b_id IS NOT NULL"),
+        complete(bouts),
         ["bout_ts AS at", "1L AS place", "bout_id"],
         lambda me, other: {"competitor_id": f"{me}_id"},
     ).selectExpr(
@@ -289,6 +298,52 @@ def previous_bout(
     )
 
 
+def totals_since_stored(
+    pending: DataFrame,
+    stats: DataFrame,
+    stored: DataFrame,
+    measures: Sequence[str] = tuple(TOTAL_COLUMNS),
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
+    """Totals after each pending bout, on top of the latest stored totals strictly before it.
+
+    Stored and pending rows are laid on one line per competitor, a pending one first where both are
+    at one moment. The stored rows before a pending leg are counted; legs with the same count form a segment,
+    which starts from the totals of its last stored row. Segments are then what competitors are
+    to ``running_totals``, so own and opponents' values follow the same rule.
+    """
+    legs = unpivot(
+        countable(pending), ORDER, lambda me, other: {"competitor_id": f"{me}_id"}
+    )
+    met = legs.select("competitor_id").distinct()
+    known = stored.join(met, "competitor_id", "left_semi")
+    line = legs.selectExpr(
+        "competitor_id", "bout_ts", "0L AS place", "bout_id", "corner", "0L AS segment", "NULL AS totals_id"
+    ).unionByName(
+        known.selectExpr(
+            "competitor_id", "bout_ts", "1L AS place", "bout_id", "corner", "1L AS segment", "totals_id"
+        )
+    )
+    order = ("bout_ts", "place", "bout_id")
+    slots = find_slots(line.select("competitor_id", *order), "competitor_id", order, rows_per_slot)
+    counted = running_sums(line, slots, ["segment"]).withColumn(
+        "key", F.concat_ws(":", F.col("competitor_id").cast("string"), F.col("segment").cast("string"))
+    )
+    keys = pair_up(counted.filter("place = 0"), ["key"])
+    keyed = pending.join(keys, "bout_id").withColumns({"r_id": F.col("r_key"), "b_id": F.col("b_key")})
+    needed = counted.filter("place = 0").select("key").distinct()
+    starts = counted.filter("place = 1").select("totals_id", "key").join(needed, "key", "left_semi")
+    seed = stored.select("totals_id", *measures).join(starts, "totals_id").withColumnRenamed("key", "competitor_id")
+    grown = running_totals(keyed.drop("r_key", "b_key"), stats, measures, rows_per_slot, seed)
+    kind = pending.schema["r_id"].dataType
+    plain = {
+        c: F.substring_index(c, ":", 1).cast(kind)
+        for c in ("competitor_id", "opponent_id")
+        if c in grown.columns
+    }
+    return grown.withColumns(plain)
+
+
 def with_age(totals: DataFrame, competitors: DataFrame) -> DataFrame:
     """Name, and age in days on the day of the bout."""
     born = competitors.select(F.col("id").alias("competitor_id"), "name", "date_of_birth")

@@ -42,6 +42,14 @@ def labelled(dataset: DataFrame) -> DataFrame:
     )
 
 
+def unlabelled(dataset: DataFrame) -> DataFrame:
+    """The rows ``labelled`` leaves out: no known winner, or a numeric column that is unknown."""
+    known = label_number("winner").isNotNull()
+    for c in NUMERIC_FEATURES:
+        known = known & F.col(c).isNotNull()
+    return dataset.filter(~known)
+
+
 def dummy_stage() -> SQLTransformer:
     """Indicator columns from the fixed vocabulary; saved with the model, so scoring uses the same."""
     dummies = [
@@ -149,6 +157,14 @@ def predict_upcoming(model: PipelineModel, features: DataFrame) -> DataFrame:
     return name_winners(score(model, features.dropna(subset=NUMERIC_FEATURES)))
 
 
+def not_placed(features: DataFrame) -> DataFrame:
+    """The bouts of a card that ``predict_upcoming`` leaves out, as some numeric column is unknown."""
+    known = F.lit(True)
+    for c in NUMERIC_FEATURES:
+        known = known & F.col(c).isNotNull()
+    return features.filter(~known)
+
+
 def with_folds(train: DataFrame, key: str = "bout_id", folds: int = FOLDS) -> DataFrame:
     """Fold numbers from a hash of the row id, so a recomputed task puts a row in the same fold."""
     return train.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))

@@ -25,8 +25,22 @@ from boutlab.operators.snapshots import (
     pending_quotes,
 )
 from boutlab.operators.standardize import clean_competitors
-from boutlab.operators.totals import ORDER, cumulative_totals, latest_totals, pair_up, zero_fill
-from boutlab.plans.models import labelled, predict_upcoming, train_gbt, train_mlp
+from boutlab.operators.totals import (
+    ORDER,
+    latest_totals,
+    pair_up,
+    totals_since_stored,
+    with_age,
+    zero_fill,
+)
+from boutlab.plans.models import (
+    labelled,
+    not_placed,
+    predict_upcoming,
+    train_gbt,
+    train_mlp,
+    unlabelled,
+)
 from boutlab.sources.tables import export_dataset, read_feature_csv, save_snapshot, stage
 
 
@@ -44,12 +58,12 @@ def refresh_totals(
     cutoff,
     rows_per_slot: int = ROWS_PER_SLOT,
 ) -> TotalsRefresh:
-    """Totals of the pending bouts on top of the stored ones, and the bouts pointing to them."""
+    """Totals of the pending bouts, each on top of the latest stored ones before it, and the bouts
+    pointing to them. Of the stored totals only those of the pending bouts' competitors are read wide."""
     pending = stage(pending_bouts(bouts, cutoff), "pending_bouts")
     fought = stats.join(pending.select("bout_id"), "bout_id", "left_semi")
-    grown = cumulative_totals(
-        pending, fought, competitors, rows_per_slot, seed=stage(latest_totals(totals), "seed")
-    ).withColumn("place", F.when(F.col("corner") == "r", 0).otherwise(1))
+    since = totals_since_stored(pending, fought, totals, rows_per_slot=rows_per_slot)
+    grown = with_age(since, competitors).withColumn("place", F.when(F.col("corner") == "r", 0).otherwise(1))
     # Numbering reads its input for the count, the slots and the rows.
     numbered = append_with_keys(
         totals,
@@ -141,6 +155,9 @@ class FullRefresh:
     quotes: DataFrame
     dataset: DataFrame
     predictions: dict[str, DataFrame]
+    # Rows of the dataset no model learns from, and bouts of the card none can place.
+    not_learnt: DataFrame
+    not_placed: DataFrame
 
 
 def full_refresh(
@@ -191,12 +208,21 @@ def full_refresh(
     export_dataset(dataset, f"{folder}/dataset_csv", "overwrite")
     stored = read_feature_csv(pages.sparkSession, f"{folder}/dataset_csv")
 
-    train = labelled(no_draws(stored))
+    usable = no_draws(stored)
+    train = labelled(usable)
     features = upcoming_features(
         card, F.lit(card_day).cast("date"), all_competitors, latest_totals(all_totals)
     )
     models = {"gbt": train_gbt(train, **(gbt or {})), "mlp": train_mlp(train, **(mlp or {}))}
     predictions = {name: predict_upcoming(m, features) for name, m in models.items()}
     return FullRefresh(
-        all_competitors, priced, all_stats, all_totals, all_quotes, stored, predictions
+        all_competitors,
+        priced,
+        all_stats,
+        all_totals,
+        all_quotes,
+        stored,
+        predictions,
+        unlabelled(usable),
+        not_placed(features),
     )

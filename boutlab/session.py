@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,17 @@ def build_session(name: str = "boutlab", master: str | None = None, **conf) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, or a local one in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_dir()
+    """Folder every executor can reach: the one the cluster names, or a local one in tests.
+
+    A cluster that names none is an error: each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return _local_dir()
 
 
 @functools.cache

@@ -74,7 +74,7 @@ SELECT id, name, height AS h, weight AS w, reach AS re, stance AS st, date_of_bi
 FROM competitors""",
     "quotes": """
 SELECT q.bout_id AS quote_id,
-  CASE WHEN q.bout_id % 3 = 0 THEN b_name ELSE rn END AS left_name,
+  CASE WHEN q.bout_id % 89 <> 0 THEN CASE WHEN q.bout_id % 3 = 0 THEN b_name ELSE rn END END AS left_name,
   CASE WHEN q.bout_id % 3 = 0 THEN rn ELSE b_name END AS right_name,
   CASE WHEN q.bout_id % 3 = 0 THEN bo ELSE ro END AS left_odds,
   CASE WHEN q.bout_id % 3 = 0 THEN ro ELSE bo END AS right_odds,
@@ -128,7 +128,9 @@ SELECT b.bout_id, CASE WHEN winner = '' THEN 2 WHEN winner = r_name THEN 0 ELSE
   CASE WHEN b.bout_id % 11 = 0 THEN NULL WHEN rk >= bk THEN 100 + 3 * rk ELSE -(100 + 3 * bk) END AS b_odds
 FROM bouts b""",
     "won": """
-SELECT *, CASE WHEN label <> prediction THEN -1.0
+SELECT *, CASE WHEN label IS NULL THEN NULL
+  WHEN prediction = 0 AND r_odds IS NULL OR prediction = 1 AND b_odds IS NULL THEN NULL
+  WHEN label <> prediction THEN -1.0
   WHEN label = 0 THEN CASE WHEN r_odds > 0 THEN r_odds / 100.0 ELSE abs(100.0 / r_odds) END
   WHEN label = 1 THEN CASE WHEN b_odds > 0 THEN b_odds / 100.0 ELSE abs(100.0 / b_odds) END
   ELSE 0.0 END AS units
@@ -323,34 +325,36 @@ CORNER = "bout_id, corner, competitor_id"
 
 
 def _increment_sql(columns, stored, pending, final):
-    """Totals of later bouts from stored totals plus a running sum over the later legs.
+    """Totals of pending bouts: the latest stored totals before each, plus a running sum over the legs
+    that start from the same stored row.
 
     ``stored`` and ``pending`` are conditions on a side's bout.
     """
     extra = {
         "old_legs": legs(stored), "old_met": met("old_legs"), "old_totals": totals_of("old_met"),
-        "seed": "SELECT * FROM old_totals WHERE totals_id IN (SELECT max(totals_id) FROM old_totals GROUP BY competitor_id)",
-        "new_legs": legs(pending),
+        "raw_legs": legs(pending),
+        "new_legs": "SELECT l.*, coalesce(o.totals_id, -1) AS seg FROM raw_legs l ASOF LEFT JOIN old_totals o "
+        "ON o.competitor_id = l.competitor_id AND o.bout_ts < l.bout_ts",
     }
     own = ", ".join(
-        f"coalesce(s.{n}, 0) + sum(l.{n}) OVER (PARTITION BY l.competitor_id ORDER BY l.bout_ts, l.bout_id"
+        f"coalesce(s.{n}, 0) + sum(l.{n}) OVER (PARTITION BY l.competitor_id, l.seg ORDER BY l.bout_ts, l.bout_id"
         f" ROWS UNBOUNDED PRECEDING) - l.{n} AS {n}" for n in BEFORE_SUMS.values()
     )
     extra["entry"] = (
         f"SELECT l.bout_id, l.competitor_id AS cid, {own} FROM new_legs l "
-        "LEFT JOIN seed s ON s.competitor_id = l.competitor_id"
+        "LEFT JOIN old_totals s ON s.totals_id = l.seg"
     )
     got = ", ".join(f"e.{n} AS {t}" for t, n in BEFORE_SUMS.items())
     extra["new_met"] = (
         f"SELECT l.*, {got} FROM new_legs l JOIN entry e ON e.bout_id = l.bout_id AND e.cid = l.opponent_id"
     )
     sums = ", ".join(
-        f"CAST(coalesce(s.{n}, 0) + sum(l.{n}) OVER (PARTITION BY l.competitor_id ORDER BY l.bout_ts, l.bout_id"
+        f"CAST(coalesce(s.{n}, 0) + sum(l.{n}) OVER (PARTITION BY l.competitor_id, l.seg ORDER BY l.bout_ts, l.bout_id"
         f" ROWS UNBOUNDED PRECEDING) AS BIGINT) AS {n}" for n in TOTAL_COLUMNS
     )
     extra["grown"] = (
         f"SELECT l.bout_id, l.bout_ts, l.bout_date, l.corner, l.competitor_id, {sums} FROM new_legs l "
-        "LEFT JOIN seed s ON s.competitor_id = l.competitor_id"
+        "LEFT JOIN old_totals s ON s.totals_id = l.seg"
     ).replace("FROM new_legs", "FROM new_met")
     return sql(["sides", "stats", "competitors"], final, extra)
 
@@ -397,6 +401,8 @@ WHERE l.bout_date > {DAY} AND l.r_totals_id IS NULL""")
         + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in long) + " FROM dataset")
     q["append_with_keys"] = sql(["bouts", "quotes"], """SELECT bout_ts, bout_id AS source_id, r_id, b_id,
   (SELECT max(quote_id) FROM quotes) + row_number() OVER (ORDER BY bout_ts, bout_id) AS quote_id FROM bouts""")
+    q["append_competitors_cut"] = sql(["competitors"], """SELECT name, gender,
+  CAST((SELECT max(id) FROM competitors) + row_number() OVER (ORDER BY gender, name) AS BIGINT) AS id FROM competitors""")
     q["append_competitors"] = sql(["competitors"], """SELECT name, weight, gender,
   (SELECT max(id) FROM competitors) + row_number() OVER (ORDER BY substr(md5(name), 1, 8), name) AS id FROM competitors""")
     q["overlay_update"] = sql(["linked"], f"""SELECT bout_id, bout_date,
@@ -532,10 +538,12 @@ LEFT JOIN competitors r ON r.name = u.r_name LEFT JOIN competitors b ON b.name =
     q["orient_quotes"] = sql(["oriented"], "SELECT quote_id, bout_id, r_odds, b_odds, weight_class FROM oriented")
     q["unmatched_quotes"] = sql(["resolved", "matched"], """SELECT quote_id, left_name, right_name, quote_date
 FROM resolved WHERE quote_id NOT IN (SELECT quote_id FROM matched)""")
-    q["previous_bout"] = sql(["sides"], """SELECT p.event_id AS probe_id, p.user_id AS competitor_id, p.ts AS probe_ts,
+    q["previous_bout"] = sql(["sides", "linked"], """SELECT p.event_id AS probe_id, p.user_id AS competitor_id, p.ts AS probe_ts,
   s.bout_ts AS previous_ts, s.bout_id AS previous_bout_id, s.corner AS previous_corner
 FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-ASOF LEFT JOIN sides s ON s.competitor_id = p.user_id AND s.bout_ts < p.ts""")
+ASOF LEFT JOIN (SELECT s.* FROM sides s JOIN linked l USING (bout_id)
+  WHERE l.r_totals_id IS NOT NULL AND l.b_totals_id IS NOT NULL) s
+  ON s.competitor_id = p.user_id AND s.bout_ts < p.ts""")
     q["previous_totals"] = sql(["entering"],
         f"SELECT {CORNER}, wins, losses, opponent_wins, sig_str_landed, fight_time FROM entering")
     q["matchup_join"] = sql(["matchups"], "SELECT * EXCLUDE (weight) FROM matchups")
@@ -623,6 +631,10 @@ FROM totals r JOIN totals b ON b.bout_id = r.bout_id AND b.corner = 'b' WHERE r.
   {', '.join(c for c in FEATURES if c != 'weight')}
 FROM matchups JOIN (SELECT card_id, weight_class FROM card) USING (card_id)
 WHERE r_totals_id IS NOT NULL AND b_totals_id IS NOT NULL""")
+    unknown = " OR ".join(f"{c} IS NULL" for c in NUMERIC_FEATURES)
+    q["predict_upcoming_rejects"] = (
+        f"SELECT card_id, r_name, b_name FROM ({q['upcoming_features']}) u WHERE {unknown}"
+    )
 
     # evaluation
     q["accuracy"] = sql(["predicted"], """SELECT split, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6)
@@ -647,6 +659,9 @@ SELECT c, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, s
     q["correct_incorrect"] = sql(["predicted"], """SELECT count(*) FILTER (label = prediction) AS correct,
   count(*) FILTER (label <> prediction) AS incorrect FROM predicted""")
 
+    # what no model can learn from or place
+    q["labelled_rejects"] = sql(["dataset"], f"SELECT bout_id, winner FROM dataset WHERE winner IS NULL OR {unknown}")
+
     # refreshes
     done, waiting = f"(x.bout_date <= {DAY} OR x.bout_id % 13 = 0)", f"(x.bout_date > {DAY} AND x.bout_id % 13 <> 0)"
     last = f"(SELECT max(bout_id * 2 + CASE corner WHEN 'r' THEN 0 ELSE 1 END) FROM sides WHERE {done.replace('x.', '')})"

@@ -205,6 +205,13 @@ def append_competitors(g):
     ).drop("_order")
 
 
+@query
+def append_competitors_cut(g):
+    """Numbered along two text columns, in slots of ten rows."""
+    new = g.competitors.select("gender", "name")
+    return snapshots.append_with_keys(g.competitors.select("id"), new, "id", ["gender", "name"], 10)
+
+
 @query
 def overlay_update(g):
     base = g.linked.select("bout_id", "bout_date", "r_totals_id", "b_totals_id")
@@ -571,7 +578,7 @@ def previous_bout(g):
     probes = purchases.selectExpr(
         "event_id AS probe_id", "user_id AS competitor_id", "ts AS probe_ts"
     )
-    return totals.previous_bout(g.bouts, probes)
+    return totals.previous_bout(g.linked, probes)
 
 
 @query
@@ -915,6 +922,16 @@ def predict_upcoming(g):
     return models.predict_upcoming(models.train_gbt(_train(g), **QUICK_GBT), _card_features(g))
 
 
+@query
+def labelled_rejects(g):
+    return models.unlabelled(_stored_dataset(g)).select("bout_id", "winner")
+
+
+@query
+def predict_upcoming_rejects(g):
+    return models.not_placed(_card_features(g)).select("card_id", "r_name", "b_name")
+
+
 @query
 def model_comparison(g):
     card = tables.save_snapshot(_card_features(g), scratch_path(g.spark, "card"))
@@ -1026,11 +1043,12 @@ def refresh_bouts_competitors(g):
 @query
 def full_refresh(g):
     day = F.lit(CUTOFF).cast("date")
-    stored = g.bouts.filter(F.col("bout_date") <= day)
+    # Stored bouts keep their weight and odds; those of new bouts come from their quotes.
+    stored = g.priced.filter(F.col("bout_date") <= day)
     late = g.bouts.filter((F.col("bout_date") > day) & (F.col("bout_date") < fx.last_day(g.bouts)))
     pages_in = tables.stage(fx.bout_pages(late, g.stats), "late_pages", "page_id")
     linked = fx.linked_bouts(stored).withColumns(
-        {"r_odds": F.lit(None).cast("string"), "b_odds": F.lit(None).cast("string")}
+        {c: F.col(c).cast("string") for c in ("r_odds", "b_odds")}
     )
     done = refresh.full_refresh(
         scratch_path(g.spark, "refresh"),

@@ -44,13 +44,19 @@ def frames(spark, rows, stats):
     return spark.createDataFrame(rows, BOUT_SCHEMA), spark.createDataFrame(stats, STATS_SCHEMA)
 
 
-def fold(rows, stats):
-    """Totals after each bout by going through the bouts one at a time."""
+def fold(rows, stats, stored=None):
+    """Totals after each bout by going through the bouts one at a time.
+
+    ``stored`` has the totals of some bouts' corners: these are not folded, their totals take over.
+    """
     by_corner = {(s[1], s[2]): dict(zip(STAT_COLUMNS, s[4:])) for s in stats}
     state, after, before = {}, {}, {}
     zeros = dict.fromkeys(TOTAL_COLUMNS, 0)
-    for row in sorted(rows, key=lambda x: (x[1], x[0])):
+    for row in sorted(rows, key=lambda x: (x[1], bool(stored) and (x[0], "r") in stored, x[0])):
         bout, r, b, winner = row[0], row[3], row[4], row[7]
+        if stored and (bout, "r") in stored:
+            state[r], state[b] = (dict(stored[bout, c]) for c in "rb")
+            continue
         minutes, seconds = row[12].split(":")
         time = (row[11] - 1) * 300 + int(minutes) * 60 + int(seconds)
         entering = {who: dict(state.get(who, zeros)) for who in (r, b)}

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from boutlab.operators import quotes, resolve, snapshots
 
@@ -31,6 +32,8 @@ def test_quotes_meet_the_first_bout_of_the_pair(tables):
     found = {r["quote_id"]: r["bout_id"] for r in quotes.match_quotes(resolved, bouts).collect()}
     assert found == {10: 1, 11: 1, 12: 3}
     assert [r["quote_id"] for r in quotes.unmatched_quotes(resolved, bouts).collect()] == [13]
+    half = resolved.filter("quote_id <> 13").withColumn("left_name", F.lit(None).cast("string"))
+    assert quotes.unmatched_quotes(half, bouts).count() == half.count() > 0
 
 
 def test_matching_is_the_same_when_nothing_can_be_broadcast(tables, no_broadcast):

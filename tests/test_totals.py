@@ -100,15 +100,32 @@ def test_bout_without_statistics_still_counts_for_the_record(spark):
     assert data.as_dict(totals.running_totals(bouts, some)) == data.fold(rows, zeroed)[0]
 
 
+@pytest.mark.parametrize("rows_per_slot", [1_000_000, 4])
+def test_pending_bouts_start_from_the_totals_before_them(spark, rows_per_slot):
+    rows, stats = data.make(seed=21, bouts=90, hot=3)
+    bouts, corner = data.frames(spark, rows, stats)
+    # Stored bouts lie before, between and after the pending ones.
+    old, new = bouts.filter("bout_id % 3 = 0"), bouts.filter("bout_id % 3 <> 0")
+    stored = totals.running_totals(old, corner).withColumn(
+        "totals_id", F.col("bout_id") * 2 + (F.col("corner") == "b").cast("int")
+    )
+    expected = data.fold(rows, stats, data.as_dict(stored))[0]
+    found = totals.totals_since_stored(new, corner, stored, rows_per_slot=rows_per_slot)
+    assert dict(found.dtypes)["competitor_id"] == "bigint"
+    assert data.as_dict(found) == expected
+
+
 @pytest.mark.parametrize("rows_per_slot", [1_000_000, 3])
 def test_previous_bout_is_strictly_before(spark, rows_per_slot):
     rows, stats = data.make(seed=10, bouts=80, hot=2)
     bouts, _ = data.frames(spark, rows, stats)
     probes = [(i, 1 + i % 7, rows[i % len(rows)][1]) for i in range(60)]
     frame = spark.createDataFrame(probes, "probe_id long, competitor_id long, probe_ts timestamp_ntz")
+    # Every ninth bout has no totals yet, so it is no previous bout.
+    bouts = bouts.withColumns({f"{c}_totals_id": F.expr("if(bout_id % 9 = 0, NULL, bout_id)") for c in "rb"})
     found = {r["probe_id"]: r["previous_bout_id"] for r in totals.previous_bout(bouts, frame, rows_per_slot).collect()}
     for probe, who, at in probes:
-        earlier = [(r[1], r[0]) for r in rows if who in (r[3], r[4]) and r[1] < at]
+        earlier = [(r[1], r[0]) for r in rows if who in (r[3], r[4]) and r[1] < at and r[0] % 9]
         assert found[probe] == (max(earlier)[1] if earlier else None)
     assert len(found) == len(probes)
 
