@@ -300,7 +300,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def _cell(expression: str) -> str:
     red, blue = expression.format("r_"), expression.format("b_")
-    return f"'<td class=\"b-fight-details__table-col\"><p>', {red}, '</p><p>', {blue}, '</p></td>'"
+    return f"'<td class=\"b-fight-details__table-col l-page_align_left\"><p>', {red}, '</p><p>', {blue}, '</p></td>'"
 
 
 def _of(area: str) -> str:
@@ -314,8 +314,8 @@ def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
     def person(side):
         status = f"CASE WHEN winner = {side}_name THEN 'W' WHEN winner = '' THEN 'D' ELSE 'L' END"
         return (
-            f"'<div class=\"b-fight-details__person\"><i class=\"b-fight-details__person-status\">', "
-            f"{status}, '</i><h3><a class=\"b-fight-details__person-link\" href=\"/competitor/', "
+            f"'<div class=\"b-fight-details__person\"><i class=\"b-fight-details__person-status b-status_{side}\">', "
+            f"{status}, '</i><h3><a class=\"b-link b-fight-details__person-link\" href=\"/competitor/', "
             f"{side}_id, '\">', {side}_name, '</a></h3></div>'"
         )
 
@@ -331,16 +331,24 @@ def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
                    "{0}subs_attempted", "{0}reversals", clock]
     strike_cells = [empty, empty] + [_of(a) for a in ("head", "body", "legs", "distance", "clinch", "ground")]
     rounds = []
+    text = '<i class=\"b-fight-details__bar-chart-text b-style_light\">'
     for n in range(1, MAX_ROUNDS + 1):
         red, blue = (_round_text(f"round_{n}_sig_str", s) for s in ("r_", "b_"))
         rounds.append(
-            f"coalesce(concat('<div class=\"b-fight-details__bar-charts-row\"><i class=\"js-red\"><i>', {red}, "
-            f"'</i></i><i class=\"js-blue\"><i>', {blue}, '</i></i></div>'), '')"
+            f"coalesce(concat('<div class=\"b-fight-details__bar-charts-row clearfix\"><i class=\"b-bar js-red\">"
+            f"<i class=\"b-fight-details__bar-chart\"></i>{text}', {red}, '</i></i><i class=\"b-bar js-blue\">"
+            f"<i class=\"b-fight-details__bar-chart\"></i>{text}', {blue}, '</i></i></div>'), '')"
         )
+    # The tables by round, which no one reads.
+    per_round = "<table><tbody><td class=\"b-fight-details__table-col\"><p>7</p><p>7</p></td></tbody></table>"
     parts = [
-        "'<html><body><i>Date:</i> '", "date_format(bout_date, 'MMMM dd, yyyy')",
-        "'<i>Location:</i> Hall '", "bout_id % 9",
-        person("r"), person("b"),
+        "'<html><head><script>var x = \"<div class=\\\"b-fight-details__person\\\">\";</script></head><body>'",
+        # A comment that would read as a corner, and the block around both corners.
+        "'<!-- <div class=\"b-fight-details__person\"><a class=\"b-fight-details__person-link\">Nobody</a></div> -->'",
+        "'<i>Date:</i> '", "date_format(bout_date, 'MMMM dd, yyyy')",
+        "'<i>Location:</i> Hall &amp; Dome '", "bout_id % 9",
+        "'<div class=\"b-fight-details__persons clearfix\">'",
+        person("r"), person("b"), "'</div>'",
         "'<div class=\"b-fight-details__fight\"><i class=\"b-fight-details__fight-title\">'",
         "CASE WHEN championship_fight THEN '<img src=\"/img/belt.png\">' ELSE '<img src=\"/img/perf.png\">' END",
         "weight_class", "' Bout</i>'",
@@ -349,9 +357,13 @@ def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
         item("Time format:", "concat(number_of_rounds, ' Rnd')"),
         item("Referee:", "concat('<span>Referee ', bout_id % 13, '</span>')"),
         item("Details:", "concat('after ', finish_time)"),
-        "'</div><table><tbody>'", *[_cell(c) for c in total_cells], "'</tbody></table>'",
-        "'<table><tbody>'", *[_cell(c) for c in strike_cells], "'</tbody></table>'",
-        *rounds, "'</body></html>'",
+        "'</div><table><tbody class=\"b-fight-details__table-body\">'", *[_cell(c) for c in total_cells],
+        f"'</tbody></table>{per_round}'",
+        "'<table><tbody class=\"b-fight-details__table-body\">'", *[_cell(c) for c in strike_cells],
+        f"'</tbody></table>{per_round}<div class=\"b-fight-details__charts-col_pos_left\">"
+        f"<div class=\"b-fight-details__bar-charts-row\"><i class=\"js-red\">{text}1 of 1 - 100%</i></i></div></div>'",
+        "'<div class=\"b-fight-details__charts-col b-fight-details__charts-col_pos_right\">'",
+        *rounds, "'</div></body></html>'",
     ]
     return wide.selectExpr(
         "bout_id AS page_id", "concat('/bout/', bout_id) AS url", f"concat({', '.join(parts)}) AS html"

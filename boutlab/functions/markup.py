@@ -21,6 +21,36 @@ def element_pattern(tag: str, css_class: str | None = None, partial: bool = Fals
     return rf"(?s){opening}(.*?)</{tag}>"
 
 
+def class_pattern(tag: str, css_class: str) -> str:
+    """An element of a kind that has a class among its classes, in either kind of quotes and case."""
+    value = rf"(?<![\w-]){re.escape(css_class)}(?![\w-])"
+    opening = rf"<{tag}\s(?:[^>]*?\s)?class\s*=\s*(?:\x22[^\x22>]*{value}[^\x22>]*\x22|'[^'>]*{value}[^'>]*')[^>]*>"
+    return rf"(?is){opening}(.*?)</{tag}\s*>"
+
+
+def classed(html: Column, tag: str, css_class: str) -> Column:
+    """All elements that have a class among others, with their tags, in page order."""
+    return F.regexp_extract_all(html, F.lit(class_pattern(tag, css_class)), F.lit(0))
+
+
+def first_classed(html: Column, tag: str, css_class: str) -> Column:
+    return F.regexp_substr(html, F.lit(class_pattern(tag, css_class)))
+
+
+def visible(html: Column) -> Column:
+    """A page without comments, scripts and styles, whose texts look like markup at times."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+
+
+def decoded(text: Column) -> Column:
+    """Text with the common entities as characters; the ampersand last, so that none is decoded twice."""
+    for entity, character in (
+        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
+    ):
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.trim(text)
+
+
 def elements(html: Column, tag: str, css_class: str | None = None, partial: bool = False) -> Column:
     """All matching elements with their tags, in page order."""
     return F.regexp_extract_all(html, F.lit(element_pattern(tag, css_class, partial)), F.lit(0))

@@ -133,7 +133,9 @@ class BoutPage:
     person_link: str = "b-fight-details__person-link"
     title: str = "b-fight-details__fight-title"
     cell: str = "b-fight-details__table-col"
+    charts: str = "b-fight-details__charts-col_pos_right"
     round_row: str = "b-fight-details__bar-charts-row"
+    round_text: str = "b-fight-details__bar-chart-text"
     red: str = "js-red"
     blue: str = "js-blue"
     method_style: str = "font-style: normal"
@@ -147,33 +149,52 @@ class BoutPage:
     belt: str = "belt.png"
 
 
-# Place of each statistic among the cells of the two tables of a bout page.
+# The tables of a bout page with the totals and with the strikes by area, and the place
+# of each statistic among the cells of these two.
+TOTALS_TABLE, STRIKES_TABLE = 0, 2
 TOTAL_CELLS = {"kd_landed": 0, "sig_str": 1, "total_str": 3, "td": 4, "subs_attempted": 6,
                "reversals": 7, "ctrl_time": 8}
 STRIKE_CELLS = {"head": 2, "body": 3, "legs": 4, "distance": 5, "clinch": 6, "ground": 7}
 
 
+READABLE = "coalesce(r_name, '') <> '' AND coalesce(b_name, '') <> ''"
+
+
 def bout_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
-    """One bout row per page: names, winner, method, round, time, referee, title bout."""
+    """One bout row per page: names, winner, method, round, time, referee, title bout.
+
+    Pages without the names of two corners are left to ``unreadable_bouts``.
+    """
+    return _read_bouts(pages, layout).filter(READABLE)
+
+
+def unreadable_bouts(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
+    """The pages that ``bout_from_page`` leaves out, for lack of a corner's name."""
+    return _read_bouts(pages, layout).filter(f"NOT ({READABLE})").select("page_id")
+
+
+def _read_bouts(pages: DataFrame, layout: BoutPage) -> DataFrame:
+    cleaned = pages.select("page_id", markup.visible(F.col("html")).alias("html"))
     html = F.col("html")
-    people = markup.elements(html, "div", layout.person)
-    staged = pages.select(
+    people = markup.classed(html, "div", layout.person)
+    staged = cleaned.select(
         "page_id",
         "html",
         F.get(people, F.lit(0)).alias("_r"),
         F.get(people, F.lit(1)).alias("_b"),
-        markup.first_element(html, "i", layout.title).alias("_title"),
+        markup.first_classed(html, "i", layout.title).alias("_title"),
     )
 
     def name(side):
-        return markup.inner_text(markup.first_element(F.col(side), "a", layout.person_link))
+        link = markup.first_classed(F.col(side), "a", layout.person_link)
+        return markup.decoded(markup.inner_text(link))
 
     def won(side):
-        status = markup.inner_text(markup.first_element(F.col(side), "i", layout.status))
+        status = markup.inner_text(markup.first_classed(F.col(side), "i", layout.status))
         return F.coalesce(status == "W", F.lit(False))
 
     def after(label):
-        return markup.text_after(F.col("html"), label)
+        return markup.decoded(markup.text_after(F.col("html"), label))
 
     belt = F.exists(
         markup.attributes(F.col("_title"), "img", "src"), lambda src: src.endswith(layout.belt)
@@ -205,25 +226,35 @@ def bout_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame
 
 def corner_stats_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
     """Two rows per page with what each corner did; rounds not fought are NULL."""
-    bodies = markup.elements(F.col("html"), "tbody")
+    html = markup.visible(F.col("html"))
+    tables = markup.elements(html, "table")
+    # The rounds stand to the right of other charts that are built alike.
+    right = F.regexp_extract(html, rf"(?s)\b{layout.charts}\b(.*)$", 1)
 
     def lines(cell):
         return F.transform(markup.elements(cell, "p"), markup.inner_text)
 
-    def texts(body: int) -> Column:
+    def texts(table: int) -> Column:
         """Per cell the lines of the two corners, found once for all columns of both corners."""
-        return F.transform(markup.elements(F.get(bodies, F.lit(body)), "td", layout.cell), lines)
+        return F.transform(markup.classed(F.get(tables, F.lit(table)), "td", layout.cell), lines)
 
     def both(row):
-        sides = (layout.red, layout.blue)
-        return F.array(*[markup.inner_text(markup.first_element(row, "i", s)) for s in sides])
-
-    staged = pages.select(
+        """The text element of either corner: behind the corner's mark there are other elements first."""
+        found = []
+        for side in (layout.red, layout.blue):
+            behind = F.regexp_extract(row, rf"(?s)(?<![\w-]){side}(?![\w-])(.*)$", 1)
+            found.append(markup.inner_text(markup.first_classed(behind, "i", layout.round_text)))
+        return F.array(*found)
+
+    parsed = pages.select(
         "page_id",
-        texts(0).alias("_totals"),
-        texts(1).alias("_strikes"),
-        F.transform(markup.elements(F.col("html"), "div", layout.round_row), both).alias("_rounds"),
-        F.posexplode(F.array(F.lit("r"), F.lit("b"))).alias("_place", "corner"),
+        texts(TOTALS_TABLE).alias("_totals"),
+        texts(STRIKES_TABLE).alias("_strikes"),
+        F.transform(markup.classed(right, "div", layout.round_row), both).alias("_rounds"),
+        F.array(F.lit("r"), F.lit("b")).alias("_corners"),
+    )
+    staged = parsed.select(
+        "page_id", "_totals", "_strikes", "_rounds", F.posexplode("_corners").alias("_place", "corner")
     )
 
     def value(cells: str, n: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlab.operators.features import no_draws, training_dataset, upcoming_features
-from boutlab.operators.pages import bout_from_page, corner_stats_from_page
+from boutlab.operators.pages import bout_from_page, corner_stats_from_page, unreadable_bouts
 from boutlab.operators.quotes import (
     link_quotes_and_bouts,
     match_quotes,
@@ -99,6 +99,8 @@ class BoutsRefresh:
     competitors: DataFrame
     bouts: DataFrame
     stats: DataFrame
+    # Pages without two names.
+    unreadable: DataFrame
 
 
 def new_competitors(
@@ -143,7 +145,7 @@ def refresh_bouts(
         .withColumn("competitor_id", F.expr("if(corner = 'r', r_id, b_id)"))
         .drop("page_id", "r_id", "b_id")
     )
-    return BoutsRefresh(added, numbered.drop("page_id"), stats)
+    return BoutsRefresh(added, numbered.drop("page_id"), stats, unreadable_bouts(pages))
 
 
 @dataclass(frozen=True)

@@ -56,3 +56,43 @@ def test_quotes_with_another_label_are_skipped(spark):
     row = "<tr><td>+150 (up)</td><td>x</td><td>{}</td><td>x</td><td>-175</td></tr>"
     p = frame(spark, row.format("Betting Odds"), row.format("Age"), "<p></p>")
     assert [tuple(r) for r in pages.quote_from_page(p).collect()] == [(0, "+150", "-175")]
+
+
+PERSON = """<div class='b-x b-fight-details__person'><i class="b-fight-details__person-status s">{}</i>
+<A class="b-link b-fight-details__person-link" href="/c">{}</A></div>"""
+
+
+def test_corners_are_found_among_other_classes_and_decoys(spark):
+    decoy = '<!-- <div class="b-fight-details__person"><a class="b-fight-details__person-link">X</a></div> -->'
+    wrapped = f'{decoy}<div class="b-fight-details__persons">{PERSON.format("L", "Ann &amp; Co")}{PERSON.format("W", "Bea")}</div>'
+    nameless = PERSON.format("W", "Ann") + PERSON.format("L", "")
+    p = frame(spark, wrapped, nameless, "<p></p>")
+    rows = pages.bout_from_page(p).collect()
+    assert [(r.page_id, r.r_name, r.b_name, r.winner) for r in rows] == [(0, "Ann & Co", "Bea", "Bea")]
+    assert sorted(r.page_id for r in pages.unreadable_bouts(p).collect()) == [1, 2]
+
+
+def test_strikes_come_from_the_third_table_and_rounds_from_the_right_chart(spark):
+    def table(*cells):
+        made = "".join(f'<td class="b-fight-details__table-col x"><p>{r}</p><p>{b}</p></td>' for r, b in cells)
+        return f"<table><tbody>{made}</tbody></table>"
+
+    def row(red, blue):
+        sides = (("js-red", red), ("js-blue", blue))
+        inner = "".join(
+            f'<i class="bar {s}"><i class="b-fight-details__bar-chart"></i>'
+            f'<i class="b-fight-details__bar-chart-text y">{t}</i></i>' for s, t in sides
+        )
+        return f'<div class="b-fight-details__bar-charts-row clearfix">{inner}</div>'
+
+    none = ("", "")
+    totals = table((1, 0), ("10 of 20", "5 of 9"), none, ("12 of 25", "6 of 10"), ("2 of 3", "0 of 1"), none, (1, 2), (0, 1), ("1:05", "0:10"))
+    wrong = table(*[("99 of 99", "99 of 99")] * 9)
+    strikes = table(none, none, *[(f"{n} of 9", f"{n} of 8") for n in range(1, 7)])
+    charts = f'<div class="b-fight-details__charts-col_pos_left">{row("9 of 9", "9 of 9")}</div>'
+    charts += f'<div class="c b-fight-details__charts-col_pos_right">{row("3 of 7 - 42%", "1 of 2 - 50%")}{row("4 of 5 - 80%", "0 of 3 - 0%")}</div>'
+    red, blue = pages.corner_stats_from_page(frame(spark, totals + wrong + strikes + wrong + charts)).orderBy("ctrl_time").collect()[::-1]
+    assert (red.corner, red.kd_landed, red.sig_str_landed, red.ctrl_time, red.head_landed, red.ground_attempted) == ("r", 1, 10, 65, 1, 9)
+    assert (blue.corner, blue.td_attempted, blue.subs_attempted, blue.reversals, blue.ground_landed) == ("b", 1, 2, 1, 6)
+    assert [red[f"round_{n}_sig_str_attempted"] for n in range(1, 6)] == [7, 5, None, None, None]
+    assert [blue[f"round_{n}_sig_str_landed"] for n in (1, 2)] == [1, 0]
