@@ -18,14 +18,15 @@ from boutlab.sources.tables import stage
 class Settings:
     """``neighbours`` of every node in the graph; ``sample`` new and ``sample`` old ones, and as many that
     point to the node, meet in each of ``rounds``. ``trees`` random partitions into blocks of about
-    ``block`` nodes give the first graph. A search keeps the best ``beam`` nodes and expands ``steps``
+    ``block`` nodes give the first graph, each the ``first`` nearest of every node. A search keeps the best ``beam`` nodes and expands ``steps``
     of them at each of at most ``hops``."""
 
     neighbours: int = 32
     sample: int = 16
-    rounds: int = 3
-    trees: int = 6
-    block: int = 512
+    rounds: int = 2
+    trees: int = 16
+    block: int = 2048
+    first: int = 12
     beam: int = 64
     steps: int = 16
     hops: int = 6
@@ -125,7 +126,8 @@ def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
     )
     shuffles = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = dealt.repartition(shuffles, "block").sortWithinPartitions("block")
-    most = settings.neighbours
+    # A near node is among the first of any block it shares.
+    most = settings.first if planes else settings.neighbours
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _blocks(frames):
