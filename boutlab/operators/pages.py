@@ -27,12 +27,18 @@ def extract_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def text_field(
+    html: Column, tag: str, css_class: str | None = None, partial: bool = False
+) -> Column:
+    """Text of the first element of a kind; NULL where the page has none."""
+    return markup.inner_text(markup.first_element(html, tag, css_class, partial))
+
+
 def extract_text_field(
     pages: DataFrame, tag: str, css_class: str | None = None, partial: bool = False
 ) -> DataFrame:
-    """Text of the first element of a kind; NULL where the page has none."""
-    found = markup.first_element(F.col("html"), tag, css_class, partial)
-    return pages.select("page_id", markup.inner_text(found).alias("text"))
+    """The text field of every page."""
+    return pages.select("page_id", text_field(F.col("html"), tag, css_class, partial).alias("text"))
 
 
 def extract_cells(

@@ -284,10 +284,11 @@ def extract_links(g):
 
 @query
 def extract_text_field(g):
+    # Two fields of a page in one pass over it.
     p = g.table("pages")
-    title = pages.extract_text_field(p, "title").withColumnRenamed("text", "title")
-    ad = pages.extract_text_field(p, "div", "ad").withColumnRenamed("text", "ad")
-    return title.join(ad, "page_id")
+    fields = {"title": ("title", None), "ad": ("div", "ad")}
+    found = {n: pages.text_field(F.col("html"), *where) for n, where in fields.items()}
+    return p.select("page_id", *[c.alias(n) for n, c in found.items()])
 
 
 @query
