@@ -100,8 +100,7 @@ class _Packer:
         fits whole, the one with the largest product is cut to what does.
         """
         most = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], float)
-        need = np.array([[e.left, 1, e.loss_of(e.left)] for e in self.pool], float) / most
-        need = need.reshape(-1, 3)
+        need = np.array([[e.left, 1, e.loss_of(e.left)] for e in self.pool], float).reshape(-1, 3) / most
         while len(need):
             free, pieces = np.ones(3), []
             while len(need) and (free > 1e-9).all():
