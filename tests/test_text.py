@@ -75,8 +75,9 @@ def test_labels(spark):
 def test_bets_pay_favourites_without_sign_and_wrong_picks_cost_one(spark):
     rows = [
         (0, 0, 150, -200, 1.5), (0, 0, -200, 150, 0.5), (1, 1, 150, -250, 0.4), (1, 1, -250, 120, 1.2),
-        (2, 2, None, None, 0.0), (0, 1, 150, -200, -1.0), (0, 0, None, None, None), (0, 1, None, None, -1.0),
-        (0, 0, 0, 0, None),
+        (2, 2, None, None, 0.0), (0, 1, 150, -200, -1.0), (0, 0, None, None, None), (0, 1, None, None, None),
+        (0, 0, 0, 0, None), (0, 1, None, -200, -1.0), (0, 1, 150, None, None), (None, 0, 150, -200, None),
+        (0, 2, None, None, -1.0), (0, None, 150, -200, None),
     ]
     frame = spark.createDataFrame(rows, "label int, prediction int, r int, b int, expected double")
     won = odds.units(F.col("label"), F.col("prediction"), F.col("r"), F.col("b"))
