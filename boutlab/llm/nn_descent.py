@@ -134,17 +134,19 @@ def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
             ids, rows = frame.node.to_numpy(), _matrix(frame.code)
             if len(ids) < 2:
                 continue
-            scores = rows @ rows.T
-            np.fill_diagonal(scores, -9)
             k = min(most, len(ids) - 1)
-            near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            yield pd.DataFrame(
-                {
-                    "node": np.repeat(ids, k),
-                    "other": ids[near].ravel(),
-                    "score": np.take_along_axis(scores, near, axis=1).ravel(),
-                }
-            )
+            for at in range(0, len(ids), 256):  # some rows at a time, for little memory
+                scores = rows[at : at + 256] @ rows.T
+                own = np.arange(len(scores))
+                scores[own, at + own] = -9
+                near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                yield pd.DataFrame(
+                    {
+                        "node": np.repeat(ids[at : at + 256], k),
+                        "other": ids[near].ravel(),
+                        "score": np.take_along_axis(scores, near, axis=1).ravel(),
+                    }
+                )
 
     found = gathered.mapInPandas(run, "node long, other long, score float").distinct()
     return _top(found, "node", settings.neighbours)
