@@ -35,6 +35,8 @@ HEADLINES = [
     "classification_report",
     "betting_units",
     "train_gbt",
+    "refresh_totals",
+    "refresh_odds",
 ]
 
 
