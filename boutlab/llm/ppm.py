@@ -20,9 +20,11 @@ ORDER = 5
 BOUNDARY = 256
 SYMBOLS = 257
 BITS = 9
-# A context and symbol enter the trie where they make up this share of the training symbols, so no
-# order has more than 1 / SHARE of them, whatever the corpus.
-SHARE = 1e-6
+# At most this many longest grams, the most frequent ones, have their scores looked up at once; all
+# others are joined. Only speed depends on it.
+LOOKED_UP = 1_000_000
+# Contexts up to this length are few whatever the corpus, so they go to every task as a trie.
+SHORT = 1
 # Words of at least this share of the training tokens are looked up at once, at most 1 / WORD_SHARE;
 # all others are joined.
 WORD_SHARE = 5e-6
@@ -84,9 +86,12 @@ class Trie:
             trie.excluded.append(np.add.reduceat(lower, first) if len(first) else empty)
         return trie
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
+    def log10(self, keys: np.ndarray, less: np.ndarray | None = None, fewer: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each key's symbol after its context.
 
+        ``less`` and ``fewer`` say what a longer context, not in this trie, has excluded already: counts
+        at the highest order, and symbols.
+
         From the longest context in the trie downwards: a symbol seen there gets its share, and
         escape gets as many counts as there are distinct symbols, plus those of the grams that are too
         rare for the trie. On escape, the symbols seen are excluded from the next lower order. Below
@@ -94,7 +99,8 @@ class Trie:
         """
         result = np.zeros(len(keys))
         left = np.arange(len(keys))
-        less, fewer = np.zeros(len(keys)), np.zeros(len(keys))
+        less = np.zeros(len(keys)) if less is None else np.array(less, float)
+        fewer = np.zeros(len(keys)) if fewer is None else np.array(fewer, float)
         for k in reversed(range(len(self.grams))):
             if not len(self.grams[k]):
                 continue
@@ -178,34 +184,133 @@ def _word_rows(seen: Counter) -> pd.DataFrame:
     return pd.DataFrame({"word": list(seen), "gram": pd.array([None] * len(seen), "Int64"), "n": list(seen.values())})
 
 
-def build_trie(counts: DataFrame, share: float = SHARE) -> Trie:
-    """The trie of the grams that make up ``share`` of all symbols; at most 1 / share for each order."""
-    counted = counts.filter("gram IS NOT NULL")
-    total = counted.agg(F.sum("n")).first()[0] or 0
+@dataclass
+class Model:
+    """All counts of a byte trie as stored tables.
+
+    ``seen`` has (gram, log) of every longest gram in training. For orders above SHORT, ``levels[k]`` has
+    (gram, n) of every gram and ``contexts[k]`` (context, total, distinct, excluded) of every context;
+    ``short`` is the trie of the orders up to SHORT.
+    """
+
+    seen: DataFrame
+    levels: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    short: Trie
+
+
+def build_model(counts: DataFrame) -> Model:
+    """Every gram of the training texts, of all orders, whatever its count."""
+    levels = {ORDER: counts.filter("gram IS NOT NULL").select("gram", "n")}
+    for k in reversed(range(ORDER)):
+        shorter = levels[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k + 1))).alias("gram"))
+        levels[k] = stage(shorter.agg(F.sum("n").alias("n")), f"grams_{k}")
+    contexts = {}
+    for k in range(SHORT + 1, ORDER + 1):
+        lower = levels[k - 1].select(F.col("gram").alias("_lower"), F.col("n").alias("_n"))
+        below = F.col("gram").bitwiseAND(F.lit(_mask(k))) == F.col("_lower")
+        sums = levels[k].join(lower, below).groupBy(F.shiftright("gram", BITS).alias("context"))
+        contexts[k] = stage(
+            sums.agg(
+                F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("_n").alias("excluded")
+            ),
+            f"contexts_{k}",
+        )
+    whole = levels[ORDER].withColumn("context", F.shiftright("gram", BITS)).join(contexts[ORDER], "context")
+    seen = whole.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log"))
     tables = []
-    for k in range(ORDER + 1):
-        shorter = counted.select(F.col("gram").bitwiseAND(F.lit(_mask(k + 1))).alias("gram"), "n")
-        least = max(1, share * total) if k else 1
-        kept = _sums(shorter, least)
-        whole = _sums(shorter.select(F.shiftright("gram", BITS).alias("gram"), "n"), least)
-        tables.append((*kept, *whole))
-    return Trie.build(tables)
+    for k in range(SHORT + 1):
+        keys, n = _arrays(levels[k], "gram", "n")
+        own, place = np.unique(keys >> BITS, return_inverse=True)
+        tables.append((keys, n, own, np.bincount(place, n, len(own)) if len(own) else np.zeros(0)))
+    return Model(stage(seen, "seen_grams"), levels, contexts, Trie.build(tables))
+
+
+def _frequent(seen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams and their scores: those of the highest counts, by eighths of a power of two."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r.step, r.rows) for r in seen.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, held = float("inf"), 0
+    for at, rows in sizes:
+        held += rows
+        if held > most:
+            break
+        least = at
+    if least == float("inf"):
+        return np.zeros(0, np.int64), np.zeros(0)
+    grams_of, logs = _arrays(seen.filter(step >= F.lit(least)), "gram", "log")
+    order = np.argsort(grams_of)
+    return grams_of[order], logs[order]
+
+
+def _arrays(frame: DataFrame, whole: str, number: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of longs and one of doubles, fetched as bytes: rows would take many times the memory."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            a, b = part[whole].to_numpy("<i8"), part[number].to_numpy("<f8")
+            yield pd.DataFrame({"a": [a.tobytes()], "b": [b.tobytes()]})
+
+    ready_for_python(frame.sparkSession, 10_000)
+    rows = frame.select(whole, F.col(number).cast("double").alias(number)).mapInPandas(run, "a binary, b binary").collect()
+    return np.frombuffer(b"".join(r.a for r in rows), "<i8"), np.frombuffer(b"".join(r.b for r in rows), "<f8")
 
-def _sums(grams_of: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    kept = grams_of.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return kept.gram.to_numpy(np.int64), kept.n.to_numpy(np.int64)
 
+def unseen_scores(unseen: DataFrame, model: Model) -> DataFrame:
+    """(gram, log) of distinct longest grams that training does not have.
+
+    Escapes as ``Trie.log10`` does, one order after another: from the context's row, if there is one, to
+    the gram of that order, if there is one; the shortest contexts are settled by ``model.short``.
+    """
+    zero = F.lit(0.0)
+    state = unseen.select("gram", zero.alias("log"), zero.alias("less"), zero.alias("fewer"), F.lit(False).alias("done"))
+    for k in reversed(range(SHORT + 1, ORDER + 1)):
+        context = F.shiftright("gram", BITS).bitwiseAND(F.lit(_mask(k)))
+        # At two symbols and fewer a few contexts would be hot keys; they are at most 257 ** 2.
+        contexts = F.broadcast(model.contexts[k]) if k <= 2 else model.contexts[k]
+        met = state.withColumn("context", context).join(contexts, "context", "left")
+        if k < ORDER:
+            shorter = model.levels[k].select(F.col("gram").alias("_short"), "n")
+            met = met.join(shorter, F.col("gram").bitwiseAND(F.lit(_mask(k + 1))) == F.col("_short"), "left")
+        else:
+            met = met.withColumn("n", F.lit(None).cast("long"))
+        escape = F.col("distinct") - F.col("fewer")
+        whole = F.greatest(F.col("total") - F.col("less") + escape, F.lit(1e-300))
+        gain = (
+            F.when(F.col("done") | F.col("total").isNull(), zero)
+            .when(F.col("n").isNotNull(), F.log10(F.col("n") / whole))
+            .when(escape > 0, F.log10(escape / whole))
+            .otherwise(zero)
+        )
+        state = met.select(
+            "gram",
+            (F.col("log") + gain).alias("log"),
+            F.coalesce(F.col("excluded").cast("double"), zero).alias("less"),
+            F.coalesce(F.col("distinct").cast("double"), zero).alias("fewer"),
+            (F.col("done") | F.col("n").isNotNull()).alias("done"),
+        )
+    shared = unseen.sparkSession.sparkContext.broadcast(model.short)
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keys, logs = frame.gram.to_numpy(np.int64), frame.log.to_numpy(float).copy()
+            left = ~frame.done.to_numpy(bool)
+            logs[left] += shared.value.log10(keys[left], frame.less.to_numpy(float)[left], frame.fewer.to_numpy(float)[left])
+            yield pd.DataFrame({"gram": keys, "log": logs})
+
+    return state.mapInPandas(run, "gram long, log double")
+
+
+def score(docs: DataFrame, held_out: Column, looked_up: int = LOOKED_UP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     ``score`` is the log10 probability of the whole text, its end included, under a byte trie learnt
     from the rows that ``held_out``, a condition on doc_id, does not name. ``base_score`` is that of
     its words, and of one end, under counts of the same rows plus one.
 
-    Frequent words, of which there can be only so many, are looked up in the task that reads the text;
-    the others go by (row, word) to the count of the word and back as sums.
+    Frequent words and grams, of which there can be only so many, are looked up in the task that reads
+    the text; the others go by (row, word) and (row, gram) to the count of the word and the score of the
+    gram, and back as sums. No count is left out.
 
     A null text counts as an empty one, which has only its end; rows of one doc_id are scored each; a
     null doc_id is not held out; without training rows counts are zero and every symbol is equally likely;
@@ -219,10 +324,12 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     total, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counted.filter((F.col("n") >= WORD_SHARE * total) | (F.octet_length("word") == 0))
     known = {bytes(r.word): r.n for r in frequent.select("word", "n").toLocalIterator()}
-    shared = spark.sparkContext.broadcast((build_trie(counts), known))
+    model = build_model(counts)
+    shared = spark.sparkContext.broadcast((_frequent(model.seen, looked_up), known))
+    ready_for_python(spark)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, often = shared.value
+        table, often = shared.value
         logs = {w: (n, float(np.log10(n + 1))) for w, n in often.items()}
         row = TaskContext.get().partitionId() << 40
         for frame in frames:
@@ -243,14 +350,21 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 row += 1
             out = pd.DataFrame(plain, columns=["row", "n_tokens", "n_known", "base"])
             out["doc_id"], out["held_out"] = frame.doc_id.to_numpy(), frame.held_out.to_numpy()
-            out["score"] = _text_scores(trie, data)
-            yield out.assign(word=None, n=0)[_COLUMNS].astype({"doc_id": "Int64", "word": object})
+            first = row - len(data)
+            out["score"], left = _text_scores(table, data)
+            yield out.assign(word=None, gram=pd.NA, n=0)[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64", "word": object})
+            for texts_of, keys, n in left:
+                for at in range(0, len(keys), _HELD_GRAMS):
+                    part = slice(at, at + _HELD_GRAMS)
+                    some = pd.DataFrame({"row": first + texts_of[part], "gram": keys[part], "n": n[part]})
+                    some = some.assign(word=None, n_tokens=0, n_known=0, base=0.0, doc_id=pd.NA, held_out=False, score=0.0)
+                    yield some[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64", "word": object})
             if rare:
                 few = pd.DataFrame(rare, columns=["row", "word", "n"])
-                few = few.assign(n_tokens=0, n_known=0, base=0.0, doc_id=pd.NA, held_out=False, score=0.0)
-                yield few[_COLUMNS].astype({"doc_id": "Int64"})
+                few = few.assign(n_tokens=0, n_known=0, base=0.0, doc_id=pd.NA, held_out=False, score=0.0, gram=pd.NA)
+                yield few[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64"})
 
-    # Written once: the documents' own sums and their rare words are read apart.
+    # Written once: the documents' own sums, their rare words and their rare grams are read apart.
     scored = stage(rows.mapInPandas(run, _SCHEMA), "scored")
     rest = counted.filter((F.col("n") < WORD_SHARE * total) & (F.octet_length("word") > 0))
     joined = scored.filter("word IS NOT NULL").select("row", "word", "n").join(
@@ -259,29 +373,37 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     more = joined.groupBy("row").agg(
         F.sum("n").alias("_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("_base")
     )
-    own = scored.filter("word IS NULL")
+    asked = scored.filter("gram IS NOT NULL").select("row", "gram", "n")
+    ready_for_python(spark, 10_000)
+    unseen = asked.select("gram").distinct().join(model.seen.select("gram"), "gram", "left_anti")
+    logs_of = stage(model.seen.select("gram", "log").unionByName(unseen_scores(unseen, model)), "gram_scores")
+    rest_of = asked.join(logs_of, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("_score"))
+    own = scored.filter("word IS NULL AND gram IS NULL")
     scale = float(np.log10(total + vocabulary + 1))
-    return own.join(more, "row", "left").select(
+    return own.join(more, "row", "left").join(rest_of, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
     )
 
 
 _SCHEMA = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-    "word binary, n long"
+    "word binary, gram long, n long"
 )
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
-def _text_scores(trie: Trie, data: list[bytes]) -> np.ndarray:
-    """Scores of several texts: every distinct gram of a block is scored once."""
-    result, at = np.zeros(len(data)), 0
+def _text_scores(table: tuple[np.ndarray, np.ndarray], data: list[bytes]) -> tuple[np.ndarray, list[tuple]]:
+    """Scores of several texts over the grams of ``table``, and (text, gram, count) of all others.
+
+    Every distinct gram of a block is looked up once.
+    """
+    result, left, at = np.zeros(len(data)), [], 0
     while at < len(data):
         to, size = at, 0
         while to < len(data) and (size == 0 or size + len(data[to]) < BLOCK):
@@ -289,7 +411,16 @@ def _text_scores(trie: Trie, data: list[bytes]) -> np.ndarray:
             to += 1
         keys = [grams(t) for t in data[at:to]]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum([len(k) for k in keys])[:-1]])
-        result[at:to] = np.add.reduceat(trie.log10(distinct)[place], starts)
+        lengths = [len(k) for k in keys]
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        where, found = _find(table[0], distinct)
+        logs = np.zeros(len(distinct))
+        logs[found] = table[1][where[found]]
+        result[at:to] = np.add.reduceat(logs[place], starts)
+        missing = np.flatnonzero(~found[place])
+        if len(missing):
+            text = np.repeat(np.arange(at, to), lengths)[missing]
+            both, n = np.unique(text * len(distinct) + place[missing], return_counts=True)
+            left.append((both // len(distinct), distinct[both % len(distinct)], n))
         at = to
-    return result
+    return result, left

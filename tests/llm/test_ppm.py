@@ -63,3 +63,24 @@ def test_odd_rows(odd_docs, spark):
     assert ppm.score(odd_docs.limit(0), remainder(7) == 2).count() == 0
     nothing_learnt = ppm.score(odd_docs, F.lit(True)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in nothing_learnt)
+
+
+def test_scores_use_every_gram_of_the_training_texts(documents, texts):
+    """Against the whole trie in memory; with few grams looked up, and with all."""
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    data = {i: t.encode("utf-8", "surrogatepass") for i, t in texts.items()}
+    trie = _trie([data[i] for i in texts if not held[i]])
+    exact = {i: trie.log10(ppm.grams(t)).sum() for i, t in data.items()}
+    for looked_up in (0, 3_000, ppm.LOOKED_UP):
+        rows = ppm.score(documents, remainder(7) == 2, looked_up).collect()
+        assert all(abs(r.score - exact[r.doc_id]) <= 1e-9 * abs(exact[r.doc_id]) for r in rows)
+
+
+def test_frequent_text_does_not_push_out_what_is_seen_twice(spark):
+    often = [(i, "a" * 2_000_000) for i in range(2)]
+    docs = spark.createDataFrame(
+        [*often, (10, "zebra quartz"), (11, "zebra quartz"), (1000, "zebra quartz")], "doc_id long, text string"
+    )
+    scores = {r.doc_id: r.score for r in ppm.score(docs, F.col("doc_id") >= 1000).collect()}
+    # Every symbol but the first ones follows a context that only ever had this symbol: 2 of 2 + 1 counts.
+    assert scores[1000] > 13 * math.log10(2 / 3) - 8
