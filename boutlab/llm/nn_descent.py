@@ -17,13 +17,14 @@ from boutlab.sources.tables import stage
 @dataclass(frozen=True)
 class Settings:
     """``neighbours`` of every node in the graph; ``sample`` new and ``sample`` old ones, and as many that
-    point to the node, meet in each of ``rounds``. ``trees`` random partitions into blocks of about
+    point to the node, meet in each round; rounds end when the share of neighbours that a round changed is
+    at most ``settled``. ``trees`` random partitions into blocks of about
     ``block`` nodes give the first graph, each the ``first`` nearest of every node. A search keeps the best ``beam`` nodes and expands ``steps``
     of them at each of at most ``hops``."""
 
     neighbours: int = 32
     sample: int = 16
-    rounds: int = 2
+    settled: float = 0.01
     trees: int = 16
     block: int = 2048
     first: int = 12
@@ -127,7 +128,7 @@ def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
     shuffles = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = dealt.repartition(shuffles, "block").sortWithinPartitions("block")
     # A near node is among the first of any block it shares.
-    most = settings.first if planes else settings.neighbours
+    most = settings.first
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _blocks(frames):
@@ -233,8 +234,11 @@ def descend(codes: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame
 def build_graph(codes: DataFrame, settings: Settings) -> DataFrame:
     """(node, near): the neighbours of every node in the graph, and some of those it is one of."""
     graph = stage(first_graph(codes, settings).withColumn("new", F.lit(True)), "graph")
-    for _ in range(settings.rounds):
-        graph = stage(descend(codes, graph, settings), "graph")
+    changed = 1.0
+    while changed > settings.settled:
+        before, graph = graph, stage(descend(codes, graph, settings), "graph")
+        fresh = graph.join(before.select("node", "other"), ["node", "other"], "left_anti").count()
+        changed = fresh / max(1, graph.count())
     ahead = graph.select("node", "other")
     back = _meeting(graph.withColumn("new", F.lit(False)), settings.sample).select("node", F.col("meets").alias("other"))
     both = ahead.unionByName(back).distinct()

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from boutlab.llm import nn_descent
 from boutlab.llm.nn_descent import Settings, search
 
 
@@ -71,3 +72,16 @@ def test_odd_vectors(spark):
     ]
     assert search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert search(table.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
+    """From a poor first graph, two rounds are too few."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1500, 8))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    rounds, once = [], nn_descent.descend
+    monkeypatch.setattr(nn_descent, "descend", lambda *a: rounds.append(1) or once(*a))
+    settings = Settings(block=16, trees=3, first=2)
+    recall, _ = _recall(search(table, F.col("vec_id") % 20 == 0, settings=settings).collect(), list(range(1500)), vectors)
+    assert len(rounds) > 2 and recall >= 0.9
