@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutlab.llm import byte_cnn, line_templates, mixing, nn_descent, packing, pii, ppm, quality_rules, sharding, simhash
+from boutlab.llm import (
+    byte_cnn,
+    filter_audit,
+    line_templates,
+    merge_pieces,
+    mixing,
+    nn_descent,
+    packing,
+    pii,
+    ppm,
+    quality_rules,
+    sharding,
+    simhash,
+    vector_codes,
+)
 from boutlab.sources.tables import read_table
 
 
@@ -78,6 +92,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return vector_codes.coded_with_label_errors(vectors).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def op13_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_pieces.encode_texts(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -89,8 +124,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_ring": op8_hash_ring,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_merge_pieces": op13_merge_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.mix_sql(),
     "op7_line_templates": line_templates.drop_recurring_lines_sql(),
+    "op11_filter_audit": filter_audit.audit_filters_sql(),
 }
