@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from boutlab.llm.common import ready_for_python
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string, agrees boolean"
 # Segments that one worker remembers, and the longest of them in characters.
-REMEMBERED, SHORT = 400_000, 32
+REMEMBERED, SHORT = 1_000_000, 32
 LEFT, SCORE = 16, 64
 LENGTHS, PLACES = (1 << LEFT) - 1, (1 << SCORE - LEFT) - 1
 
@@ -36,7 +36,7 @@ class _Segments(dict):
         super().__init__()
         self._encode = encode
 
-    def __missing__(self, segment: str) -> list[int]:
+    def __missing__(self, segment: str) -> bytes:
         ids = self._encode(segment)
         if len(segment) <= SHORT and len(self) < REMEMBERED:
             self[segment] = ids
@@ -57,8 +57,10 @@ class MergePieces:
             raise ValueError(f"{path} is no merge-type vocabulary")
         if any(p.type in (kinds.UNUSED, kinds.USER_DEFINED) for p in model.pieces):
             raise ValueError(f"{path} has unused or user-defined pieces")
+        if not model.normalizer_spec.escape_whitespaces:
+            raise ValueError(f"{path} keeps spaces apart from word starts")
         plain = [(i, p) for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL]
-        self._ids = {p.piece: i for i, p in plain}
+        self._packed = {p.piece: _number(i) for i, p in plain}
         rank = {score: r for r, score in enumerate(sorted({p.score for _, p in plain}, reverse=True))}
         # Entries of the agenda are numbers: rank of the score, place of the left symbol, length made.
         self._wanted = {p.piece: rank[p.score] << SCORE | len(p.piece) for _, p in plain}
@@ -69,44 +71,71 @@ class MergePieces:
         self._control = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self._unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         self._unknown_text = model.trainer_spec.unk_surface
-        self._begin, self._end = self.library.bos_id(), self.library.eos_id()
+        self._begin, self._end = _number(self.library.bos_id()), _number(self.library.eos_id())
         normal = model.normalizer_spec
         self._plain_text = (
             not normal.precompiled_charsmap
             and normal.add_dummy_prefix
             and not normal.remove_extra_whitespaces
-            and normal.escape_whitespaces
             and not model.trainer_spec.treat_whitespace_as_suffix
         )
         self._strips_first = normal.add_dummy_prefix or normal.remove_extra_whitespaces
         self._strips_all = normal.remove_extra_whitespaces
-        # No piece reaches over the start of a word: then words can be encoded on their own.
-        crossing = re.compile(f"[^{SPACE}]{SPACE}")
-        # Without bytes, unknown characters side by side count as one, across words too.
-        apart = self._fallback and not any(crossing.search(p) for p in self._ids)
-        self._segment = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else "(?s).+")
+        self._written = [self._bytes_of(i) for i in range(len(self._pieces))]
+        self._segment = re.compile(self._segments())
         self._known = _Segments(self._merge)
 
-    def encode(self, text: str) -> np.ndarray:
+    def _bytes_of(self, i: int) -> bytes:
+        """What an id stands for inside a text."""
+        if i in self._byte_of:
+            return bytes([self._byte_of[i]])
+        if i in self._control:
+            return b""
+        text = self._unknown_text if i == self._unknown else self._pieces[i].replace(SPACE, " ")
+        return text.encode("utf-8")
+
+    def _segments(self) -> str:
+        """A pattern that cuts texts, their spaces still plain ones, where no merge can reach across.
+
+        Such a place lies between two characters that stand side by side in no piece. Looked for are
+        the starts of words, the ends of runs of letters, and characters that no longer piece has. Without
+        bytes, unknown characters side by side count as one, so nothing is cut.
+        """
+        pairs = {pair for p in self._packed for pair in zip(p, p[1:], strict=False)}
+        if not self._fallback or any(y == SPACE != x for x, y in pairs):
+            return "(?s).+"
+        joined = {c for pair in pairs for c in pair}
+        alone = "".join(chr(c) for c in range(128) if chr(c) not in joined and chr(c) != " " and not chr(c).isalpha())
+        letter, others = re.compile(r"[^\W\d_]"), set()
+        # Letters that some piece follows up with no letter; and then those before them.
+        while more := {x for x, y in pairs if letter.match(x) and (not letter.match(y) or y in others)} - others:
+            others |= more
+        if len(others) > 100:
+            return " +[^ ]*|[^ ]+"
+        letters = rf"[^\W\d_{re.escape(''.join(sorted(others)))}]"
+        alone = re.escape(alone)
+        other = rf"(?:(?!{letters})[^ {alone}])"
+        return rf" *{letters}+|[{alone}]|(?: +|{other}){other}*{letters}*"
+
+    def encode(self, text: str) -> bytes:
         """Ids with those of begin and end, as little-endian unsigned 32-bit numbers."""
         if not text:
             normal = ""
         elif self._plain_text:
-            normal = SPACE + text.replace(" ", SPACE)
+            normal = " " + text.replace(SPACE, " ")
         else:
-            normal = self.library.normalize(text)
-        found = chain.from_iterable(map(self._known.__getitem__, self._segment.findall(normal)))
-        return np.fromiter(chain((self._begin,), found, (self._end,)), "<u4")
+            normal = self.library.normalize(text).replace(SPACE, " ")
+        found = map(self._known.__getitem__, self._segment.findall(normal))
+        return b"".join([self._begin, *found, self._end])
 
-    def _merge(self, text: str) -> list[int]:
+    def _merge(self, text: str) -> bytes:
+        text = text.replace(" ", SPACE)
         symbols = list(text)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        wanted, agenda = self._wanted.get, []
-        for left in range(n - 1):
-            key = wanted(symbols[left] + symbols[left + 1])
-            if key is not None:
-                agenda.append(key + (left << LEFT))
+        wanted = self._wanted.get
+        first = map(wanted, map(add, symbols, text[1:]))
+        agenda = [key + (left << LEFT) for left, key in enumerate(first) if key is not None]
         heapify(agenda)
         while agenda:
             key = heappop(agenda)
@@ -128,23 +157,36 @@ class MergePieces:
                 key = wanted(symbols[front] + whole)
                 if key is not None:
                     heappush(agenda, key + (front << LEFT))
-        ids = []
-        for symbol in symbols:
-            if not symbol:
-                continue
-            known = self._ids.get(symbol)
-            if known is not None:
-                ids.append(known)
-            elif self._fallback:
-                ids.extend(self._bytes[b] for b in symbol.encode("utf-8"))
-            elif not ids or ids[-1] != self._unknown:
-                ids.append(self._unknown)
-        return ids
+        packed = self._packed
+        left = [s for s in symbols if s]
+        if not self._fallback:
+            # Unknown characters side by side are one.
+            left = [s for i, s in enumerate(left) if s in packed or i == 0 or left[i - 1] in packed]
+        return b"".join([packed.get(s) or self._spelt(s) for s in left])
 
-    def decode(self, ids: np.ndarray) -> str:
+    def _spelt(self, character: str) -> bytes:
+        """A character without a piece: the ids of its bytes, or the one for unknown characters."""
+        if not self._fallback:
+            return _number(self._unknown)
+        return b"".join(_number(self._bytes[b]) for b in character.encode("utf-8"))
+
+    def decode(self, ids: bytes) -> str:
         """The text of ids: bytes joined to characters, without the space put in front."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self._strips_all:
+            return self._decode_each(numbers)
+        try:
+            text = b"".join(map(self._written.__getitem__, numbers)).decode("utf-8")
+        except UnicodeDecodeError:
+            return self._decode_each(numbers)
+        first = next((i for i in numbers if i not in self._control), None)
+        spaced = self._strips_first and first is not None and self._pieces[first].startswith(SPACE)
+        return text[1:] if spaced else text
+
+    def _decode_each(self, numbers: list[int]) -> str:
+        """One id after another, for bytes that are no characters."""
         parts, waiting, at_start = [], bytearray(), self._strips_first
-        for i in ids.tolist():
+        for i in numbers:
             byte = self._byte_of.get(i)
             if byte is not None:
                 waiting.append(byte)
@@ -168,16 +210,20 @@ class MergePieces:
         parts.append(_characters(waiting))
         return "".join(parts)
 
-    def checked(self, texts: list[str], ids: list[np.ndarray], decoded: list[str]) -> list[bool]:
+    def checked(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> list[bool]:
         """Whether the library gives the same ids and the same decoded text, for each text."""
         other = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
         back = self.library.decode(other, num_threads=1)
         return [
-            mine.tolist() == its and text == again
+            np.frombuffer(mine, "<u4").tolist() == its and text == again
             for mine, its, text, again in zip(ids, other, decoded, back, strict=True)
         ]
 
 
+def _number(i: int) -> bytes:
+    return i.to_bytes(4, "little")
+
+
 def _characters(raw: bytearray) -> str:
     """UTF-8 read character by character; each byte that is none becomes the replacement character."""
     try:
@@ -214,8 +260,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, at_once: int = 64) -
     unused or user-defined pieces is refused with a ValueError.
 
     One narrow pass without a shuffle: a task holds one batch of texts, and a lost one is encoded again.
-    A text is encoded word by word where no piece of the vocabulary crosses the start of a word, so work
-    grows with its length; a word of n characters takes n log n steps. A null or empty text gives the
+    A text is cut at places that no merge can cross, as the start of a word, so work grows with its length;
+    a stretch of n characters without such a place takes n log n steps. A null or empty text gives the
     ids of begin and end and decodes to an empty text; a null doc_id stays null; repeated rows each give
     a row; an empty table gives no rows; other columns are ignored, whatever their names.
     """
@@ -233,8 +279,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, at_once: int = 64) -
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
                         pa.array(decoded, pa.string()),
                         pa.array(pieces.checked(texts, ids, decoded), pa.bool_()),
                     ],
