@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 from operator import add
 
 import numpy as np
@@ -24,6 +25,8 @@ SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string, agrees boolean
 # Segments that one worker remembers, and the longest of them in characters.
 REMEMBERED, SHORT = 1_000_000, 32
 LEFT, SCORE = 16, 64
+# Above every rank.
+NEVER = 1 << 32
 LENGTHS, PLACES = (1 << LEFT) - 1, (1 << SCORE - LEFT) - 1
 
 _MODELS: dict[str, MergePieces] = {}
@@ -63,7 +66,8 @@ class MergePieces:
         self._packed = {p.piece: _number(i) for i, p in plain}
         rank = {score: r for r, score in enumerate(sorted({p.score for _, p in plain}, reverse=True))}
         # Entries of the agenda are numbers: rank of the score, place of the left symbol, length made.
-        self._wanted = {p.piece: rank[p.score] << SCORE | len(p.piece) for _, p in plain}
+        self._rank = {p.piece: rank[p.score] for _, p in plain}
+        self._wanted = {piece: r << SCORE | len(piece) for piece, r in self._rank.items()}
         self._bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self._byte_of = {i: b for b, i in self._bytes.items()}
         self._fallback = model.trainer_spec.byte_fallback
@@ -106,16 +110,14 @@ class MergePieces:
             return "(?s).+"
         joined = {c for pair in pairs for c in pair}
         alone = "".join(chr(c) for c in range(128) if chr(c) not in joined and chr(c) != " " and not chr(c).isalpha())
-        letter, others = re.compile(r"[^\W\d_]"), set()
-        # Letters that some piece follows up with no letter; and then those before them.
-        while more := {x for x, y in pairs if letter.match(x) and (not letter.match(y) or y in others)} - others:
-            others |= more
-        if len(others) > 100:
+        letters = {c for c in joined if c.isalpha()}
+        # Without those that some piece follows up with another character, and then those before them.
+        while led_on := {x for x, y in pairs if x in letters and y not in letters}:
+            letters -= led_on
+        if not letters:
             return " +[^ ]*|[^ ]+"
-        letters = rf"[^\W\d_{re.escape(''.join(sorted(others)))}]"
-        alone = re.escape(alone)
-        other = rf"(?:(?!{letters})[^ {alone}])"
-        return rf" *{letters}+|[{alone}]|(?: +|{other}){other}*{letters}*"
+        alone, run = (re.escape("".join(sorted(x))) for x in (alone, letters))
+        return rf" *[{run}]+|[{alone}]|(?: +|[^ {alone}{run}])[^ {alone}{run}]*[{run}]*"
 
     def encode(self, text: str) -> bytes:
         """Ids with those of begin and end, as little-endian unsigned 32-bit numbers."""
@@ -129,12 +131,14 @@ class MergePieces:
         return b"".join([self._begin, *found, self._end])
 
     def _merge(self, text: str) -> bytes:
-        text = text.replace(" ", SPACE)
-        symbols = list(text)
+        symbols = list(text.replace(" ", SPACE))
+        return (self._merge_few if len(symbols) <= SHORT else self._merge_many)(symbols)
+
+    def _merge_many(self, symbols: list[str]) -> bytes:
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         wanted = self._wanted.get
-        first = map(wanted, map(add, symbols, text[1:]))
+        first = map(wanted, map(add, symbols, symbols[1:]))
         agenda = [key + (left << LEFT) for left, key in enumerate(first) if key is not None]
         heapify(agenda)
         while agenda:
@@ -157,12 +161,28 @@ class MergePieces:
                 key = wanted(symbols[front] + whole)
                 if key is not None:
                     heappush(agenda, key + (front << LEFT))
+        return self._ids_of([s for s in symbols if s])
+
+    def _merge_few(self, symbols: list[str]) -> bytes:
+        """The same for a short text: its agenda is a list by place, whose first least entry is next."""
+        wanted = self._rank.get
+        agenda = list(map(wanted, map(add, symbols, symbols[1:]), repeat(NEVER)))
+        while agenda and (best := min(agenda)) != NEVER:
+            at = agenda.index(best)
+            whole = symbols[at] = symbols[at] + symbols.pop(at + 1)
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = wanted(whole + symbols[at + 1], NEVER)
+            if at:
+                agenda[at - 1] = wanted(symbols[at - 1] + whole, NEVER)
+        return self._ids_of(symbols)
+
+    def _ids_of(self, symbols: list[str]) -> bytes:
         packed = self._packed
-        left = [s for s in symbols if s]
         if not self._fallback:
             # Unknown characters side by side are one.
-            left = [s for i, s in enumerate(left) if s in packed or i == 0 or left[i - 1] in packed]
-        return b"".join([packed.get(s) or self._spelt(s) for s in left])
+            symbols = [s for i, s in enumerate(symbols) if s in packed or i == 0 or symbols[i - 1] in packed]
+        return b"".join([packed.get(s) or self._spelt(s) for s in symbols])
 
     def _spelt(self, character: str) -> bytes:
         """A character without a piece: the ids of its bytes, or the one for unknown characters."""
@@ -210,14 +230,10 @@ class MergePieces:
         parts.append(_characters(waiting))
         return "".join(parts)
 
-    def checked(self, texts: list[str], ids: list[bytes], decoded: list[str]) -> list[bool]:
-        """Whether the library gives the same ids and the same decoded text, for each text."""
-        other = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-        back = self.library.decode(other, num_threads=1)
-        return [
-            np.frombuffer(mine, "<u4").tolist() == its and text == again
-            for mine, its, text, again in zip(ids, other, decoded, back, strict=True)
-        ]
+    def library_agrees(self, text: str, ids: bytes, decoded: str) -> bool:
+        """Whether the library gives the same ids for a text, and the same text back."""
+        other = self.library.encode(text, add_bos=True, add_eos=True)
+        return np.frombuffer(ids, "<u4").tolist() == other and self.library.decode(other) == decoded
 
 
 def _number(i: int) -> bytes:
@@ -282,7 +298,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, at_once: int = 64) -
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array(decoded, pa.string()),
-                        pa.array(pieces.checked(texts, ids, decoded), pa.bool_()),
+                        pa.array(list(map(pieces.library_agrees, texts, ids, decoded)), pa.bool_()),
                     ],
                     names=[c.split()[0] for c in SCHEMA.split(", ")],
                 )

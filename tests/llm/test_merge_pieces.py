@@ -7,7 +7,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boutlab.llm.merge_pieces import MergePieces, default_path, encode_texts
+from boutlab.llm.merge_pieces import SPACE, MergePieces, default_path, encode_texts
 from boutlab.llm.queries import op13_merge_pieces
 
 ODD = "ab '▁ é\n\t .!9<s></s><0x41>ßÅ\xa0漢😀\x00́ﬁ"
@@ -28,7 +28,14 @@ def pieces():
 def test_same_ids_and_text_as_the_library(text):
     own = _model()
     ids = own.encode(text)
-    assert own.checked([text], [ids], [own.decode(ids)]) == [True]
+    assert own.library_agrees(text, ids, own.decode(ids))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é.", max_size=30))
+def test_both_agendas_merge_alike(text):
+    own = _model()
+    assert own._merge(text) == own._merge_many(list(text.replace(" ", SPACE)))
 
 
 @settings(max_examples=400, deadline=None)
@@ -41,7 +48,7 @@ def test_any_ids_decode_alike(ids):
 @pytest.mark.parametrize("text", ["7" * 50_000, "ab" * 20_000, " " * 5_000, "漢" * 5_000 + "é" * 5_000, "a " * 50_000])
 def test_long_words(pieces, text):
     ids = pieces.encode(text)
-    assert pieces.checked([text], [ids], [pieces.decode(ids)]) == [True]
+    assert pieces.library_agrees(text, ids, pieces.decode(ids))
     assert pieces.decode(ids) == text
 
 
@@ -92,4 +99,4 @@ def test_without_bytes_unknown_characters_count_as_one(tmp_path):
     own = MergePieces(str(path))
     for text in ("a \x01\x02 b\x03", "\x01 \x02", "no unknown one"):
         ids = own.encode(text)
-        assert own.checked([text], [ids], [own.decode(ids)]) == [True]
+        assert own.library_agrees(text, ids, own.decode(ids))
