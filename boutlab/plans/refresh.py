@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutlab.operators.features import no_draws, training_dataset, upcoming_features
+from boutlab.operators.late import late_totals
 from boutlab.operators.pages import bout_from_page, corner_stats_from_page, unreadable_bouts
 from boutlab.operators.quotes import (
     link_quotes_and_bouts,
@@ -76,6 +77,36 @@ def refresh_totals(
     return TotalsRefresh(numbered, overlay_update(bouts, links, "bout_id"))
 
 
+@dataclass(frozen=True)
+class LateRefresh:
+    """``totals`` is the whole table: stored rows, corrected where a late bout changes them, and new ones."""
+
+    totals: DataFrame
+    bouts: DataFrame
+
+
+def refresh_late_totals(
+    bouts: DataFrame,
+    stats: DataFrame,
+    competitors: DataFrame,
+    totals: DataFrame,
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> LateRefresh:
+    """Totals of all bouts that have none yet, whatever their date, and what they change in stored ones."""
+    late = stage(bouts.filter("r_totals_id IS NULL AND b_totals_id IS NULL"), "late_bouts")
+    fought = stats.join(late.select("bout_id"), "bout_id", "left_semi")
+    found = late_totals(late, fought, totals, rows_per_slot=rows_per_slot)
+    grown = with_age(found.added, competitors).withColumn("place", F.when(F.col("corner") == "r", 0).otherwise(1))
+    numbered = stage(
+        append_with_keys(
+            totals, stage(grown, "grown_totals"), "totals_id", ["bout_ts", "bout_id", "place"], rows_per_slot
+        ).drop("place"),
+        "late_totals",
+    )
+    whole = overlay_update(totals, found.corrected, "totals_id").unionByName(numbered, allowMissingColumns=True)
+    return LateRefresh(whole, overlay_update(bouts, pair_up(numbered, ["totals_id"]), "bout_id"))
+
+
 @dataclass(frozen=True)
 class OddsRefresh:
     bouts: DataFrame

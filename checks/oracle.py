@@ -594,6 +594,16 @@ WHERE totals_id IN (SELECT max(totals_id) FROM totals GROUP BY competitor_id)"""
     q["cumulative_totals"] = sql(["totals", "competitors"], f"""SELECT {CORNER}, c.name,
   CAST(bout_date - date_of_birth AS INTEGER) AS age, {every} FROM totals JOIN competitors c ON c.id = competitor_id""")
     q["pre_bout_totals"] = sql(["entering"], f"SELECT {CORNER}, {every} FROM entering")
+    q["late_bouts_totals"] = sql(["totals"], f"SELECT {CORNER}, {every} FROM totals")
+    q["late_bouts_totals_cut"] = q["late_bouts_totals"]
+    q["late_bouts_corrections"] = sql(["totals", "legs"], f"""SELECT t.totals_id, {every} FROM totals t
+        JOIN late_reach r USING (totals_id) WHERE r.reached AND t.bout_id % 10 <> 0""", {
+        "late_before": f"SELECT *, sum(CAST(bout_id % 10 = 0 AS INT)) {UP_TO} AS late FROM legs",
+        "late_reach": f"""SELECT l.bout_id * 2 + CASE l.corner WHEN 'r' THEN 0 ELSE 1 END AS totals_id,
+            bool_or(l.late > 0 OR o.late > 0) OVER (PARTITION BY l.competitor_id ORDER BY l.bout_ts, l.bout_id
+            ROWS UNBOUNDED PRECEDING) AS reached
+            FROM late_before l JOIN late_before o ON o.bout_id = l.bout_id AND o.corner <> l.corner""",
+    })
     q["incremental_totals"] = sql(["totals"], f"SELECT {CORNER}, {every} FROM totals WHERE bout_date > {DAY}")
 
     # sorts and top-k
@@ -670,6 +680,18 @@ SELECT c, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, s
 SELECT {last} + {number.format('g.')} AS totals_id, g.bout_id, g.corner, g.competitor_id,
   CAST(g.bout_date - c.date_of_birth AS INTEGER) AS age, {', '.join('g.' + c for c in TOTAL_COLUMNS)}
 FROM grown g JOIN competitors c ON c.id = g.competitor_id""")
+    # Late bouts take ids behind the greatest stored one, in order of their moment.
+    numbered = {"numbered": """SELECT t.*, CASE WHEN bout_id % 10 <> 0 THEN totals_id ELSE
+        max(CASE WHEN bout_id % 10 <> 0 THEN totals_id END) OVER ()
+        + row_number() OVER (PARTITION BY bout_id % 10 = 0 ORDER BY bout_ts, bout_id, corner DESC) END AS new_id
+        FROM totals t"""}
+    q["refresh_late_totals"] = sql(["totals", "competitors"], f"""SELECT new_id AS totals_id, {CORNER}, c.name,
+        CAST(t.bout_date - c.date_of_birth AS INTEGER) AS age, {every} FROM numbered t
+        JOIN competitors c ON c.id = competitor_id""", numbered)
+    q["refresh_late_totals_links"] = sql(["totals", "bouts"], """SELECT b.bout_id,
+        max(CASE WHEN corner = 'r' THEN new_id END) AS r_totals_id,
+        max(CASE WHEN corner = 'b' THEN new_id END) AS b_totals_id
+        FROM bouts b LEFT JOIN numbered n USING (bout_id) GROUP BY b.bout_id""", numbered)
     q["refresh_totals_links"] = sql(["sides", "pending_sides", "linked"], f"""
 SELECT l.bout_id, coalesce(l.r_totals_id, r.t) AS r_totals_id, coalesce(l.b_totals_id, b.t) AS b_totals_id
 FROM linked l LEFT JOIN numbered r ON r.bout_id = l.bout_id AND r.corner = 'r'

@@ -17,6 +17,7 @@ from boutlab.functions.odds import units
 from boutlab.operators import (
     evaluate,
     features,
+    late,
     pages,
     quotes,
     resolve,
@@ -25,6 +26,7 @@ from boutlab.operators import (
     totals,
 )
 from boutlab.plans import models, refresh
+from boutlab.operators.skew import ROWS_PER_SLOT
 from boutlab.schema import (
     CATEGORIES,
     CONTROL,
@@ -739,6 +741,31 @@ def incremental_totals(g):
     return totals.running_totals(new, g.stats, seed=seed).select(*CORNER_KEYS, *TOTAL_COLUMNS)
 
 
+def _late(g, rows_per_slot=ROWS_PER_SLOT):
+    """Every tenth bout comes when the totals of all others are stored."""
+    on_time = g.bouts.filter("bout_id % 10 <> 0")
+    stored = tables.stage(with_totals_ids(totals.running_totals(on_time, g.stats)), "early_totals")
+    found = late.late_totals(g.bouts.filter("bout_id % 10 = 0"), g.stats, stored, rows_per_slot=rows_per_slot)
+    return stored, found
+
+
+@query
+def late_bouts_totals(g):
+    return late.with_late_totals(*_late(g)).select(*CORNER_KEYS, *TOTAL_COLUMNS)
+
+
+@query
+def late_bouts_totals_cut(g):
+    """The same with the time lines of busy competitors cut into slots."""
+    return late.with_late_totals(*_late(g, 50)).select(*CORNER_KEYS, *TOTAL_COLUMNS)
+
+
+@query
+def late_bouts_corrections(g):
+    """The stored rows that late bouts change, with their new values."""
+    return _late(g)[1].corrected
+
+
 @query
 def split_hot_totals(g):
     """The same totals with every busy competitor cut into slots."""
@@ -998,6 +1025,26 @@ def refresh_totals_links(g):
     return _refresh(g).bouts.select("bout_id", "r_totals_id", "b_totals_id")
 
 
+def _late_refresh(g):
+    late = F.col("bout_id") % 10 == 0
+    on_time = tables.stage(
+        totals.with_age(with_totals_ids(totals.running_totals(g.bouts.filter(~late), g.stats)), g.competitors),
+        "early_totals",
+    )
+    ids = {f"{c}_totals_id": F.when(~late, F.col("bout_id") * 2 + i) for i, c in enumerate("rb")}
+    return refresh.refresh_late_totals(g.bouts.withColumns(ids), g.stats, g.competitors, on_time)
+
+
+@query
+def refresh_late_totals(g):
+    return _late_refresh(g).totals.select("totals_id", *CORNER_KEYS, "name", "age", *TOTAL_COLUMNS)
+
+
+@query
+def refresh_late_totals_links(g):
+    return _late_refresh(g).bouts.select("bout_id", "r_totals_id", "b_totals_id")
+
+
 @query
 def refresh_odds(g):
     done = refresh.refresh_odds(
