@@ -345,13 +345,11 @@ def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
         "'<html><head><script>var x = \"<div class=\\\"b-fight-details__person\\\">\";</script></head><body>'",
         # A comment that would read as a corner, and the block around both corners.
         "'<!-- <div class=\"b-fight-details__person\"><a class=\"b-fight-details__person-link\">Nobody</a></div> -->'",
-        "'<i>Date:</i> '", "date_format(bout_date, 'MMMM dd, yyyy')",
-        "'<i>Location:</i> Hall &amp; Dome '", "bout_id % 9",
         "'<div class=\"b-fight-details__persons clearfix\">'",
         person("r"), person("b"), "'</div>'",
         "'<div class=\"b-fight-details__fight\"><i class=\"b-fight-details__fight-title\">'",
         "CASE WHEN championship_fight THEN '<img src=\"/img/belt.png\">' ELSE '<img src=\"/img/perf.png\">' END",
-        "weight_class", "' Bout</i>'",
+        "CASE WHEN r_id % 4 = 0 THEN 'Women&#39;s ' ELSE '' END", "weight_class", "' Bout</i>'",
         "'<i><i>Method:</i><i style=\"font-style: normal\">'", "win_method", "'</i></i>'",
         item("Round:", "finish_round"), item("Time:", "finish_time"),
         item("Time format:", "concat(number_of_rounds, ' Rnd')"),
@@ -370,13 +368,95 @@ def bout_pages(bouts: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
+def _joined(frame: DataFrame, day: str, order: str, row: str) -> DataFrame:
+    """One text per day of its rows' texts, in order."""
+    rows = frame.selectExpr(day, f"struct({order} AS at, {row} AS row) AS item")
+    return rows.groupBy(day).agg(F.expr("array_join(transform(array_sort(collect_list(item)), x -> x.row), '')").alias("rows"))
+
+
+def event_pages(bouts: DataFrame) -> DataFrame:
+    """A page per day, with a row per bout that links to its page; one cell holds a table of its own."""
+    cell = "<td class=\"b-fight-details__table-col l-page_align_left\">"
+    row = (
+        "concat('<tr class=\"b-fight-details__table-row b-fight-details__table-row__hover js-click\" "
+        f"data-link=\"http://stats.example/bout/', bout_id, '\">{cell}<a href=\"#\">win</a></td>{cell}"
+        "<p><a href=\"/c/1\"> ', r_name, ' </a></p><p><a href=\"/c/2\">', b_name, '</a></p></td>"
+        f"{cell}<table><tr><td>1</td><td>2</td></tr></table></td>{cell}3</td>{cell}4</td>{cell}5</td>{cell}<p>', "
+        "CASE WHEN r_id % 4 = 0 THEN concat('Women&#39;s ', weight_class) ELSE weight_class END, '</p></td></tr>')"
+    )
+    joined = _joined(bouts, "bout_date", "bout_id", row)
+    return joined.selectExpr(
+        "1000000 + unix_date(bout_date) AS page_id",
+        "concat('http://stats.example/event/', bout_date) AS url",
+        "concat('<html><body><table><thead><tr><th>x</th></tr></thead><tbody class=\"b-fight-details__table-body\">"
+        "<tr class=\"b-fight-details__table-row\"><td>heading</td></tr>', rows, '</tbody></table></body></html>') AS html",
+    )
+
+
+def listing_pages(bouts: DataFrame) -> DataFrame:
+    """Two pages that list the events, the days of odd and of even numbers."""
+    days = bouts.select("bout_date").distinct().selectExpr("bout_date", "unix_date(bout_date) % 2 AS half")
+    row = (
+        "concat('<tr class=\"b-statistics__table-row\"><td><i><a class=\"b-link b-link_style_black\" "
+        "href=\"http://stats.example/event/', bout_date, '\">Night</a><span class=\"b-statistics__date\"> ', "
+        "date_format(bout_date, 'MMMM dd, yyyy'), ' </span></i></td>"
+        "<td class=\"b-statistics__table-col b-statistics__table-col_style_big-top-padding\"> Hall &amp; Dome ', "
+        "unix_date(bout_date) % 9, '</td></tr>')"
+    )
+    return _joined(days, "half", "bout_date", row).selectExpr(
+        "2000000 + half AS page_id",
+        "concat('http://stats.example/events/', half) AS url",
+        "concat('<table><tr class=\"b-statistics__table-row\"><td>Name</td></tr>', rows, '</table>') AS html",
+    )
+
+
+def competitor_pages(raw: DataFrame, bouts: DataFrame) -> DataFrame:
+    """A page per competitor: facts in any order, links to the bouts, the first one first."""
+    item = "concat('<li class=\"b-list__box-list-item b-list__box-list-item_type_block\"><i class=\"b-list__title\"> {0} </i> ', {1}, ' </li>')"
+    facts = [
+        ("Height:", "height"), ("Weight:", "weight"), ("Reach:", "reach"), ("STANCE:", "stance"),
+        ("DOB:", "date_of_birth"), ("Other:", "'x'"),
+    ]
+    turned = ", ".join(item.format(*f) for f in facts[::-1])
+    plain = ", ".join(item.format(*f) for f in facts)
+    first = bouts.select(F.explode(F.array("r_id", "b_id")).alias("id"), "bout_id").groupBy("id").agg(F.min("bout_id").alias("bout_id"))
+    row = (
+        "CASE WHEN id % 23 = 1 THEN '' ELSE concat('<tr class=\"b-fight-details__table-row "
+        "b-fight-details__table-row__hover\" data-link=\"http://stats.example/bout/', bout_id, '\"><td>x</td></tr>') END"
+    )
+    return raw.join(first, "id").selectExpr(
+        "3000000 + id AS page_id",
+        "concat('/competitor/', id) AS url",
+        "concat('<span class=\"b-content__title-highlight\"> ', name, ' </span><ul class=\"b-list__box-list\">', "
+        f"CASE WHEN id % 2 = 0 THEN concat({plain}) ELSE concat({turned}) END, '</ul><table><tbody class="
+        f"\"b-fight-details__table-body\"><tr class=\"b-fight-details__table-row\"><td></td></tr>', {row}, '</tbody></table>') AS html",
+    )
+
+
+def card_page(card: DataFrame) -> DataFrame:
+    """The page of a card to come: three cells per bout, both names in the first."""
+    cell = "<td class=\"b-fight-details__table-col l-page_align_left\">"
+    row = (
+        f"concat('<tr><td class=\"b-fight-details__table-col\">no</td>{cell}<p><a>', r_name, '</a></p><p><a> ', b_name, "
+        f"' </a></p></td>{cell}<p>', replace(weight_class, chr(39), '&#39;'), '</p></td>{cell}time</td></tr>')"
+    )
+    return _joined(card.withColumn("one", F.lit(1)), "one", "card_id", row).selectExpr(
+        "CAST(one AS BIGINT) AS page_id", "'/event/next' AS url", "concat('<table>', rows, '</table>') AS html"
+    )
+
+
 def quote_pages(quotes: DataFrame) -> DataFrame:
     """A page per quote; some have another line where the odds should be."""
-    label = F.when(F.col("quote_id") % 6 == 0, "Nickname").otherwise("Betting Odds")
-    cell = F.lit("</td><td>")
-    odds = [F.concat(c, F.lit(" (text)")) for c in ("left_odds", "right_odds")]
-    cells = [odds[0], cell, F.lit("x"), cell, label, cell, F.lit("x"), cell, odds[1]]
-    return quotes.select(
-        F.col("quote_id").alias("page_id"),
-        F.concat(F.lit("<table><tr><td>"), *cells, F.lit("</td></tr></table>")).alias("html"),
+    label = "CASE WHEN quote_id % 6 = 0 THEN 'Nickname' ELSE 'Betting Odds' END"
+    blank = "'<li><span>x</span></li>'"
+    side = "concat('<span class=\"{0}\"><a href=\"/f\">', coalesce({0}_name, ''), '</a></span>')"
+    return quotes.selectExpr(
+        "quote_id AS page_id",
+        "concat('/quotes/', quote_id) AS url",
+        f"concat('<div class=\"fighterNames\">', {side.format('left')}, {side.format('right')}, '</div>"
+        "<table class=\"fighterStats spaced\"><tr><td>a</td></tr><tr><td><table><tr><td>b</td></tr></table></td></tr><tr><td>', "
+        f"left_odds, ' (text)</td><td>x</td><td>', {label}, '</td><td>x</td><td>', right_odds, ' (text)</td></tr></table>"
+        f"<div class=\"details details_with_poster\"><ul>', {blank}, {blank}, '<li><span>Saturday ', "
+        f"date_format(quote_date, 'MM.dd.yyyy'), ' at 10:00 PM</span></li>', repeat({blank}, 6), '<li><span> ', "
+        "weight_class, ' (155 lbs)</span></li></ul></div>') AS html",
     )

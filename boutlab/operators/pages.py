@@ -1,7 +1,7 @@
 """Records out of stored pages.
 
-Every job works on one page row at a time with JVM string functions and needs no shuffle; only
-following links joins pages.
+Every job works on one page row at a time and needs no shuffle; only following links joins pages. Fields
+that cannot hold others of their kind are found by pattern, nested ones in the page's tree.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlab.functions import markup, text
+from boutlab.functions import markup, text, tree
 from boutlab.operators.skew import lookup
 from boutlab.schema import AREAS, MAX_ROUNDS, ROUND_SECONDS
 
@@ -30,10 +30,33 @@ def extract_links(pages: DataFrame) -> DataFrame:
 def text_field(
     html: Column, tag: str, css_class: str | None = None, partial: bool = False
 ) -> Column:
-    """Text of the first element of a kind; NULL where the page has none."""
+    """Text of the first element of a kind, as far as its first closing tag; NULL where the page has none."""
     return markup.inner_text(markup.first_element(html, tag, css_class, partial))
 
 
+def nested_field(pages: DataFrame, tag: str, css_class: str | None = None) -> DataFrame:
+    """Text of the first element of a kind with all that is nested in it, others of its kind included."""
+    first = tree.nth(tree.inside(tree.page(), tag, css_class), 0)
+    return tree.with_tree(pages, [tag]).select("page_id", tree.text_of(first).alias("text"))
+
+
+def nested_cells(pages: DataFrame, tag: str, css_class: str | None = None) -> DataFrame:
+    """Every element of a kind: position, how many of its kind enclose it, which one does, and its text.
+
+    ``around`` is the position of the enclosing element of the kind, NULL for an outermost one.
+    """
+    found = tree.inside(tree.page(), tag, css_class)
+    record = lambda x: F.struct(
+        x["level"].alias("level"),
+        F.when(x["level"] > 0, F.array_position(F.transform(found, lambda y: y["at"]), x["parent"]) - 1)
+        .cast("int")
+        .alias("around"),
+        tree.text_of(x).alias("text"),
+    )
+    cells = tree.with_tree(pages, [tag]).select("page_id", F.transform(found, record).alias("cells"))
+    return cells.select("page_id", F.posexplode("cells").alias("pos", "cell")).select("page_id", "pos", "cell.*")
+
+
 def extract_text_field(
     pages: DataFrame, tag: str, css_class: str | None = None, partial: bool = False
 ) -> DataFrame:
@@ -150,8 +173,6 @@ class BoutPage:
     format_label: str = "Time format:"
     referee_label: str = "Referee:"
     details_label: str = "Details:"
-    date_label: str = "Date:"
-    place_label: str = "Location:"
     belt: str = "belt.png"
 
 
@@ -169,7 +190,8 @@ READABLE = "coalesce(r_name, '') <> '' AND coalesce(b_name, '') <> ''"
 def bout_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
     """One bout row per page: names, winner, method, round, time, referee, title bout.
 
-    Pages without the names of two corners are left to ``unreadable_bouts``.
+    Day, place and weight class are those of the event page that links here (``bout_context``). Pages
+    without the names of two corners are left to ``unreadable_bouts``.
     """
     return _read_bouts(pages, layout).filter(READABLE)
 
@@ -180,83 +202,74 @@ def unreadable_bouts(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFra
 
 
 def _read_bouts(pages: DataFrame, layout: BoutPage) -> DataFrame:
-    cleaned = pages.select("page_id", markup.visible(F.col("html")).alias("html"))
-    html = F.col("html")
-    people = markup.classed(html, "div", layout.person)
-    staged = cleaned.select(
-        "page_id",
-        "html",
-        F.get(people, F.lit(0)).alias("_r"),
-        F.get(people, F.lit(1)).alias("_b"),
-        markup.first_classed(html, "i", layout.title).alias("_title"),
-    )
+    scanned = tree.with_tree(pages, ["div", "i", "a", "img", "p"])
+    page = tree.page()
+    people = tree.inside(page, "div", layout.person)
+    red, blue = tree.nth(people, 0), tree.nth(people, 1)
+    title = tree.nth(tree.inside(page, "i", layout.title), 0)
 
     def name(side):
-        link = markup.first_classed(F.col(side), "a", layout.person_link)
-        return markup.decoded(markup.inner_text(link))
+        return tree.text_of(tree.nth(tree.inside(side, "a", layout.person_link), 0))
 
     def won(side):
-        status = markup.inner_text(markup.first_classed(F.col(side), "i", layout.status))
+        status = tree.text_of(tree.nth(tree.inside(side, "i", layout.status), 0))
         return F.coalesce(status == "W", F.lit(False))
 
     def after(label):
-        return markup.decoded(markup.text_after(F.col("html"), label))
+        return tree.labelled_text(page, label)
 
     belt = F.exists(
-        markup.attributes(F.col("_title"), "img", "src"), lambda src: src.endswith(layout.belt)
+        tree.inside(title, "img"), lambda x: F.coalesce(x["attrs"]["src"].endswith(layout.belt), F.lit(False))
     )
-    method = F.regexp_extract("html", rf'style="{layout.method_style}"[^>]*>([^<]*)<', 1)
-    finish_round = after(layout.round_label).try_cast("int")
-    finish_time = after(layout.time_label)
-    return staged.select(
+    styled = F.filter(tree.inside(page, "i"), lambda x: x["attrs"]["style"] == layout.method_style)
+    read = scanned.select(
         "page_id",
-        text.to_day(after(layout.date_label), "card").alias("bout_date"),
-        after(layout.place_label).alias("location"),
-        name("_r").alias("r_name"),
-        name("_b").alias("b_name"),
-        F.when(won("_b"), name("_b")).when(won("_r"), name("_r")).otherwise("").alias("winner"),
+        name(red).alias("r_name"),
+        name(blue).alias("b_name"),
+        won(red).alias("_r_won"),
+        won(blue).alias("_b_won"),
         F.coalesce(belt, F.lit(False)).alias("championship_fight"),
-        F.trim(method).alias("win_method"),
+        F.coalesce(tree.text_of(tree.nth(styled, 0)), F.lit("")).alias("win_method"),
         after(layout.details_label).alias("win_method_details"),
-        F.get(F.split(after(layout.format_label), " "), F.lit(0))
-        .try_cast("int")
-        .alias("number_of_rounds"),
-        finish_round.alias("finish_round"),
-        finish_time.alias("finish_time"),
+        F.get(F.split(after(layout.format_label), " "), F.lit(0)).try_cast("int").alias("number_of_rounds"),
+        after(layout.round_label).try_cast("int").alias("finish_round"),
+        after(layout.time_label).alias("finish_time"),
         after(layout.referee_label).alias("referee"),
-        ((finish_round - 1) * ROUND_SECONDS + text.clock_seconds(finish_time)).alias(
-            "total_fight_time"
-        ),
+    )
+    winner = F.when(F.col("_b_won"), F.col("b_name")).when(F.col("_r_won"), F.col("r_name")).otherwise("")
+    seconds = (F.col("finish_round") - 1) * ROUND_SECONDS + text.clock_seconds("finish_time")
+    return read.select(
+        "page_id", "r_name", "b_name", winner.alias("winner"), "championship_fight", "win_method",
+        "win_method_details", "number_of_rounds", "finish_round", "finish_time", "referee",
+        seconds.alias("total_fight_time"),
     )
 
 
 def corner_stats_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> DataFrame:
     """Two rows per page with what each corner did; rounds not fought are NULL."""
-    html = markup.visible(F.col("html"))
-    tables = markup.elements(html, "table")
+    scanned = tree.with_tree(pages, ["table", "td", "p", "div", "i"])
+    # Tables inside tables are no tables of the page.
+    tables = tree.inside(tree.page(), "table", level=0)
     # The rounds stand to the right of other charts that are built alike.
-    right = F.regexp_extract(html, rf"(?s)\b{layout.charts}\b(.*)$", 1)
+    right = tree.nth(tree.inside(tree.page(), "div", layout.charts), 0)
 
     def lines(cell):
-        return F.transform(markup.elements(cell, "p"), markup.inner_text)
+        return F.transform(tree.inside(cell, "p"), tree.text_of)
 
     def texts(table: int) -> Column:
         """Per cell the lines of the two corners, found once for all columns of both corners."""
-        return F.transform(markup.classed(F.get(tables, F.lit(table)), "td", layout.cell), lines)
+        return F.transform(tree.inside(tree.nth(tables, table), "td", layout.cell, level=0), lines)
 
     def both(row):
-        """The text element of either corner: behind the corner's mark there are other elements first."""
-        found = []
-        for side in (layout.red, layout.blue):
-            behind = F.regexp_extract(row, rf"(?s)(?<![\w-]){side}(?![\w-])(.*)$", 1)
-            found.append(markup.inner_text(markup.first_classed(behind, "i", layout.round_text)))
-        return F.array(*found)
-
-    parsed = pages.select(
+        """The text element of either corner: other elements come first inside the corner's mark."""
+        sides = [tree.nth(tree.inside(row, "i", side), 0) for side in (layout.red, layout.blue)]
+        return F.array(*[tree.text_of(tree.nth(tree.inside(side, "i", layout.round_text), 0)) for side in sides])
+
+    parsed = scanned.select(
         "page_id",
         texts(TOTALS_TABLE).alias("_totals"),
         texts(STRIKES_TABLE).alias("_strikes"),
-        F.transform(markup.classed(right, "div", layout.round_row), both).alias("_rounds"),
+        F.transform(tree.inside(right, "div", layout.round_row), both).alias("_rounds"),
         F.array(F.lit("r"), F.lit("b")).alias("_corners"),
     )
     staged = parsed.select(
@@ -295,17 +308,3 @@ def corner_stats_from_page(pages: DataFrame, layout: BoutPage = BoutPage()) -> D
         number("reversals"),
         text.clock_seconds(value("_totals", TOTAL_CELLS["ctrl_time"])).alias("ctrl_time"),
     )
-
-
-def quote_from_page(pages: DataFrame, label: str = "Betting Odds") -> DataFrame:
-    """Odds of both sides; pages whose odds line carries another label are skipped."""
-    cells = F.transform(markup.elements(F.col("html"), "td"), markup.inner_text)
-    return (
-        pages.select("page_id", cells.alias("cells"))
-        .filter(F.get("cells", F.lit(2)) == label)
-        .select(
-            "page_id",
-            F.get(F.split(F.get("cells", F.lit(0)), " "), F.lit(0)).alias("left_odds"),
-            F.get(F.split(F.get("cells", F.lit(4)), " "), F.lit(0)).alias("right_odds"),
-        )
-    )

@@ -56,6 +56,30 @@ def append_with_keys(
     return number_rows(new_rows, order, key, last, rows_per_slot)
 
 
+def append_with_child_keys(
+    existing: DataFrame,
+    children: DataFrame,
+    new_rows: DataFrame,
+    key: str,
+    child_key: str,
+    order: Sequence[str],
+    names: Sequence[str],
+    rows_per_slot: int = ROWS_PER_SLOT,
+) -> DataFrame:
+    """New rows with an id, and one id for each of their children, from one numbering.
+
+    The row in place n takes id last + n and its children the n-th run of ``len(names)`` ids behind the
+    greatest stored child's, in columns ``names``: a child's id needs no shuffle of its own.
+    """
+    last = children.agg(F.coalesce(F.max(child_key), F.lit(0)).cast("long")).scalar()
+    first = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+    numbered = number_rows(new_rows, order, "_place", -1, rows_per_slot)
+    place = F.col("_place")
+    keys = {key: first + 1 + place}
+    keys |= {name: last + 1 + place * len(names) + i for i, name in enumerate(names)}
+    return numbered.withColumns(keys).drop("_place")
+
+
 def overlay_update(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """A new snapshot: rows named in ``changes`` take its values, NULLs included.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boutlab.operators.features import no_draws, training_dataset, upcoming_features
 from boutlab.operators.late import late_totals
+from boutlab.operators.page_records import bout_context, pages_without_quote, quotes_from_page
 from boutlab.operators.pages import bout_from_page, corner_stats_from_page, unreadable_bouts
 from boutlab.operators.quotes import (
     link_quotes_and_bouts,
@@ -19,6 +20,7 @@ from boutlab.operators.quotes import (
 from boutlab.operators.resolve import resolve_aliases, resolve_names
 from boutlab.operators.skew import ROWS_PER_SLOT, lookup
 from boutlab.operators.snapshots import (
+    append_with_child_keys,
     append_with_keys,
     natural_order,
     overlay_update,
@@ -42,6 +44,7 @@ from boutlab.plans.models import (
     train_mlp,
     unlabelled,
 )
+from boutlab.schema import CORNERS
 from boutlab.sources.tables import export_dataset, read_feature_csv, save_snapshot, stage
 
 
@@ -125,13 +128,29 @@ def refresh_odds(
     return OddsRefresh(new_bouts, new_quotes, unmatched_quotes(resolved, bouts))
 
 
+@dataclass(frozen=True)
+class QuotesRefresh:
+    quotes: DataFrame
+    # Pages that hold no quote.
+    skipped: DataFrame
+
+
+def refresh_quotes(pages: DataFrame, quotes: DataFrame) -> QuotesRefresh:
+    """New quotes out of stored pages, with ids behind the greatest stored one, by day and page."""
+    read = stage(quotes_from_page(pages), "read_quotes")
+    return QuotesRefresh(
+        append_with_keys(quotes, read, "quote_id", ["quote_date", "page_id"]), pages_without_quote(pages)
+    )
+
+
 @dataclass(frozen=True)
 class BoutsRefresh:
     competitors: DataFrame
     bouts: DataFrame
     stats: DataFrame
-    # Pages without two names.
+    # Pages without two names, and pages that no event page leads to.
     unreadable: DataFrame
+    unplaced: DataFrame
 
 
 def new_competitors(
@@ -157,26 +176,38 @@ def new_competitors(
 
 def refresh_bouts(
     pages: DataFrame,
+    events: DataFrame,
+    listings: DataFrame,
     bouts: DataFrame,
+    stats: DataFrame,
     competitors: DataFrame,
     directory: DataFrame,
 ) -> BoutsRefresh:
-    """New bout, corner and competitor rows out of stored pages."""
+    """New bout, corner and competitor rows out of stored pages.
+
+    Day, place, weight class and weight of a bout come down the links from the pages of listings and events.
+    A bout and its two corner rows are numbered at once.
+    """
     read = stage(bout_from_page(pages), "read_bouts")
-    added = stage(new_competitors(read, competitors, directory), "new_competitors")
+    context = stage(bout_context(listings, events, pages), "bout_context")
+    placed = read.join(context, "page_id")
+    added = stage(new_competitors(placed, competitors, directory), "new_competitors")
     everyone = competitors.select("id", "name").unionByName(added.select("id", "name"))
-    resolved = resolve_names(read, everyone, "page_id")
+    resolved = stage(resolve_names(placed, everyone, "page_id"), "resolved_bouts")
+    ids = [f"{side}_stats_id" for side in CORNERS]
     numbered = stage(
-        append_with_keys(bouts, resolved, "bout_id", ["bout_date", "page_id"]), "new_bouts"
+        append_with_child_keys(bouts, stats, resolved, "bout_id", "stats_id", ["bout_date", "page_id"], ids),
+        "new_bouts",
     )
-    ids = numbered.select("page_id", "bout_id", "r_id", "b_id")
-    stats = (
+    corners = (
         corner_stats_from_page(pages)
-        .join(ids, "page_id")
+        .join(numbered.select("page_id", "bout_id", "r_id", "b_id", *ids), "page_id")
         .withColumn("competitor_id", F.expr("if(corner = 'r', r_id, b_id)"))
-        .drop("page_id", "r_id", "b_id")
+        .withColumn("stats_id", F.expr("if(corner = 'r', r_stats_id, b_stats_id)"))
+        .drop("page_id", "r_id", "b_id", *ids)
     )
-    return BoutsRefresh(added, numbered.drop("page_id"), stats, unreadable_bouts(pages))
+    unplaced = read.join(context.select("page_id"), "page_id", "left_anti").select("page_id")
+    return BoutsRefresh(added, numbered.drop("page_id"), corners, unreadable_bouts(pages), unplaced)
 
 
 @dataclass(frozen=True)
@@ -196,6 +227,8 @@ class FullRefresh:
 def full_refresh(
     folder: str,
     pages: DataFrame,
+    events: DataFrame,
+    listings: DataFrame,
     competitors: DataFrame,
     bouts: DataFrame,
     stats: DataFrame,
@@ -217,7 +250,7 @@ def full_refresh(
     def keep(frame, name):
         return save_snapshot(frame, f"{folder}/{name}")
 
-    read = refresh_bouts(pages, bouts, competitors, directory)
+    read = refresh_bouts(pages, events, listings, bouts, stats, competitors, directory)
     all_competitors = keep(competitors.unionByName(read.competitors), "competitors")
     fresh = read.bouts.withColumn(ORDER[0], F.col("bout_date").cast(bouts.schema[ORDER[0]].dataType))
     all_bouts = keep(bouts.unionByName(fresh, allowMissingColumns=True), "bouts")

@@ -6,7 +6,10 @@ import functools
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -61,3 +64,19 @@ def tune(spark: SparkSession) -> SparkSession:
     # Rows have up to 160 columns: let methods the JIT would refuse fall back to smaller ones.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package, for the Arrow functions that read pages."""
+    _ship(spark.sparkContext)
+
+
+@functools.cache
+def _ship(context: SparkContext) -> None:
+    """Once per application; a cluster that has the package installed finds the same code twice."""
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for file in sorted(package.rglob("*.py")):
+            packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))

@@ -456,8 +456,7 @@ WHERE page_id IN (SELECT target_page_id FROM two)""", walk)
   SELECT page_id, len(items) AS size, unnest(items) AS text, generate_subscripts(items, 1) AS n FROM ({ITEMS}))
 WHERE n >= 2 AND n <= size - 2"""
     q["extract_tail_text"] = sql(["bouts"], "SELECT bout_id AS page_id, 'Referee ' || bout_id % 13 AS text FROM bouts")
-    q["bout_record_from_page"] = sql(["bouts"], """SELECT bout_id AS page_id, bout_date, 'Hall & Dome ' || bout_id % 9 AS location,
-  r_name, b_name, winner, championship_fight, win_method, 'after ' || finish_time AS win_method_details,
+    q["bout_record_from_page"] = sql(["bouts"], """SELECT bout_id AS page_id, r_name, b_name, winner, championship_fight, win_method, 'after ' || finish_time AS win_method_details,
   number_of_rounds, finish_round, finish_time, 'Referee ' || bout_id % 13 AS referee,
   (finish_round - 1) * 300 + finish_seconds AS total_fight_time FROM bouts""")
     q["corner_records_from_page"] = sql(["stats"],
@@ -465,6 +464,40 @@ WHERE n >= 2 AND n <= size - 2"""
     q["skip_incomplete_quotes"] = sql(["quotes"],
         "SELECT quote_id AS page_id, left_odds, right_odds FROM quotes WHERE quote_id % 6 <> 0")
 
+    q["quotes_from_page"] = sql(["quotes"], """SELECT quote_id AS page_id, left_name, right_name, left_odds, right_odds,
+  quote_date, weight_class FROM quotes WHERE quote_id % 6 <> 0""")
+    q["pages_without_quote"] = sql(["quotes"], "SELECT quote_id AS page_id FROM quotes WHERE quote_id % 6 = 0")
+    days = "date_diff('day', DATE '1970-01-01', bout_date)"
+    where = f"'Hall & Dome ' || {days} % 9"
+    spelt = "CASE WHEN r_id % 4 = 0 THEN 'Women' || chr(39) || 's ' ELSE '' END || weight_class"
+    short = "CASE WHEN r_id % 4 = 0 THEN split_part(lower(weight_class), ' ', 1) ELSE lower(weight_class) END"
+    q["cards_from_page"] = sql(["bouts"], f"""SELECT DISTINCT 2000000 + {days} % 2 AS page_id,
+  '/event/' || bout_date AS event_path, bout_date, {where} AS location FROM bouts""")
+    in_event = "row_number() OVER (PARTITION BY bout_date ORDER BY bout_id)"
+    q["event_rows_from_page"] = sql(["bouts"], f"""SELECT 1000000 + {days} AS page_id, CAST({in_event} AS INTEGER) AS pos,
+  '/bout/' || bout_id AS bout_path, r_name, b_name, {short} AS weight_class, '/event/' || bout_date AS event_path FROM bouts""")
+    q["bout_context"] = sql(["bouts"], f"""SELECT bout_id AS page_id, bout_date, {where} AS location,
+  {short} AS weight_class, {pounds(short)} AS weight FROM bouts""")
+    # The bout a competitor's page names first, and its title.
+    first = f"""SELECT id, arg_min(r_id, bout_id) % 4 = 0 AS women, arg_min({spelt}, bout_id) || ' Bout' AS bout_class
+FROM (SELECT r_id AS id, * FROM bouts UNION ALL SELECT b_id, * FROM bouts) GROUP BY id"""
+    q["competitors_from_page"] = sql(["bouts", "raw"], """SELECT 3000000 + id AS page_id, name,
+  CASE WHEN no_height THEN '--' ELSE (h // 12) || chr(39) || ' ' || h % 12 || '"' END AS height,
+  CASE WHEN no_weight THEN '--' ELSE w || ' lbs.' END AS weight,
+  CASE WHEN re IS NULL THEN '--' ELSE re || '"' END AS reach, coalesce(st, '') AS stance,
+  strftime(dob, '%b %d, %Y') AS date_of_birth, bout_class FROM raw JOIN first USING (id) WHERE id % 23 <> 1""", {"first": first})
+    q["competitors_without_bout"] = sql(["bouts", "raw"], """SELECT 3000000 + id AS page_id FROM raw JOIN first USING (id)
+WHERE id % 23 = 1""", {"first": first})
+    q["card_from_page"] = sql(["card"], f"""SELECT CAST(1 AS BIGINT) AS page_id,
+  CAST(row_number() OVER (ORDER BY card_id) - 1 AS INTEGER) AS pos, r_name, b_name, {spelt} AS weight_class FROM card""")
+    q["nested_cells"] = sql(["bouts"], f"""SELECT page_id, 0 AS pos, 0 AS level, CAST(NULL AS INTEGER) AS around, 'heading' AS text
+  FROM (SELECT DISTINCT 1000000 + {days} AS page_id FROM bouts)
+UNION ALL SELECT page_id, CAST(base + c.p AS INTEGER), c.l, CAST(CASE WHEN c.l = 1 THEN base + 2 END AS INTEGER), c.t FROM (
+  SELECT page_id, base, unnest([{{'p': 0, 'l': 0, 't': 'win'}}, {{'p': 1, 'l': 0, 't': r_name || ' ' || b_name}},
+    {{'p': 2, 'l': 0, 't': '12'}}, {{'p': 3, 'l': 1, 't': '1'}}, {{'p': 4, 'l': 1, 't': '2'}}, {{'p': 5, 'l': 0, 't': '3'}},
+    {{'p': 6, 'l': 0, 't': '4'}}, {{'p': 7, 'l': 0, 't': '5'}}, {{'p': 8, 'l': 0, 't': {spelt}}}]) AS c
+  FROM (SELECT *, 1000000 + {days} AS page_id, 1 + ({in_event} - 1) * 9 AS base FROM bouts))""")
+
     # standardisation
     nine = ", ".join(f"{c}_landed, {c}_attempted" for c in AREAS)
     q["parse_landed_attempted"] = sql(["stats"], f"SELECT stats_id, {nine} FROM stats")
@@ -641,6 +674,8 @@ FROM totals r JOIN totals b ON b.bout_id = r.bout_id AND b.corner = 'b' WHERE r.
   {', '.join(c for c in FEATURES if c != 'weight')}
 FROM matchups JOIN (SELECT card_id, weight_class FROM card) USING (card_id)
 WHERE r_totals_id IS NOT NULL AND b_totals_id IS NOT NULL""")
+    q["card_page_features"] = f"""SELECT r_name, b_name, weight, gender, r_age, b_stance, r_wins, b_opponent_wins, b_fight_time
+  FROM ({q['upcoming_features']}) u"""
     unknown = " OR ".join(f"{c} IS NULL" for c in NUMERIC_FEATURES)
     q["predict_upcoming_rejects"] = (
         f"SELECT card_id, r_name, b_name FROM ({q['upcoming_features']}) u WHERE {unknown}"
@@ -706,22 +741,36 @@ LEFT JOIN numbered b ON b.bout_id = l.bout_id AND b.corner = 'b'""",
     q["refresh_odds_unmatched"] = sql(["resolved", "matched"], f"""SELECT quote_id, left_name, right_name, quote_date
 FROM resolved WHERE quote_date > {DAY} AND bout_id IS NULL AND quote_id NOT IN (SELECT quote_id FROM matched)""")
     people = {
-        "late": f"SELECT * FROM bouts WHERE bout_date > {DAY}",
+        # Bouts whose event page names them.
+        "late": f"SELECT * FROM bouts WHERE bout_date > {DAY} AND bout_id % 10 <> 3",
+        "first": first,
         "known": "SELECT id, name FROM competitors WHERE id % 7 <> 0",
         "added": f"""SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY substr(md5(name), 1, 8), name) AS id,
-  name, w AS weight, coalesce(re, h) AS reach, st AS stance, gender FROM raw WHERE {usable} AND id % 7 = 0
+  name, w AS weight, coalesce(re, h) AS reach, st AS stance, CASE WHEN women THEN 'female' ELSE 'male' END AS gender
+  FROM raw JOIN first USING (id) WHERE {usable} AND id % 7 = 0 AND id % 23 <> 1
   AND name IN (SELECT r_name FROM late UNION SELECT b_name FROM late)""",
         "everyone": "SELECT id, name FROM known UNION ALL SELECT id, name FROM added",
         "numbered": f"""SELECT l.*, (SELECT max(bout_id) FROM bouts WHERE bout_date <= {DAY})
   + row_number() OVER (ORDER BY bout_date, bout_id) AS new_id FROM late l""",
     }
-    q["refresh_bouts"] = sql(["bouts", "raw"], """SELECT n.new_id AS bout_id, bout_date, r_name, b_name, winner,
-  r.id AS r_id, b.id AS b_id, (finish_round - 1) * 300 + finish_seconds AS total_fight_time
-FROM (SELECT * EXCLUDE (r_id, b_id) FROM numbered) n
+    last_stats = f"(SELECT max(bout_id) * 2 + 1 FROM bouts WHERE bout_date <= {DAY})"
+    place = f"(n.new_id - (SELECT max(bout_id) FROM bouts WHERE bout_date <= {DAY}))"
+    ids = {side: f"{last_stats} + {place} * 2 - {back}" for side, back in (("r", 1), ("b", 0))}
+    q["refresh_bouts"] = sql(["bouts", "raw"], f"""SELECT n.new_id AS bout_id, bout_date, {where} AS location,
+  {pounds(short.replace('r_id', 'rid'))} AS weight, r_name, b_name, winner, r.id AS r_id, b.id AS b_id,
+  (finish_round - 1) * 300 + finish_seconds AS total_fight_time, {ids['r']} AS r_stats_id, {ids['b']} AS b_stats_id
+FROM (SELECT * EXCLUDE (r_id, b_id), r_id AS rid FROM numbered) n
 LEFT JOIN everyone r ON r.name = n.r_name LEFT JOIN everyone b ON b.name = n.b_name""", people)
-    q["refresh_bouts_stats"] = sql(["bouts", "raw", "stats"], """SELECT n.new_id AS bout_id, s.corner, e.id AS competitor_id,
-  s.sig_str_landed, s.round_3_sig_str_attempted, s.ctrl_time
-FROM numbered n JOIN stats s ON s.bout_id = n.bout_id
-LEFT JOIN everyone e ON e.name = 'user ' || s.competitor_id""", people)
+    corner_id = f"CASE s.corner WHEN 'r' THEN {ids['r']} ELSE {ids['b']} END AS stats_id"
+    corners = """FROM numbered n JOIN stats s ON s.bout_id = n.bout_id
+LEFT JOIN everyone e ON e.name = 'user ' || s.competitor_id"""
+    q["refresh_bouts_stats"] = sql(["bouts", "raw", "stats"], f"""SELECT n.new_id AS bout_id, s.corner, e.id AS competitor_id,
+  {corner_id}, {', '.join('s.' + c for c in STAT_COLUMNS)} {corners}""", people)
+    q["refresh_bouts_lookup"] = sql(["bouts", "raw", "stats"], f"""SELECT n.new_id AS bout_id, {corner_id}, s.corner,
+  e.id AS competitor_id, s.kd_landed {corners}""", people)
+    q["refresh_bouts_unplaced"] = sql(["bouts"], f"SELECT bout_id AS page_id FROM bouts WHERE bout_date > {DAY} AND bout_id % 10 = 3")
+    q["refresh_quotes"] = sql(["quotes"], f"""SELECT (SELECT max(quote_id) FROM quotes WHERE quote_date <= {DAY})
+  + row_number() OVER (ORDER BY quote_date, quote_id) AS quote_id, quote_id AS page_id, left_name, right_name, left_odds,
+  right_odds, quote_date, weight_class FROM quotes WHERE quote_date > {DAY} AND quote_id % 6 <> 0""")
     q["refresh_bouts_competitors"] = sql(["bouts", "raw"], "SELECT id, name, weight, reach, stance, gender FROM added", people)
     return q

@@ -18,6 +18,7 @@ from boutlab.operators import (
     evaluate,
     features,
     late,
+    page_records,
     pages,
     quotes,
     resolve,
@@ -90,6 +91,22 @@ class Given:
         """Stored pages, one per bout."""
         return tables.stage(fx.bout_pages(self.bouts, self.stats), "bout_pages", "page_id")
 
+    @functools.cached_property
+    def event_pages(self):
+        return tables.stage(fx.event_pages(self.bouts), "event_pages", "page_id")
+
+    @functools.cached_property
+    def listing_pages(self):
+        return fx.listing_pages(self.bouts)
+
+    @functools.cached_property
+    def competitor_pages(self):
+        return fx.competitor_pages(self.raw_competitors, self.bouts)
+
+    @functools.cached_property
+    def quote_pages(self):
+        return tables.stage(fx.quote_pages(self.quotes), "quote_pages", "page_id")
+
     @functools.cached_property
     def quotes(self):
         return fx.quotes(self.bouts)
@@ -353,7 +370,62 @@ def corner_records_from_page(g):
 
 @query
 def skip_incomplete_quotes(g):
-    return pages.quote_from_page(fx.quote_pages(g.quotes))
+    return page_records.quotes_from_page(fx.quote_pages(g.quotes)).select("page_id", "left_odds", "right_odds")
+
+
+@query
+def quotes_from_page(g):
+    return page_records.quotes_from_page(g.quote_pages)
+
+
+@query
+def pages_without_quote(g):
+    return page_records.pages_without_quote(g.quote_pages)
+
+
+@query
+def cards_from_page(g):
+    return page_records.cards_from_page(g.listing_pages).drop("pos")
+
+
+@query
+def event_rows_from_page(g):
+    return page_records.event_rows_from_page(g.event_pages)
+
+
+@query
+def bout_context(g):
+    return page_records.bout_context(g.listing_pages, g.event_pages, g.bout_pages)
+
+
+@query
+def competitors_from_page(g):
+    return page_records.competitors_from_page(g.competitor_pages, g.bout_pages)
+
+
+@query
+def competitors_without_bout(g):
+    return page_records.competitors_without_bout(g.competitor_pages, g.bout_pages)
+
+
+@query
+def card_from_page(g):
+    return page_records.card_from_page(fx.card_page(g.card))
+
+
+@query
+def card_page_features(g):
+    """The columns a model sees for a card read from its page."""
+    card = page_records.card_from_page(fx.card_page(g.card)).withColumn("card_id", F.col("pos").cast("long"))
+    return features.upcoming_features(
+        card, fx.last_day(g.bouts), g.full_competitors, g.newest_before_card
+    ).select("r_name", "b_name", "weight", "gender", "r_age", "b_stance", "r_wins", "b_opponent_wins", "b_fight_time")
+
+
+@query
+def nested_cells(g):
+    """Cells of event pages, those of tables inside cells among them."""
+    return pages.nested_cells(g.event_pages, "td").select("page_id", "pos", "level", "around", F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
 # --- standardisation -------------------------------------------------------------------------
@@ -1066,21 +1138,46 @@ def _page_refresh(g):
     stored = g.bouts.filter(F.col("bout_date") <= F.lit(CUTOFF).cast("date"))
     known = g.competitors.filter(F.col("id") % 7 != 0)
     found = tables.stage(fx.bout_pages(late, g.stats), "late_pages", "page_id")
-    return refresh.refresh_bouts(found, stored, known, g.raw_competitors)
+    # Event pages miss every tenth bout, so that no day is known for it.
+    events = fx.event_pages(late.filter("bout_id % 10 <> 3"))
+    done = g.stats.join(stored.select("bout_id"), "bout_id", "left_semi")
+    # The directory is read from pages too.
+    directory = page_records.competitors_from_page(g.competitor_pages, g.bout_pages).withColumnRenamed("page_id", "id")
+    return refresh.refresh_bouts(found, events, fx.listing_pages(late), stored, done, known, directory)
 
 
 @query
 def refresh_bouts(g):
     return _page_refresh(g).bouts.select(
-        "bout_id", "bout_date", "r_name", "b_name", "winner", "r_id", "b_id", "total_fight_time"
+        "bout_id", "bout_date", "location", "weight", "r_name", "b_name", "winner", "r_id", "b_id", "total_fight_time",
+        "r_stats_id", "b_stats_id",
     )
 
 
 @query
 def refresh_bouts_stats(g):
-    return _page_refresh(g).stats.select(
-        "bout_id", "corner", "competitor_id", "sig_str_landed", "round_3_sig_str_attempted", "ctrl_time"
-    )
+    return _page_refresh(g).stats
+
+
+@query
+def refresh_bouts_unplaced(g):
+    return _page_refresh(g).unplaced
+
+
+@query
+def refresh_bouts_lookup(g):
+    """The corner rows of new bouts, found by the ids that the bouts carry."""
+    done = _page_refresh(g)
+    keys = done.bouts.select("bout_id", F.explode(F.array("r_stats_id", "b_stats_id")).alias("stats_id"))
+    found = snapshots.lookup_by_id(keys, done.stats.drop("bout_id"), "stats_id")
+    return found.select("bout_id", "stats_id", "corner", "competitor_id", "kd_landed")
+
+
+@query
+def refresh_quotes(g):
+    cutoff = F.lit(CUTOFF).cast("date")
+    new = tables.stage(fx.quote_pages(g.quotes.filter(F.col("quote_date") > cutoff)), "new_quote_pages", "page_id")
+    return refresh.refresh_quotes(new, g.quotes.filter(F.col("quote_date") <= cutoff)).quotes
 
 
 @query
@@ -1101,9 +1198,11 @@ def full_refresh(g):
     done = refresh.full_refresh(
         scratch_path(g.spark, "refresh"),
         pages_in,
+        fx.event_pages(late),
+        fx.listing_pages(late),
         g.full_competitors,
         linked,
-        g.stats.join(stored.select("bout_id"), "bout_id", "left_semi").drop("stats_id"),
+        g.stats.join(stored.select("bout_id"), "bout_id", "left_semi"),
         g.stored_totals,
         g.quotes,
         fx.aliases(g.competitors),

@@ -43,6 +43,16 @@ def test_markers_and_labels(spark):
     assert pages.extract_tail_text(p, "Round:").first()["text"] == "2"
 
 
+def test_cells_inside_cells(spark):
+    table = "<table><tr><td>a<table><tr><td>b</td><td>c<table><td>d</table></td></tr></table></td><td>e</td></tr></table>"
+    rows = [tuple(r)[1:] for r in pages.nested_cells(frame(spark, table, "<p></p>", None), "td").orderBy("pos").collect()]
+    assert rows == [(0, 0, None, "abcd"), (1, 1, 0, "b"), (2, 1, 0, "cd"), (3, 2, 2, "d"), (4, 0, None, "e")]
+    block = '<div class="ad">x<div>y</div>z</div><div class="ad">w</div>'
+    assert pages.extract_text_field(frame(spark, block), "div", "ad").first()["text"] == "xy"
+    fields = {r.page_id: r.text for r in pages.nested_field(frame(spark, block, "<p>"), "div", "ad").collect()}
+    assert fields == {0: "xyz", 1: None}
+
+
 def test_links_are_walked_once_per_step(spark):
     links = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (9, 1)], "page_id long, target_page_id long")
     start = spark.createDataFrame([(1,)], "page_id long")
@@ -52,12 +62,6 @@ def test_links_are_walked_once_per_step(spark):
     assert [r["page_id"] for r in pages.linked_pages(start, links, everything, 2).collect()] == [4]
 
 
-def test_quotes_with_another_label_are_skipped(spark):
-    row = "<tr><td>+150 (up)</td><td>x</td><td>{}</td><td>x</td><td>-175</td></tr>"
-    p = frame(spark, row.format("Betting Odds"), row.format("Age"), "<p></p>")
-    assert [tuple(r) for r in pages.quote_from_page(p).collect()] == [(0, "+150", "-175")]
-
-
 PERSON = """<div class='b-x b-fight-details__person'><i class="b-fight-details__person-status s">{}</i>
 <A class="b-link b-fight-details__person-link" href="/c">{}</A></div>"""
 
