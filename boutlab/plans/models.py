@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from itertools import product
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -24,14 +28,20 @@ from boutlab.operators.features import (
     column_mean_std,
     dummy_name,
 )
+from boutlab.plans.boosting import fit_softmax_trees
+from boutlab.plans.network import fit_network
 from boutlab.schema import LABELS, TEXT_FEATURES, VOCABULARY
 from boutlab.session import ensure_checkpoints
+from boutlab.sources.tables import stage
 
 # The settings stated as best.
 GBT = {"maxIter": 1000, "maxDepth": 3, "stepSize": 0.01, "seed": 0}
 FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 0}
 MLP = {"maxIter": 28, "hidden": [8], "seed": 0}
+SOFTMAX = {"maxIter": 100, "maxDepth": 8, "stepSize": 0.01, "seed": 0}
+NETWORK = {"maxIter": 28, "hidden": (8,), "alpha": 0.1, "seed": 0}
 GRID_DEPTHS = (3, 8, 10)
+NETWORK_GRID = {"maxIter": (100, 1000, 2000), "hidden": ((10, 10), (100,), (100, 100)), "alpha": (0.0001, 0.001, 0.1, 1.0)}
 FOLDS = 5
 
 
@@ -91,7 +101,18 @@ def train_gbt(train: DataFrame, **settings) -> PipelineModel:
 
 
 def train_gbt_multiclass(train: DataFrame, **settings) -> PipelineModel:
-    """Boosted trees with a DRAW class: one binary model per class, kept in one pipeline."""
+    """Boosted trees with a DRAW class: one tree per class and round on a shared softmax."""
+    return fit_softmax_trees(train, [dummy_stage(), _vector_stage()], len(LABELS), **(SOFTMAX | settings))
+
+
+def train_network(train: DataFrame, classes: int = 2, **settings) -> PipelineModel:
+    """A network with an L2 penalty ``alpha`` on standardised columns; the scaling travels with the model."""
+    before = [dummy_stage(), scaling_stage(train)]
+    return fit_network(train, before, [f"_z_{c}" for c in MODEL_COLUMNS], classes, **(NETWORK | settings))
+
+
+def train_gbt_one_against_rest(train: DataFrame, **settings) -> PipelineModel:
+    """One binary model per class, kept in one pipeline."""
     ensure_checkpoints(train.sparkSession)
     stages = [dummy_stage(), _vector_stage()]
     rows = train
@@ -122,7 +143,9 @@ def train_mlp(train: DataFrame, classes: int = 2, **settings) -> PipelineModel:
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Adds ``prediction``, ``probabilities`` (one per class) and ``confidence``."""
     scored = model.transform(rows)
-    if "prediction" in scored.columns:
+    if "_probabilities" in scored.columns:
+        scored = scored.withColumn("probabilities", F.col("_probabilities"))
+    elif "prediction" in scored.columns:
         scored = scored.withColumn("probabilities", vector_to_array("probability"))
     else:
         shares = F.array(
@@ -198,6 +221,58 @@ def grid_search(
     return fitted.bestModel, table
 
 
+@dataclass(frozen=True)
+class Search:
+    """``table``: per point its settings, the accuracy in every fold, their mean, and why it failed if so."""
+
+    best: PipelineModel | None
+    table: DataFrame
+
+
+def search(
+    train: DataFrame,
+    fit: Callable[..., PipelineModel],
+    grid: dict[str, Sequence],
+    folds: int = FOLDS,
+    key: str = "bout_id",
+    **fixed,
+) -> Search:
+    """Cross-validate every point of a grid of several settings, and fit the best on all rows.
+
+    ``fit`` prepares its columns on the rows it is given, so a fold's scaling never sees the rows it is
+    measured on. Folds come from a hash of the row's id and are the same for every point. A point that
+    fails is reported with its error and never chosen. Points are few; each is a job over all rows.
+    """
+    spark = train.sparkSession
+    dealt = stage(with_folds(train, key, folds), "folds")
+    found = []
+    for values in product(*grid.values()):
+        settings = dict(zip(grid, values, strict=True))
+        shares, error = [], None
+        try:
+            for fold in range(folds):
+                model = fit(dealt.filter(F.col("fold") != fold).drop("fold"), **fixed, **settings)
+                scored = score(model, dealt.filter(F.col("fold") == fold))
+                shares.append(scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
+        except (PySparkException, ValueError, ArithmeticError) as failed:
+            error = str(failed).splitlines()[0]
+        known = [s for s in shares if s is not None]
+        mean = sum(known) / len(known) if known and error is None else None
+        found.append((json.dumps(settings), [*shares], mean, error))
+    schema = "settings string, fold_accuracy array<double>, mean_accuracy double, error string"
+    table = spark.createDataFrame(found, schema)
+    ranked = [(f[2], -i) for i, f in enumerate(found) if f[2] is not None]
+    if not ranked:
+        return Search(None, table)
+    chosen = json.loads(found[-max(ranked)[1]][0])
+    return Search(fit(train, **fixed, **chosen), table)
+
+
+def grid_search_network(train: DataFrame, grid: dict[str, Sequence] = NETWORK_GRID, folds: int = FOLDS, **fixed) -> Search:
+    """The search over networks: iterations, hidden layers and penalties."""
+    return search(train, train_network, grid, folds, **fixed)
+
+
 def cross_val_score(
     train: DataFrame, folds: int = FOLDS, parallelism: int = 4, **settings
 ) -> DataFrame:
