@@ -681,6 +681,14 @@ WHERE r_totals_id IS NOT NULL AND b_totals_id IS NOT NULL""")
         f"SELECT card_id, r_name, b_name FROM ({q['upcoming_features']}) u WHERE {unknown}"
     )
 
+    # What holds for every model's scores of the test rows.
+    tested = f"""SELECT bout_id, CAST(CASE winner WHEN 'Red' THEN 0 WHEN 'Blue' THEN 1 ELSE 2 END AS INTEGER) AS label
+  FROM dataset WHERE winner IS NOT NULL AND NOT ({unknown}) AND {HASHED}"""
+    q["scored_rows"] = sql(["dataset"], """SELECT model, bout_id, label, TRUE AS adds_up, TRUE AS largest
+  FROM tested, (SELECT unnest(['gbt', 'softmax', 'forest', 'mlp', 'network']) AS model)
+  WHERE label < 2 OR model IN ('softmax', 'forest')""", {"tested": tested})
+    q["saved_scores"] = sql(["dataset"], "SELECT bout_id, TRUE AS same FROM tested", {"tested": tested})
+
     # evaluation
     q["accuracy"] = sql(["predicted"], """SELECT split, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6)
   AS accuracy FROM predicted GROUP BY split""")

@@ -42,8 +42,10 @@ from boutlab.session import scratch_path, tune
 from boutlab.sources import tables
 
 CUTOFF = fx.CUTOFF
-# Small settings keep the model queries quick; the stated best ones are the defaults of the library.
-QUICK_GBT = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.1}
+# Rounds of boosting in the queries, of the 1,000 and 100 that are the library's defaults; forest and
+# networks train at their defaults.
+GBT_ROUNDS = {"maxIter": 100}
+SOFTMAX_ROUNDS = {"maxIter": 10}
 
 QUERIES = {}
 
@@ -865,7 +867,7 @@ def latest_one(g):
 
 @query
 def top_importances(g):
-    return models.top_importances(models.train_gbt(_train(g), **QUICK_GBT))
+    return models.top_importances(_fitted(g, "gbt"))
 
 
 # --- features --------------------------------------------------------------------------------
@@ -952,6 +954,27 @@ def _stored_dataset(g):
     return g.spark.read.parquet(_STORED[key])
 
 
+#: Models fitted in this session, by what they are fitted on.
+_FITTED = {}
+
+
+def _fitted(g, name):
+    """Each model is fitted once per session and scale."""
+    key = (g.spark.sparkContext.applicationId, g.folder, name)
+    if key not in _FITTED:
+        rows, _ = features.split_random(models.labelled(_stored_dataset(g)))
+        two = tables.stage(rows.filter("winner <> 'DRAW'"), "train_rows")
+        fits = {
+            "gbt": lambda: models.train_gbt(two, **GBT_ROUNDS),
+            "softmax": lambda: models.train_gbt_multiclass(tables.stage(rows, "train_rows"), **SOFTMAX_ROUNDS),
+            "forest": lambda: models.train_random_forest(tables.stage(rows, "train_rows")),
+            "mlp": lambda: models.train_mlp(two),
+            "network": lambda: models.train_network(two),
+        }
+        _FITTED[key] = fits[name]()
+    return _FITTED[key]
+
+
 def _train(g):
     rows = models.labelled(features.no_draws(_stored_dataset(g)))
     train, _ = features.split_random(rows)
@@ -971,55 +994,93 @@ def _scores(model, rows):
 
 @query
 def train_gbt(g):
-    return _scores(models.train_gbt(_train(g), **QUICK_GBT), _test(g))
+    return _scores(_fitted(g, "gbt"), _test(g))
 
 
 @query
 def train_gbt_multiclass(g):
-    rows = models.labelled(_stored_dataset(g))
-    train, test = features.split_random(rows)
-    return _scores(models.train_gbt_multiclass(train, **QUICK_GBT), test)
+    _, test = features.split_random(models.labelled(_stored_dataset(g)))
+    return _scores(_fitted(g, "softmax"), test)
 
 
 @query
 def train_random_forest(g):
-    rows = models.labelled(_stored_dataset(g))
-    train, test = features.split_random(rows)
-    return _scores(models.train_random_forest(train, numTrees=5, maxDepth=5), test)
+    _, test = features.split_random(models.labelled(_stored_dataset(g)))
+    return _scores(_fitted(g, "forest"), test)
 
 
 @query
 def train_mlp(g):
-    return _scores(models.train_mlp(_train(g), maxIter=5), _test(g))
+    return _scores(_fitted(g, "mlp"), _test(g))
+
+
+@query
+def train_network(g):
+    return _scores(_fitted(g, "network"), _test(g))
+
+
+@query
+def scored_rows(g):
+    """What holds for the scores of every model: all rows, shares that add up to one, the largest picked."""
+    rows = tables.stage(features.split_random(models.labelled(_stored_dataset(g)))[1], "test_rows")
+    checked = []
+    for name in ("gbt", "softmax", "forest", "mlp", "network"):
+        one = rows if name in ("softmax", "forest") else rows.filter("winner <> 'DRAW'")
+        total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+        picked = F.get("probabilities", F.col("prediction").cast("int"))
+        checked.append(
+            models.score(_fitted(g, name), one).select(
+                F.lit(name).alias("model"), "bout_id", F.col("label").cast("int").alias("label"),
+                (F.abs(total - 1) < 1e-9).alias("adds_up"), (picked == F.col("confidence")).alias("largest"),
+            )
+        )
+    return functools.reduce(lambda a, b: a.unionByName(b), checked)
+
+
+@query
+def saved_scores(g):
+    """Rows that a saved and loaded model scores as the one in memory does: all of them."""
+    path = scratch_path(g.spark, "model")
+    models.save_model(_fitted(g, "softmax"), path)
+    rows = tables.stage(features.split_random(models.labelled(_stored_dataset(g)))[1], "test_rows")
+    first, again = (_scores(m, rows) for m in (_fitted(g, "softmax"), models.load_model(path)))
+    return first.join(again.withColumnRenamed("probabilities", "again"), "bout_id").select(
+        "bout_id", (F.col("probabilities") == F.col("again")).alias("same")
+    )
+
+
+@query
+def grid_search_network(g):
+    grid = {"hidden": ((10, 10), (100,)), "alpha": (0.001, 0.1)}
+    return models.grid_search_network(_train(g), grid, folds=3, maxIter=10).table
 
 
 @query
 def grid_search(g):
-    _, table = models.grid_search(_train(g), depths=(2, 3), maxIter=1)
+    _, table = models.grid_search(_train(g), maxIter=3)
     return table
 
 
 @query
 def cross_val_score(g):
-    return models.cross_val_score(_train(g), maxIter=1)
+    return models.cross_val_score(_train(g), maxIter=10)
 
 
 @query
 def score(g):
-    model = models.train_random_forest(_train(g), numTrees=3, maxDepth=4)
-    return _scores(model, _test(g))
+    return _scores(_fitted(g, "forest"), _test(g))
 
 
 @query
 def save_model(g):
     path = scratch_path(g.spark, "model")
-    models.save_model(models.train_gbt(_train(g), **QUICK_GBT), path)
+    models.save_model(_fitted(g, "gbt"), path)
     return _scores(models.load_model(path), _test(g))
 
 
 @query
 def predict_upcoming(g):
-    return models.predict_upcoming(models.train_gbt(_train(g), **QUICK_GBT), _card_features(g))
+    return models.predict_upcoming(_fitted(g, "gbt"), _card_features(g))
 
 
 @query
@@ -1035,12 +1096,8 @@ def predict_upcoming_rejects(g):
 @query
 def model_comparison(g):
     card = tables.save_snapshot(_card_features(g), scratch_path(g.spark, "card"))
-    train = _train(g)
     return evaluate.model_comparison(
-        {
-            "gbt": models.predict_upcoming(models.train_gbt(train, **QUICK_GBT), card),
-            "mlp": models.predict_upcoming(models.train_mlp(train, maxIter=5), card),
-        }
+        {name: models.predict_upcoming(_fitted(g, name), card) for name in ("gbt", "mlp", "network")}
     )
 
 
@@ -1210,7 +1267,6 @@ def full_refresh(g):
         g.card,
         fx.last_day(g.bouts),
         CUTOFF,
-        gbt=QUICK_GBT,
-        mlp={"maxIter": 5},
+        gbt={"maxIter": 20},
     )
     return evaluate.model_comparison(done.predictions)

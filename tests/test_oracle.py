@@ -18,7 +18,8 @@ SOME = [
     "clean_competitors", "previous_bout", "predictable_only", "dedupe_anti", "split_hot_totals",
     "cumulative_totals", "column_mean_std", "training_dataset", "upcoming_features",
     "classification_report", "betting_units", "refresh_totals", "refresh_totals_links",
-    "refresh_odds", "refresh_bouts", "refresh_bouts_competitors",
+    "refresh_odds", "refresh_bouts", "refresh_bouts_stats", "late_bouts_totals", "bout_context", "nested_cells",
+    "quotes_from_page", "competitors_from_page", "card_page_features",
 ]
 NAMES = list(ORACLE) if os.environ.get("BOUTLAB_ORACLE") == "all" else SOME
 
@@ -51,5 +52,5 @@ def test_every_relational_query_has_sql():
     assert set(QUERIES) - set(ORACLE) == {
         "top_importances", "train_gbt", "train_gbt_multiclass", "train_random_forest", "train_mlp",
         "grid_search", "cross_val_score", "score", "save_model", "predict_upcoming",
-        "model_comparison", "full_refresh",
+        "model_comparison", "full_refresh", "train_network", "grid_search_network",
     }
