@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlab.llm.common import SPACE, unpacked
+from boutlab.llm.common import SPACE, SPACES, unpacked
 from boutlab.sources.tables import stage
 
 # Leading tokens below the level of token counts.
@@ -31,15 +31,18 @@ def masked_lines(docs: DataFrame) -> DataFrame:
         F.posexplode(F.split("text", "\n")).alias("no", "line"),
     )
     variable = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _NUMBERED, VARIABLE))
-    tokens = F.filter(F.split(F.coalesce(variable, "line"), SPACE), lambda t: t != "")
-    cut = lines.withColumn("tokens", tokens).filter(F.size("tokens") >= MIN_TOKENS)
+    tokens = F.split(F.btrim(F.coalesce(variable, "line"), F.lit(SPACES)), SPACE)
+    # Exploded, so that no filter on the tokens is moved below them and splits every line again.
+    once = lines.select("doc", "row", "no", F.explode(F.array(tokens)).alias("tokens"))
+    cut = once.filter(F.size("tokens") >= MIN_TOKENS)
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     return cut.select("doc", "row", "no", leaf.alias("leaf"), F.array_join("tokens", " ").alias("masked"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc, row, no) of the lines to drop: all of a recurring template but its first occurrence."""
-    lines = masked_lines(docs)
+    # Parsed once: read for the leaves and again for the lines of shared ones.
+    lines = stage(masked_lines(docs), "masked_lines")
     several = F.col("low") < F.col("high")
     leaves = lines.groupBy("leaf").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     # Only leaves that several documents reach can hold a recurring template; most lines end here.
@@ -127,14 +130,20 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("no").alias("gone")),
         "dropped_lines",
     )
+    # Places that stay, by a hash set; a search of the dropped ones for every line would be quadratic.
+    places = F.sequence(F.lit(0), F.size(F.col("_lines")) - 1)
+    stay = F.array_except(places, "gone")
     keyed = docs.select(
         F.struct("*").alias("_row"),
         F.col("text").alias("_text"),
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"),
         F.xxhash64("text").alias("row"),
     )
-    left = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    cleaned = keyed.join(gone, ["doc", "row"], "left").select(
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
+    found = keyed.join(gone, ["doc", "row"], "left").select(
+        "_row", "_text", "gone", F.explode(F.array(F.when(F.col("gone").isNotNull(), F.split("_text", "\n")))).alias("_lines")
+    )
+    cleaned = found.select(
         "_row",
         F.when(F.col("gone").isNull(), F.col("_text")).otherwise(left).alias("text"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
