@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutlab.llm.common import carried, ready_for_python, texts
+from boutlab.llm.common import carried, ready_for_python
 from boutlab.llm.components import connected
 from boutlab.sources.tables import stage
 
@@ -43,16 +43,20 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as long) of every row; a text without words has fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fingerprint as long) of every row, and ``more`` texts; without words the fingerprint is 0."""
     ready_for_python(docs.sparkSession)
+    more = more or {}
+    names = list(more)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [fingerprint_of(t.encode("utf-8", "surrogatepass"), shingle) for t in frame.text]
-            yield pd.DataFrame({"doc_id": frame.doc_id, "fingerprint": np.array(found, np.uint64).view(np.int64)})
+            prints = np.array(found, np.uint64).view(np.int64)
+            yield frame[["doc_id", *names]].assign(fingerprint=prints)[["doc_id", "fingerprint", *names]]
 
-    return texts(docs).mapInPandas(run, "doc_id long, fingerprint long")
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for n, c in more.items()])
+    return given.mapInPandas(run, ", ".join(["doc_id long", "fingerprint long", *[f"{n} string" for n in more]]))
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -189,14 +193,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest doc_id, with its columns.
+    """One row of each near-duplicate group, that with the smallest doc_id, with its columns.
 
-    Rows of one doc_id are one document: one of them stays. A null doc_id, taken as one document too,
-    stays only where it is a group of its own.
+    A group is what fingerprints link, whatever the doc_ids: rows that share a doc_id, or have none, are
+    compared by their texts like any others. A null doc_id comes after all others, equal ones are ordered
+    by the checksum of the text, and of rows alike in both any one stays. Null and empty texts have no words
+    and are one group; an empty table stays empty.
     """
-    groups = near_duplicates(docs, shingle, distance)
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key"))
-    keyed = carried(docs).withColumn("doc_id", F.col("_row.doc_id")).select("_row", key.alias("_key"))
-    found = keyed.join(first.distinct(), "_key", "left_semi")
-    return found.dropDuplicates(["_key"]).select("_row.*")
+    text = F.md5(F.coalesce("text", F.lit("")))
+    marked = stage(fingerprints(docs, shingle, {"_text": text}), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    distinct = marked.groupBy("fingerprint").agg(F.min(name).alias("_first"))
+    distinct = stage(distinct, "distinct_fingerprints")
+    roots = connected(near_links(distinct, distance)).withColumnRenamed("node", "fingerprint")
+    rooted = distinct.join(roots, "fingerprint", "left")
+    first = rooted.groupBy(F.coalesce("root", "fingerprint").alias("_root")).agg(F.min("_first").alias("_first"))
+    chosen = stage(first.select(F.coalesce("_first.doc_id", F.lit(-(1 << 63))).alias("_id"), "_first._text"), "first_rows")
+    keyed = carried(docs).select(
+        "_row", F.coalesce("_row.doc_id", F.lit(-(1 << 63))).alias("_id"), F.md5(F.coalesce("_row.text", F.lit(""))).alias("_text")
+    )
+    return keyed.join(chosen.distinct(), ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")

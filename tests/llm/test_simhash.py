@@ -100,3 +100,11 @@ def test_odd_rows(odd_docs):
     ids = Counter(r.doc_id for r in kept.collect())
     assert set(ids.values()) == {1} and not ids.keys() & {2, 5, 6} and None in ids
     assert simhash.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_unlike_texts_stay_whatever_their_ids(spark):
+    texts = ["a first text about rivers", "another one on mountains and snow", "the third says nothing new at all", "last of them, short"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[3]), (9, texts[0])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert found == sorted([(9, texts[0]), (0, texts[1]), (5, texts[2]), (5, texts[3])])
