@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutlab.llm.common import carried, ready_for_python
+from boutlab.llm.common import carried, ready_for_python, texts
 from boutlab.llm.components import connected
 from boutlab.sources.tables import stage
 
@@ -18,45 +19,56 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 PIVOTS = 24
+# Copies whose texts differ: words of a shingle, least Jaccard similarity, bits their fingerprints differ
+# in at most, and how often two with ``USUAL`` differing bits share no table.
+COPY_SHINGLE = 5
+SIMILAR = 0.8
+WIDE, USUAL, MISSED = 14, 10, 0.04
+# Places of a sketch, and the share of them that has to agree before texts are compared.
+SKETCH, ALIKE = 64, 0.68
 # Fingerprints that one task compares with each other at once; larger buckets are cut.
 BLOCK = 4096
 
 
-def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included; none for a text without words."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)],
         np.uint64,
     )
-    counts = np.zeros(64, np.int64)
+
+
+def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority_bits(shingle_hashes(text, shingle))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: dict[str, Column] | None = None) -> DataFrame:
-    """(doc_id, fingerprint as long) of every row, and ``more`` texts; without words the fingerprint is 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fingerprint as long) of every row; a text without words has fingerprint 0."""
     ready_for_python(docs.sparkSession)
-    more = more or {}
-    names = list(more)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [fingerprint_of(t.encode("utf-8", "surrogatepass"), shingle) for t in frame.text]
-            prints = np.array(found, np.uint64).view(np.int64)
-            yield frame[["doc_id", *names]].assign(fingerprint=prints)[["doc_id", "fingerprint", *names]]
+            yield pd.DataFrame({"doc_id": frame.doc_id, "fingerprint": np.array(found, np.uint64).view(np.int64)})
 
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(n) for n, c in more.items()])
-    return given.mapInPandas(run, ", ".join(["doc_id long", "fingerprint long", *[f"{n} string" for n in more]]))
+    return texts(docs).mapInPandas(run, "doc_id long, fingerprint long")
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -69,19 +81,25 @@ def distance_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def links_within(prints: np.ndarray, table: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+def links_within(
+    prints: np.ndarray, table: np.ndarray, distance: int, ids: np.ndarray | None = None, sketches: np.ndarray | None = None
+) -> Iterator[tuple[int, int]]:
     """Links that join everything within ``distance`` of each other, at most one per fingerprint.
 
     Grows one component after another: of the fingerprints not yet reached, those whose pivot
     distances all lie within ``distance`` of the current one's are verified and leave the rest. A
-    dense group so takes one look at each member, not one at each pair.
+    dense group so takes one look at each member, not one at each pair. With ``sketches`` a link also needs
+    ``ALIKE`` of their places to agree. Links name ``ids``, by default the fingerprints.
     """
     order = np.argsort(table[:, 0], kind="stable")
     prints, table = prints[order], table[order]
+    ids = prints if ids is None else ids[order]
+    sketches = np.zeros((len(prints), 1), np.uint8) if sketches is None else sketches[order]
     while len(prints):
-        found, prints, table = [(prints[0], table[0])], prints[1:], table[1:]
+        found = [(prints[0], table[0], ids[0], sketches[0])]
+        prints, table, ids, sketches = prints[1:], table[1:], ids[1:], sketches[1:]
         while found and len(prints):
-            one, place = found.pop()
+            one, place, name, sketch = found.pop()
             low, high = np.searchsorted(table[:, 0], [place[0] - distance, place[0] + distance + 1])
             near = np.arange(low, high)
             for k in range(1, table.shape[1], 4):
@@ -89,12 +107,13 @@ def links_within(prints: np.ndarray, table: np.ndarray, distance: int) -> Iterat
                     break
                 near = near[(np.abs(table[near, k : k + 4] - place[k : k + 4]) <= distance).all(axis=1)]
             near = near[np.bitwise_count(prints[near] ^ one) <= distance]
+            near = near[(sketches[near] == sketch).mean(axis=1) >= ALIKE] if len(near) else near
             if len(near):
-                yield from ((int(one), int(x)) for x in prints[near])
-                found += list(zip(prints[near], table[near], strict=True))
+                yield from ((int(name), int(x)) for x in ids[near])
+                found += list(zip(prints[near], table[near], ids[near], sketches[near], strict=True))
                 rest = np.ones(len(prints), bool)
                 rest[near] = False
-                prints, table = prints[rest], table[rest]
+                prints, table, ids, sketches = prints[rest], table[rest], ids[rest], sketches[rest]
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -192,24 +211,152 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row of each near-duplicate group, that with the smallest doc_id, with its columns.
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Least values of the shingles under ``SKETCH`` orders, a byte each; places agree as often as sets do."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    factors = np.array([xxhash.xxh64_intdigest(b"order %d" % i, SEED) | 1 for i in range(SKETCH)], np.uint64)
+    for at in range(0, len(hashes), 4096):
+        turned = hashes[at : at + 4096, None] * factors[None, :]
+        least = np.minimum(least, (turned ^ (turned >> np.uint64(29))).min(axis=0))
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def tables_for(rows: int) -> list[int]:
+    """Masks of sampled bits, so many that two fingerprints ``USUAL`` bits apart share one in 96 of 100 cases.
 
-    A group is what fingerprints link, whatever the doc_ids: rows that share a doc_id, or have none, are
-    compared by their texts like any others. A null doc_id comes after all others, equal ones are ordered
-    by the checksum of the text, and of rows alike in both any one stays. Null and empty texts have no words
-    and are one group; an empty table stays empty.
+    A table's bits grow with the logarithm of the rows, which keeps its buckets small, and the number of
+    tables with the bits, which keeps that share.
     """
-    text = F.md5(F.coalesce("text", F.lit("")))
-    marked = stage(fingerprints(docs, shingle, {"_text": text}), "fingerprints")
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
-    distinct = marked.groupBy("fingerprint").agg(F.min(name).alias("_first"))
-    distinct = stage(distinct, "distinct_fingerprints")
-    roots = connected(near_links(distinct, distance)).withColumnRenamed("node", "fingerprint")
-    rooted = distinct.join(roots, "fingerprint", "left")
-    first = rooted.groupBy(F.coalesce("root", "fingerprint").alias("_root")).agg(F.min("_first").alias("_first"))
-    chosen = stage(first.select(F.coalesce("_first.doc_id", F.lit(-(1 << 63))).alias("_id"), "_first._text"), "first_rows")
+    bits = max(8, (max(rows, 1) - 1).bit_length() - 4)
+    shared = math.comb(64 - USUAL, bits) / math.comb(64, bits)
+    count = math.ceil(math.log(MISSED) / math.log(1 - shared))
+    rng = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(count)]
+
+
+def _copy_links(distinct: DataFrame, rows: int) -> DataFrame:
+    """Candidate links (a, b) between nodes: buckets by sampled bits, pivot tables inside, then sketches."""
+    spark = distinct.sparkSession
+    ready_for_python(spark, 10_000)
+    masks = tables_for(rows)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    placed = distinct.select("node", "fingerprint", "sketch", F.explode(keys).alias("bucket"))
+    # Hot buckets are cut like those of ``near_links``: each two of their parts meet.
+    sizes = distinct.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = stage(sizes.filter("_size > 1"), "bucket_sizes")
+    shared = placed.join(sizes, "bucket").withColumn("_parts", F.ceil(F.col("_size") / F.lit(float(BLOCK))).cast("int"))
+    part = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    met = shared.withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    keyed = met.select(
+        F.xxhash64("bucket", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("bucket"),
+        "node", "fingerprint", "sketch",
+    )
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gathered = keyed.repartition(shuffles, "bucket").sortWithinPartitions("bucket", "node")
+    references = pivots()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for bucket in _whole_rows(frames):
+            ids, first = np.unique(bucket.node.to_numpy(), return_index=True)
+            prints = bucket.fingerprint.to_numpy()[first].view(np.uint64)
+            sketches = np.frombuffer(b"".join(bucket.sketch.to_numpy()[first]), np.uint8).reshape(-1, SKETCH)
+            # Most buckets hold strangers only.
+            close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= WIDE if len(ids) <= 32 else None
+            if close is not None and close.sum() == len(ids):
+                continue
+            found = list(links_within(prints, distance_table(prints, references), WIDE, ids, sketches))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    return gathered.mapInPandas(run, "a long, b long").distinct()
+
+
+def _whole_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one bucket after another; rows come sorted by bucket."""
+    key, held = None, []
+    for frame in frames:
+        edges = np.flatnonzero(np.diff(frame.bucket.to_numpy())) + 1
+        for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)], strict=True):
+            if start == stop:
+                continue
+            part = frame.iloc[start:stop]
+            if held and part.bucket.iloc[0] != key:
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            key = part.bucket.iloc[0]
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _similar(links: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The links whose texts share ``SIMILAR`` of their shingles."""
+    one = links.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
+    both = one.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+
+
+def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """One row of each group of near copies, that with the smallest doc_id, with its columns.
+
+    Two texts are near copies if they share at least 0.8 of their five-word shingles (Jaccard), and a group is
+    what such links reach. Candidates come from SimHash fingerprints that agree on sampled bits, within
+    ``WIDE`` bits by pivot distance tables and Hamming distance; a sketch of the shingles leaves out
+    strangers, and the texts themselves decide. Inside a bucket a group takes one link per member. At a
+    similarity of 0.8 fingerprints usually differ in some ten bits, for which candidates miss 4 %.
+
+    Rows that share a doc_id, or have none, are compared by their texts like any others. A null doc_id comes
+    after all others, equal ones are ordered by the checksum of the text, and of rows alike in both any one
+    stays. Null and empty texts have no words and are one group; an empty table stays empty.
+    """
+    spark = docs.sparkSession
+    ready_for_python(spark, 256)
+
+    def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hashes = [shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle) for t in frame.text]
+            prints = np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64)
+            yield frame[["doc_id", "md5"]].assign(fingerprint=prints, sketch=[sketch_of(h) for h in hashes])
+
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select("doc_id", text.alias("text"), F.md5(text).alias("md5"))
+    marked = stage(
+        given.mapInPandas(profile, "doc_id long, md5 string, fingerprint long, sketch binary").withColumn(
+            "node", F.xxhash64("fingerprint", "sketch")
+        ),
+        "profiles",
+    )
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5")
+    distinct = marked.groupBy("node").agg(
+        F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.min(name).alias("first")
+    )
+    distinct = stage(distinct, "distinct_profiles")
+    links = stage(_copy_links(distinct, distinct.count()), "copy_candidates")
+    nothing = F.lit(-(1 << 63))
     keyed = carried(docs).select(
-        "_row", F.coalesce("_row.doc_id", F.lit(-(1 << 63))).alias("_id"), F.md5(F.coalesce("_row.text", F.lit(""))).alias("_text")
+        "_row", F.coalesce("_row.doc_id", nothing).alias("_id"), F.md5(F.coalesce("_row.text", F.lit(""))).alias("_md5")
+    )
+    named = distinct.select("node", F.coalesce("first.doc_id", nothing).alias("_id"), F.col("first.md5").alias("_md5"), "first")
+    wanted = named.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    texts_of = keyed.select("_id", "_md5", F.coalesce("_row.text", F.lit("")).alias("text")).join(
+        wanted.select("node", "_id", "_md5"), ["_id", "_md5"]
+    ).dropDuplicates(["node"])
+    ready_for_python(spark, 256)
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle)).view(np.int64) for t in frame.text]
+            yield pd.DataFrame({"node": frame.node, "shingles": found})
+
+    shingles = stage(texts_of.select("node", "text").mapInPandas(sets, "node long, shingles array<long>"), "copy_shingles")
+    roots = connected(_similar(links, shingles))
+    rooted = named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("_root"))
+    chosen = rooted.agg(F.min("first").alias("first")).select(
+        F.coalesce("first.doc_id", nothing).alias("_id"), F.col("first.md5").alias("_md5")
     )
-    return keyed.join(chosen.distinct(), ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
+    chosen = stage(chosen, "first_rows")
+    return keyed.join(chosen, ["_id", "_md5"], "left_semi").dropDuplicates(["_id", "_md5"]).select("_row.*")

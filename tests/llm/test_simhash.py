@@ -108,3 +108,47 @@ def test_unlike_texts_stay_whatever_their_ids(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
     assert found == sorted([(9, texts[0]), (0, texts[1]), (5, texts[2]), (5, texts[3])])
+
+
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_go_and_unlike_texts_stay(spark):
+    """Edited copies around a similarity of 0.8: nearly all pairs of 0.8 and more lose one, no other text goes."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = []
+    for group in range(120):
+        words = list(rng.choice(vocabulary, 220))
+        for copy in range(3):
+            changed = list(words)
+            for at in rng.choice(220, rng.integers(0, 7), replace=False):
+                changed[at] = f"x{group}_{copy}_{at}"
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(len(rows) + i, " ".join(rng.choice(vocabulary, 60))) for i in range(300)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = [_shingles(t) for _, t in rows]
+    alike = {
+        (i, j)
+        for g in range(120)
+        for i in range(3 * g, 3 * g + 3)
+        for j in range(i)
+        if j >= 3 * g and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    }
+    assert len(alike) > 100
+    assert sum(not {i, j} <= kept for i, j in alike) >= 0.9 * len(alike)
+    # Whoever goes has a near copy.
+    assert all(any(i in pair for pair in alike) for i, _ in rows if i not in kept)
+
+
+def test_links_name_rows_and_need_alike_sketches():
+    prints = np.array([5, 5, 5 ^ 0b111, 1 << 40], np.uint64)
+    sketches = np.array([[1] * 64, [1] * 60 + [2] * 4, [9] * 64, [1] * 64], np.uint8)
+    table = simhash.distance_table(prints, simhash.pivots())
+    links = list(simhash.links_within(prints, table, 14, np.array([10, 11, 12, 13]), sketches))
+    # The third is near by its bits, and a stranger by its sketch.
+    assert len(links) == 2 and {x for link in links for x in link} == {10, 11, 13}
+    wide = simhash.tables_for(10_000_000), simhash.tables_for(100)
+    assert len(wide[0]) > len(wide[1]) and wide[0][0].bit_count() > wide[1][0].bit_count()
