@@ -24,6 +24,8 @@ SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string, agrees boolean"
 # Segments that one worker remembers, and the longest of them in characters.
 REMEMBERED, SHORT = 1_000_000, 32
+# Texts that one task remembers, and the longest of them in characters.
+COPIES, COPIED = 10_000, 8_000
 LEFT, SCORE = 16, 64
 # Above every rank.
 NEVER = 1 << 32
@@ -179,6 +181,10 @@ class MergePieces:
 
     def _ids_of(self, symbols: list[str]) -> bytes:
         packed = self._packed
+        try:
+            return b"".join(map(packed.__getitem__, symbols))
+        except KeyError:
+            pass  # a character without a piece
         if not self._fallback:
             # Unknown characters side by side are one.
             symbols = [s for i, s in enumerate(symbols) if s in packed or i == 0 or symbols[i - 1] in packed]
@@ -286,19 +292,31 @@ def encode_texts(docs: DataFrame, model: str | None = None, at_once: int = 64) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _MODELS.get(path) or _MODELS.setdefault(path, MergePieces(path))
+        # Copies of a text that one task meets are encoded and checked once, while they are short and few.
+        known: dict[str, tuple[bytes, str, bool]] = {}
+
+        def encoded(text: str) -> tuple[bytes, str, bool]:
+            found = known.get(text)
+            if found is None:
+                ids = pieces.encode(text)
+                decoded = pieces.decode(ids)
+                found = ids, decoded, pieces.library_agrees(text, ids, decoded)
+                if len(text) <= COPIED and len(known) < COPIES:
+                    known[text] = found
+            return found
+
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                texts = part.column(1).to_pylist()
-                ids = [pieces.encode(t) for t in texts]
-                decoded = [pieces.decode(x) for x in ids]
+                found = [encoded(t) for t in part.column(1).to_pylist()]
+                ids, decoded, agrees = (list(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
                         pa.array(ids, pa.binary()),
                         pa.array(decoded, pa.string()),
-                        pa.array(list(map(pieces.library_agrees, texts, ids, decoded)), pa.bool_()),
+                        pa.array(agrees, pa.bool_()),
                     ],
                     names=[c.split()[0] for c in SCHEMA.split(", ")],
                 )
