@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boutlab.llm.common import carried, ready_for_python, texts
 from boutlab.llm.components import connected
+from boutlab.operators.skew import lookup
 from boutlab.sources.tables import stage
 
 SHINGLE = 4
@@ -82,24 +83,22 @@ def distance_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 def links_within(
-    prints: np.ndarray, table: np.ndarray, distance: int, ids: np.ndarray | None = None, sketches: np.ndarray | None = None
+    prints: np.ndarray, table: np.ndarray, distance: int, ids: np.ndarray | None = None
 ) -> Iterator[tuple[int, int]]:
     """Links that join everything within ``distance`` of each other, at most one per fingerprint.
 
     Grows one component after another: of the fingerprints not yet reached, those whose pivot
     distances all lie within ``distance`` of the current one's are verified and leave the rest. A
-    dense group so takes one look at each member, not one at each pair. With ``sketches`` a link also needs
-    ``ALIKE`` of their places to agree. Links name ``ids``, by default the fingerprints.
+    dense group so takes one look at each member, not one at each pair. Links name ``ids``, by default
+    the fingerprints.
     """
     order = np.argsort(table[:, 0], kind="stable")
     prints, table = prints[order], table[order]
     ids = prints if ids is None else ids[order]
-    sketches = np.zeros((len(prints), 1), np.uint8) if sketches is None else sketches[order]
     while len(prints):
-        found = [(prints[0], table[0], ids[0], sketches[0])]
-        prints, table, ids, sketches = prints[1:], table[1:], ids[1:], sketches[1:]
+        found, prints, table, ids = [(prints[0], table[0], ids[0])], prints[1:], table[1:], ids[1:]
         while found and len(prints):
-            one, place, name, sketch = found.pop()
+            one, place, name = found.pop()
             low, high = np.searchsorted(table[:, 0], [place[0] - distance, place[0] + distance + 1])
             near = np.arange(low, high)
             for k in range(1, table.shape[1], 4):
@@ -107,13 +106,12 @@ def links_within(
                     break
                 near = near[(np.abs(table[near, k : k + 4] - place[k : k + 4]) <= distance).all(axis=1)]
             near = near[np.bitwise_count(prints[near] ^ one) <= distance]
-            near = near[(sketches[near] == sketch).mean(axis=1) >= ALIKE] if len(near) else near
             if len(near):
                 yield from ((int(name), int(x)) for x in ids[near])
-                found += list(zip(prints[near], table[near], ids[near], sketches[near], strict=True))
+                found += list(zip(prints[near], table[near], ids[near], strict=True))
                 rest = np.ones(len(prints), bool)
                 rest[near] = False
-                prints, table, ids, sketches = prints[rest], table[rest], ids[rest], sketches[rest]
+                prints, table, ids = prints[rest], table[rest], ids[rest]
 
 
 def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -166,11 +164,11 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return gathered.mapInPandas(run, "a long, b long").distinct()
 
 
-def _whole_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-    """The fingerprints of one bucket after another; rows come sorted by bucket."""
+def _whole_buckets(frames: Iterator[pd.DataFrame], values_of: str | list[str] = "fingerprint") -> Iterator[np.ndarray]:
+    """The fingerprints, or other columns, of one bucket after another; rows come sorted by bucket."""
     key, held = None, []
     for frame in frames:
-        buckets, values = frame.bucket.to_numpy(), frame.fingerprint.to_numpy()
+        buckets, values = frame.bucket.to_numpy(), frame[values_of].to_numpy()
         edges = np.flatnonzero(np.diff(buckets)) + 1
         for at, part in zip([0, *edges.tolist()], np.split(values, edges), strict=True):
             if len(part) and buckets[at] != key:
@@ -237,59 +235,51 @@ def tables_for(rows: int) -> list[int]:
 
 
 def _copy_links(distinct: DataFrame, rows: int) -> DataFrame:
-    """Candidate links (a, b) between nodes: buckets by sampled bits, pivot tables inside, then sketches."""
+    """Candidate links (a, b) between nodes: buckets by sampled bits, pivot tables inside, then sketches.
+
+    Only nodes and fingerprints go to the buckets; sketches are joined to the links that come out.
+    """
     spark = distinct.sparkSession
     ready_for_python(spark, 10_000)
     masks = tables_for(rows)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    placed = distinct.select("node", "fingerprint", "sketch", F.explode(keys).alias("bucket"))
+    placed = distinct.select("node", "fingerprint", F.explode(keys).alias("bucket"))
     # Hot buckets are cut like those of ``near_links``: each two of their parts meet.
-    sizes = distinct.select(F.explode(keys).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
-    sizes = stage(sizes.filter("_size > 1"), "bucket_sizes")
-    shared = placed.join(sizes, "bucket").withColumn("_parts", F.ceil(F.col("_size") / F.lit(float(BLOCK))).cast("int"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > BLOCK)
+    parts = F.ceil(F.coalesce("_size", F.lit(1)) / F.lit(float(BLOCK))).cast("int")
+    shared = lookup(placed, stage(sizes, "bucket_sizes"), ["bucket"], ["node"]).withColumn("_parts", parts)
     part = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
     met = shared.withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     keyed = met.select(
-        F.xxhash64("bucket", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("bucket"),
-        "node", "fingerprint", "sketch",
+        F.xxhash64("bucket", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("bucket"), "node", "fingerprint"
     )
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     gathered = keyed.repartition(shuffles, "bucket").sortWithinPartitions("bucket", "node")
     references = pivots()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for bucket in _whole_rows(frames):
-            ids, first = np.unique(bucket.node.to_numpy(), return_index=True)
-            prints = bucket.fingerprint.to_numpy()[first].view(np.uint64)
-            sketches = np.frombuffer(b"".join(bucket.sketch.to_numpy()[first]), np.uint8).reshape(-1, SKETCH)
+        for bucket in _whole_buckets(frames, ["node", "fingerprint"]):
+            ids, first = np.unique(bucket[:, 0], return_index=True)
+            prints = bucket[first, 1].view(np.uint64)
             # Most buckets hold strangers only.
-            close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= WIDE if len(ids) <= 32 else None
-            if close is not None and close.sum() == len(ids):
+            if len(ids) <= 32 and (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= WIDE).sum() == len(ids):
                 continue
-            found = list(links_within(prints, distance_table(prints, references), WIDE, ids, sketches))
+            found = list(links_within(prints, distance_table(prints, references), WIDE, ids))
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return gathered.mapInPandas(run, "a long, b long").distinct()
+    links = stage(gathered.mapInPandas(run, "a long, b long").distinct(), "near_nodes")
+    one = links.join(distinct.select(F.col("node").alias("a"), F.col("sketch").alias("_a")), "a")
+    both = one.join(distinct.select(F.col("node").alias("b"), F.col("sketch").alias("_b")), "b")
+    ready_for_python(spark, 10_000)
 
+    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            a, b = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(-1, SKETCH) for c in ("_a", "_b"))
+            yield frame.loc[(a == b).mean(axis=1) >= ALIKE, ["a", "b"]]
 
-def _whole_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one bucket after another; rows come sorted by bucket."""
-    key, held = None, []
-    for frame in frames:
-        edges = np.flatnonzero(np.diff(frame.bucket.to_numpy())) + 1
-        for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(frame)], strict=True):
-            if start == stop:
-                continue
-            part = frame.iloc[start:stop]
-            if held and part.bucket.iloc[0] != key:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            key = part.bucket.iloc[0]
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+    return both.mapInPandas(alike, "a long, b long")
 
 
 def _similar(links: DataFrame, shingles: DataFrame) -> DataFrame:

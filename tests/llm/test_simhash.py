@@ -143,12 +143,10 @@ def test_near_copies_go_and_unlike_texts_stay(spark):
     assert all(any(i in pair for pair in alike) for i, _ in rows if i not in kept)
 
 
-def test_links_name_rows_and_need_alike_sketches():
-    prints = np.array([5, 5, 5 ^ 0b111, 1 << 40], np.uint64)
-    sketches = np.array([[1] * 64, [1] * 60 + [2] * 4, [9] * 64, [1] * 64], np.uint8)
-    table = simhash.distance_table(prints, simhash.pivots())
-    links = list(simhash.links_within(prints, table, 14, np.array([10, 11, 12, 13]), sketches))
-    # The third is near by its bits, and a stranger by its sketch.
-    assert len(links) == 2 and {x for link in links for x in link} == {10, 11, 13}
+def test_sketches_agree_as_often_as_sets_do_and_tables_grow():
+    drawn = np.random.default_rng(4).integers(0, 1 << 63, 440, dtype=np.uint64) * np.uint64(2)
+    one, other = drawn[:400], drawn[40:]  # 360 of 440 shared
+    a, b = (np.frombuffer(simhash.sketch_of(x), np.uint8) for x in (one, other))
+    assert abs((a == b).mean() - 360 / 440) < 0.15 and simhash.sketch_of(one[:0]) == bytes(simhash.SKETCH)
     wide = simhash.tables_for(10_000_000), simhash.tables_for(100)
     assert len(wide[0]) > len(wide[1]) and wide[0][0].bit_count() > wide[1][0].bit_count()
