@@ -51,3 +51,23 @@ def test_names_are_the_dealt_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "line dedup", "SimHash near-dedup", "mixing sources to target weights", "packing"
     ]
+
+
+def test_odd_rows_and_clashing_columns(spark, odd_docs, folder, tmp_path):
+    """Every stage but the last gives back the columns it got, with their own values."""
+    docs = odd_docs
+    for at, (_, step) in enumerate(corpus_pipeline.STAGES):
+        step(spark, docs, folder).write.parquet(f"{tmp_path}/{at}")
+        after = spark.read.parquet(f"{tmp_path}/{at}")
+        assert step(spark, docs.limit(0), folder).count() == 0
+        if at < 4:
+            assert after.columns == docs.columns
+            assert all(r.n_dropped == r.copy == r.place == "clash" for r in after.collect())
+        docs = odd_docs if at < 3 else after
+
+
+def test_a_table_without_counts_of_characters(spark, folder):
+    rows = [(1, "one line of five words\nand another of six words here"), (2, "one line of five words\nsomething else")]
+    found = corpus_pipeline.drop_recurring_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert found.columns == ["doc_id", "text"]
+    assert {r.doc_id: r.text for r in found.collect()} == {1: rows[0][1], 2: "something else"}
