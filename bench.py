@@ -66,6 +66,10 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - start)
         seconds[name] = round(times[1], 3)
+    # The same job on every machine and in every round, to compare rounds by.
+    start = time.perf_counter()
+    spark.range(200_000_000).selectExpr("sum(hash(id) % 7)").collect()
+    machine = round(time.perf_counter() - start, 3)
     spark.stop()
     print(
         json.dumps(
@@ -74,6 +78,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "machine": machine,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -556,6 +556,9 @@ WHERE totals_id IS NOT NULL AND bout_date < {DAY}
         plain.append(f"{text} AS r_{c}")
     q["project_features"] = sql(["entering", "competitors"], f"""SELECT e.bout_id, {', '.join(plain)}
 FROM entering e JOIN competitors c ON c.id = e.competitor_id WHERE corner = 'r'""")
+    blue = [c.replace(" AS r_", " AS b_") for c in plain]
+    q["project_features_blue"] = sql(["entering", "competitors"], f"""SELECT e.bout_id, {', '.join(blue)}
+FROM entering e JOIN competitors c ON c.id = e.competitor_id WHERE corner = 'b'""")
     shown = "SELECT bout_id, win_method, winner, r_odds, b_odds, r_wins, b_losses FROM dataset"
     q["no_draws"] = sql(["dataset"], f"{shown} WHERE winner <> 'DRAW'")
     q["no_overturned"] = sql(["dataset"], f"{shown} WHERE win_method <> 'Overturned'")
@@ -715,6 +718,9 @@ SELECT c, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, s
     # what no model can learn from or place
     q["labelled_rejects"] = sql(["dataset"], f"SELECT bout_id, winner FROM dataset WHERE winner IS NULL OR {unknown}")
 
+    q["unlabelled_rows"] = sql(["dataset"], f"""SELECT bout_id, winner FROM dataset
+  WHERE winner IS NULL OR {unknown} OR bout_id % 9 = 0""")
+
     # refreshes
     done, waiting = f"(x.bout_date <= {DAY} OR x.bout_id % 13 = 0)", f"(x.bout_date > {DAY} AND x.bout_id % 13 <> 0)"
     last = f"(SELECT max(bout_id * 2 + CASE corner WHEN 'r' THEN 0 ELSE 1 END) FROM sides WHERE {done.replace('x.', '')})"

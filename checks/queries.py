@@ -27,7 +27,7 @@ from boutlab.operators import (
     totals,
 )
 from boutlab.plans import models, refresh
-from boutlab.operators.skew import ROWS_PER_SLOT
+from boutlab.operators.skew import ROWS_PER_SLOT, lookup
 from boutlab.schema import (
     CATEGORIES,
     CONTROL,
@@ -599,8 +599,16 @@ def project_features(g):
         "competitor_id",
         "left",
     )
-    red = with_body.filter(F.col("corner") == "r")
-    return features.project_features(red, "r", ["bout_id"])
+    return features.project_features(with_body.filter(F.col("corner") == "r"), "r", ["bout_id"])
+
+
+@query
+def project_features_blue(g):
+    """The other corner's columns, its attributes joined like those of hot competitors."""
+    entering = totals.running_totals(g.bouts, g.stats, before=True)
+    body = g.full_competitors.select(F.col("id").alias("competitor_id"), "stance", "height", "reach")
+    with_body = lookup(totals.with_age(entering, g.full_competitors), body, ["competitor_id"], ["bout_id"])
+    return features.project_features(with_body.filter(F.col("corner") == "b"), "b", ["bout_id"])
 
 
 def _variant(name):
@@ -1088,6 +1096,13 @@ def labelled_rejects(g):
     return models.unlabelled(_stored_dataset(g)).select("bout_id", "winner")
 
 
+@query
+def unlabelled_rows(g):
+    """Rows that no model learns from, as every ninth bout has no known weight."""
+    rows = _stored_dataset(g).withColumn("weight", F.when(F.col("bout_id") % 9 != 0, F.col("weight")))
+    return models.unlabelled(rows).select("bout_id", "winner")
+
+
 @query
 def predict_upcoming_rejects(g):
     return models.not_placed(_card_features(g)).select("card_id", "r_name", "b_name")
