@@ -8,6 +8,8 @@ piece become bytes. The library itself encodes and decodes every Arrow batch aga
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import repeat
@@ -27,8 +29,8 @@ REMEMBERED, SHORT = 1_000_000, 32
 # Texts that one task remembers, and the longest of them in characters.
 COPIES, COPIED = 10_000, 8_000
 LEFT, SCORE = 16, 64
-# Above every rank.
-NEVER = 1 << 32
+# Above every rank, and a symbol of no piece.
+NEVER, END = 1 << 32, "\ud800"
 LENGTHS, PLACES = (1 << LEFT) - 1, (1 << SCORE - LEFT) - 1
 
 _MODELS: dict[str, MergePieces] = {}
@@ -168,15 +170,17 @@ class MergePieces:
     def _merge_few(self, symbols: list[str]) -> bytes:
         """The same for a short text: its agenda is a list by place, whose first least entry is next."""
         wanted = self._rank.get
+        # No piece has END, so what would pass either end of the text gets no rank.
+        symbols.append(END)
         agenda = list(map(wanted, map(add, symbols, symbols[1:]), repeat(NEVER)))
-        while agenda and (best := min(agenda)) != NEVER:
+        agenda.append(NEVER)
+        while (best := min(agenda)) != NEVER:
             at = agenda.index(best)
             whole = symbols[at] = symbols[at] + symbols.pop(at + 1)
             del agenda[at]
-            if at < len(agenda):
-                agenda[at] = wanted(whole + symbols[at + 1], NEVER)
-            if at:
-                agenda[at - 1] = wanted(symbols[at - 1] + whole, NEVER)
+            agenda[at] = wanted(whole + symbols[at + 1], NEVER)
+            agenda[at - 1] = wanted(symbols[at - 1] + whole, NEVER)
+        symbols.pop()
         return self._ids_of(symbols)
 
     def _ids_of(self, symbols: list[str]) -> bytes:
@@ -239,13 +243,20 @@ class MergePieces:
     def library_agrees(self, text: str, ids: bytes, decoded: str) -> bool:
         """Whether the library gives the same ids for a text, and the same text back."""
         other = self.library.encode(text, add_bos=True, add_eos=True)
-        return np.frombuffer(ids, "<u4").tolist() == other and self.library.decode(other) == decoded
+        return ids == _packed(other) and self.library.decode(other) == decoded
 
 
 def _number(i: int) -> bytes:
     return i.to_bytes(4, "little")
 
 
+def _packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 def _characters(raw: bytearray) -> str:
     """UTF-8 read character by character; each byte that is none becomes the replacement character."""
     try:
