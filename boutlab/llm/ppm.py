@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,12 +142,12 @@ def corpus_counts(training: DataFrame) -> DataFrame:
     The end of a text is the word '' . Tasks count what they read and send sums.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, size = [], 0
-        for frame in frames:
-            for text in frame.text:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
                 seen.update(words(data))
                 seen[b""] += 1
@@ -166,7 +167,7 @@ def corpus_counts(training: DataFrame) -> DataFrame:
         yield _gram_rows(keys, n)
         yield _word_rows(seen)
 
-    rows = training.select("text").mapInPandas(run, "word binary, gram long, n long")
+    rows = training.select("text").mapInArrow(run, "word binary, gram long, n long")
     return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -176,12 +177,21 @@ def _merged(keys: np.ndarray, n: np.ndarray, held: list[np.ndarray]) -> tuple[np
     return both, np.bincount(place, np.concatenate([n, counts])).astype(np.int64)
 
 
-def _gram_rows(keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"word": None, "gram": keys, "n": n}).astype({"word": object})
+def _gram_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return _batch(_COUNTED, len(keys), gram=keys, n=n)
+
+
+def _word_rows(seen: Counter) -> pa.RecordBatch:
+    return _batch(_COUNTED, len(seen), word=list(seen), n=list(seen.values()))
+
 
+def _batch(schema: pa.Schema, rows: int, **given) -> pa.RecordBatch:
+    """Rows of the given columns; all others are null, which costs nothing a row."""
+    columns = [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(rows, f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
-def _word_rows(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": list(seen), "gram": pd.array([None] * len(seen), "Int64"), "n": list(seen.values())})
+
+_COUNTED = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass
@@ -318,7 +328,8 @@ def score(docs: DataFrame, held_out: Column, looked_up: int = LOOKED_UP) -> Data
     """
     spark = docs.sparkSession
     ready_for_python(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(number, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stage(corpus_counts(rows.filter("NOT held_out")), "corpus_counts")
     counted = counts.filter("word IS NOT NULL")
     total, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -328,13 +339,13 @@ def score(docs: DataFrame, held_out: Column, looked_up: int = LOOKED_UP) -> Data
     shared = spark.sparkContext.broadcast((_frequent(model.seen, looked_up), known))
     ready_for_python(spark)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, often = shared.value
         logs = {w: (n, float(np.log10(n + 1))) for w, n in often.items()}
         row = TaskContext.get().partitionId() << 40
-        for frame in frames:
-            data = [t.encode("utf-8", "surrogatepass") for t in frame.text]
-            plain, rare = [], []
+        for batch in batches:
+            data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            first, plain, rare = row, [], []
             for text in data:
                 tokens = words(text)
                 sure, base = 0, 0.0
@@ -348,24 +359,22 @@ def score(docs: DataFrame, held_out: Column, looked_up: int = LOOKED_UP) -> Data
                         rare.append((row, word, n))
                 plain.append((row, len(tokens) + 1, sure, base))
                 row += 1
-            out = pd.DataFrame(plain, columns=["row", "n_tokens", "n_known", "base"])
-            out["doc_id"], out["held_out"] = frame.doc_id.to_numpy(), frame.held_out.to_numpy()
-            first = row - len(data)
-            out["score"], left = _text_scores(table, data)
-            yield out.assign(word=None, gram=pd.NA, n=0)[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64", "word": object})
+            if not plain:
+                continue
+            own = dict(zip(("row", "n_tokens", "n_known", "base"), zip(*plain, strict=True), strict=True))
+            scores, left = _text_scores(table, data)
+            yield _batch(_SCORED, len(data), doc_id=batch.column(0), held_out=batch.column(2), score=scores, **own)
             for texts_of, keys, n in left:
                 for at in range(0, len(keys), _HELD_GRAMS):
                     part = slice(at, at + _HELD_GRAMS)
-                    some = pd.DataFrame({"row": first + texts_of[part], "gram": keys[part], "n": n[part]})
-                    some = some.assign(word=None, n_tokens=0, n_known=0, base=0.0, doc_id=pd.NA, held_out=False, score=0.0)
-                    yield some[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64", "word": object})
+                    some = keys[part]
+                    yield _batch(_SCORED, len(some), row=first + texts_of[part], gram=some, n=n[part])
             if rare:
-                few = pd.DataFrame(rare, columns=["row", "word", "n"])
-                few = few.assign(n_tokens=0, n_known=0, base=0.0, doc_id=pd.NA, held_out=False, score=0.0, gram=pd.NA)
-                yield few[_COLUMNS].astype({"doc_id": "Int64", "gram": "Int64"})
+                of, word, n = zip(*rare, strict=True)
+                yield _batch(_SCORED, len(rare), row=of, word=word, n=n)
 
     # Written once: the documents' own sums, their rare words and their rare grams are read apart.
-    scored = stage(rows.mapInPandas(run, _SCHEMA), "scored")
+    scored = stage(rows.mapInArrow(run, _SCHEMA), "scored")
     rest = counted.filter((F.col("n") < WORD_SHARE * total) & (F.octet_length("word") > 0))
     joined = scored.filter("word IS NOT NULL").select("row", "word", "n").join(
         rest.select("word", F.col("n").alias("c")), "word"
@@ -395,7 +404,20 @@ _SCHEMA = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
     "word binary, gram long, n long"
 )
-_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
+_SCORED = pa.schema(
+    [
+        ("row", pa.int64()),
+        ("doc_id", pa.int64()),
+        ("held_out", pa.bool_()),
+        ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()),
+        ("base", pa.float64()),
+        ("score", pa.float64()),
+        ("word", pa.binary()),
+        ("gram", pa.int64()),
+        ("n", pa.int64()),
+    ]
+)
 
 
 def _text_scores(table: tuple[np.ndarray, np.ndarray], data: list[bytes]) -> tuple[np.ndarray, list[tuple]]:
