@@ -55,7 +55,7 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = byte_cnn.fit_quality(docs, labels, remainder(3) != 1)
     return byte_cnn.score_quality(docs, net).select(
         "doc_id",
-        (remainder(3) == 1).alias("held_out"),
+        F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -104,3 +104,32 @@ def test_network_looks_at_whole_texts(odd_docs, spark):
     rng = np.random.default_rng(3)
     net.out = rng.normal(size=net.out.shape)
     assert net.score(b"a" * 50_000) != net.score(b"a" * 50_000 + b"!!##" * 50)
+
+
+def _plain_score(net, text):
+    """The score as nested loops over chunks, places and filters."""
+    s = net.shape
+    blocks = -(-max(1, -(-len(text) // s.stride)) // s.block)
+    data = text + bytes(blocks * s.block * s.stride + s.width - len(text))
+
+    def best(f, first):
+        places = range(first * s.block, min(first + s.chunk, blocks) * s.block)
+        return max(0.0, *(net.bias[f] + sum(net.table[w][data[p * s.stride + w]][f] for w in range(s.width)) for p in places))
+
+    firsts = range(0, max(1, blocks - 1), s.chunk - 1)
+    chunks = [[best(f, first) for first in firsts] for f in range(s.filters)]
+    features = [*(sum(c) / len(c) for c in chunks), *map(max, chunks), 1.0]
+    return 1 / (1 + np.exp(-sum(x * w for x, w in zip(features, net.out, strict=True)) - net.offset))
+
+
+def test_scores_equal_plain_loops(spark):
+    shape = byte_cnn.Shape(filters=3, width=3, stride=2, block=4, chunk=3)
+    net = byte_cnn.train([b"clean words here", b"##$$ !!"], [1, 0], shape, epochs=2)
+    net.offset = 0.3
+    rows = [(i, ("été and more words " * 9)[:n]) for i, n in enumerate((0, 1, 2, 7, 8, 9, 16, 17, 23, 24, 25, 33, 64, 150))]
+    rows.append((99, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in byte_cnn.score_quality(docs, net).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        assert abs(found[i] - _plain_score(net, (text or "").encode())) < 1e-5

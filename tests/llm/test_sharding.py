@@ -1,5 +1,8 @@
+import hashlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 from boutlab.llm.sharding import Ring, shard
 
 
@@ -53,3 +56,69 @@ def test_odd_rows(odd_docs, spark):
     assert shard(odd_docs.limit(0)).count() == 0
     tied = spark.createDataFrame([(1, "same")] * 40, "doc_id long, text string")
     _loads(shard(tied).collect(), 8)
+
+
+def _met(key, ring):
+    """Shards in the order in which a walk from the key's place passes their nodes."""
+    nodes = sorted(
+        (xxhash.xxh64_intdigest(b"shard %d node %d" % (s, n)) >> 1, s) for s in range(ring.shards) for n in range(ring.nodes)
+    )
+    place = int(key[:15], 16) * 8
+    return list(dict.fromkeys([s for p, s in nodes if p >= place] + [s for _, s in nodes]))
+
+
+def _walk(weights, free, ring, total, last=False):
+    """Homes of keys, one after another, and the keys that no shard has room for."""
+    met = {k: _met(k, ring) for k in weights}
+    big = max(1, int(total / ring.shards * ring.slack / 2))
+    homes, none = {}, []
+    for key in sorted((k for k in weights if weights[k] > big), key=lambda k: (-weights[k], k)):
+        fit = [s for s in met[key] if free[s] >= weights[key]]
+        if not fit and last:
+            fit = [free.index(max(free))]
+        if not fit:
+            none.append(key)
+            continue
+        homes[key] = fit[0]
+        free[fit[0]] -= weights[key]
+    waiting = sorted((k for k in weights if weights[k] <= big), key=lambda k: xxhash.xxh64_intdigest(k, seed=42))
+    for turn in range(ring.shards):
+        full, passed = set(), []
+        for key in waiting:
+            s = met[key][turn]
+            if s in full or weights[key] > free[s]:
+                full.add(s)
+                passed.append(key)
+            else:
+                homes[key] = s
+                free[s] -= weights[key]
+        waiting = passed
+    if last:
+        emptiest = free.index(max(free))
+        return homes | dict.fromkeys(waiting, emptiest), []
+    return homes, none + waiting
+
+
+def _hex(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _plain(rows, ring):
+    """Shard of every (doc_id, text), for unique doc_ids."""
+    size = {i: len(t.encode()) + 1 for i, t in rows}
+    weights, total = Counter(), sum(size.values())
+    for i, t in rows:
+        weights[_hex(t)] += size[i]
+    free = [int(total / ring.shards * (1 + ring.slack)) + 1] * ring.shards
+    homes, rest = _walk(weights, free, ring, total)
+    ones = {_hex(f"{_hex(t)}:{i}"): size[i] for i, t in rows if _hex(t) in rest}
+    singles = _walk(ones, free, ring, total, last=True)[0]
+    return {i: homes[_hex(t)] if _hex(t) in homes else singles[_hex(f"{_hex(t)}:{i}")] for i, t in rows}
+
+
+def test_shards_equal_a_plain_walk(spark):
+    many = [(i, f"key number {i * 7919 % 1500} of many") for i in range(2_000)]
+    hot = [(i, "the same text again" if i % 3 == 0 else f"own text {i} " + "long " * (i % 40)) for i in range(300)]
+    for rows, ring in ((many, Ring(shards=5, nodes=8, slack=0.05)), (hot, Ring())):
+        found = shard(spark.createDataFrame(rows, "doc_id long, text string"), ring).collect()
+        assert {r.doc_id: r.shard for r in found} == _plain(rows, ring)
