@@ -84,7 +84,8 @@ def shard(docs: DataFrame, ring: Ring = Ring(), passed_on: Sequence[str] | None
         docs.select(
             F.struct(*names).alias("_row"),
             F.col("doc_id").alias("_id"),
-            F.xxhash64("doc_id").alias("_row_hash"),
+            # By text too: rows that share or lack a doc_id would be numbered in one task.
+            F.xxhash64("doc_id", "text").alias("_row_hash"),
             (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.sha2(text, 256).alias("_key"),

@@ -2,7 +2,9 @@ import hashlib
 from collections import Counter, defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
+from boutlab.llm import sharding
 from boutlab.llm.sharding import Ring, shard
 
 
@@ -122,3 +124,15 @@ def test_shards_equal_a_plain_walk(spark):
     for rows, ring in ((many, Ring(shards=5, nodes=8, slack=0.05)), (hot, Ring())):
         found = shard(spark.createDataFrame(rows, "doc_id long, text string"), ring).collect()
         assert {r.doc_id: r.shard for r in found} == _plain(rows, ring)
+
+
+def test_rows_without_an_id_are_numbered_in_many_parts(spark, monkeypatch):
+    given, number = [], sharding._number
+    monkeypatch.setattr(sharding, "NUMBERED", 100)
+    monkeypatch.setattr(sharding, "_number", lambda rows: given.append(rows) or number(rows))
+    docs = spark.range(2_000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "concat('text ', id) AS text")
+    rows = shard(docs, Ring(slack=0.05)).collect()
+    assert len(rows) == 2_000
+    _loads(rows, 8)
+    parts = given[0].groupBy("shard", F.pmod("_row_hash", F.lit(20))).count()
+    assert parts.agg(F.max("count")).first()[0] < 50
