@@ -1,3 +1,4 @@
+import random
 import time
 from html.parser import HTMLParser
 
@@ -114,3 +115,40 @@ def test_labels(spark):
     made = tree.with_tree(spark.createDataFrame([(1, page)], "page_id long, html string"))
     found = made.select(*[tree.labelled_text(tree.page(), x).alias(x) for x in ("Round:", "Details:", "None:")]).first()
     assert tuple(found) == ("3", "a & b", None)
+
+
+def test_parts_hold_their_own_elements_only_and_say_what_the_whole_tree_says():
+    rng, pieces = random.Random(5), ["<td>", "<td class='x y'>", "</td>", "<tr>", "</tr>", "<table>", "</table>", "<a>", "w ", "&amp;"]
+    for _ in range(300):
+        page = "".join(rng.choice(pieces) for _ in range(40))
+        nodes, texts = tree.scan(page, frozenset({"td", "a"}))
+        wanted = [n for n in nodes if n[1] == "td" and "x" in n[2]]
+        places = {n[0]: i for i, n in enumerate(wanted)}
+        parts = sorted(tree.scan_parts(page, frozenset({"td", "a"}), tree.Kind("td", ("x",))), key=lambda p: p[0])
+        assert [p[0] for p in parts] == list(range(len(wanted)))
+        for node, (_, around, level, part, words) in zip(wanted, parts, strict=True):
+            assert words == texts[node[7] : node[8]] and level == node[6]
+            assert [(n[1], n[6]) for n in part[1:]] == [(n[1], n[6]) for n in nodes[node[0] : node[4] + 1]]
+            outer = nodes[node[5]]
+            while outer[1] == "a":
+                outer = nodes[outer[5]]
+            assert around == (places.get(outer[0], -1) if level else None)
+
+
+def test_threes_of_parts_leave_out_a_short_last_one():
+    page = "".join(f"<td>{i}<a>{i}</a></td>" for i in range(8))
+    parts = list(tree.scan_parts(page, frozenset({"a"}), tree.Kind("td"), width=3))
+    assert [p[0] for p in parts] == [0, 1]
+    nodes, texts = parts[1][3:]
+    assert [texts[n[7]] for n in nodes if n[5] == 0] == ["3", "4", "5"]
+    assert [texts[n[7]] for n in nodes if n[1] == "a"] == ["3", "4", "5"] and nodes[0][4] == 6
+
+
+def test_a_long_page_leaves_its_task_as_small_rows(spark):
+    rows = "".join(f"<tr class='r'><td>{i}</td></tr>" for i in range(3000))
+    pages = spark.createDataFrame([(1, f"<table><tbody class='b'>{rows}</tbody></table><tr class='r'></tr>"), (2, None)], "page_id long, html string")
+    found = tree.with_parts(pages, ["td"], tree.Kind("tr", ("r",)), within=tree.Kind("tbody", ("b",)))
+    sizes = found.agg(F.count("*"), F.max(F.size("tree.nodes")), F.max("pos")).first()
+    assert tuple(sizes) == (3000, 3, 2999)
+    first = tree.with_first(pages, (), tree.Kind("td")).select("page_id", tree.text_of(tree.unit()).alias("t"))
+    assert sorted(map(tuple, first.collect())) == [(1, "0"), (2, None)]
