@@ -46,6 +46,19 @@ def test_values_go_along_links(spark, no_broadcast):
     assert found == {99: (*event, "heavyweight", 265), 102: (*event, "odd weight", None)}
 
 
+def test_bouts_carry_day_and_place_of_their_event(spark):
+    person = '<div class="b-fight-details__person"><a class="b-fight-details__person-link">{}</a></div>'
+    html = person.format("Ann") + person.format("Bea")
+    listings = _pages(spark, (1, "/l/1", LISTING.format("/e/1", "March 02, 2024", "Hall")))
+    events = _pages(spark, (4, "/e/1", _event(("/b/1", NAMES, "Flyweight"), ("/b/3", NAMES, "Flyweight"))))
+    bouts = _pages(spark, (101, "/b/1", html), (102, "/b/2", html), (103, "/b/3", "x"), (None, "/b/3", html), (101, "/b/1", html))
+    found = records.dated_bouts(listings, events, bouts).select("page_id", "bout_date", "location", "r_name", "b_name")
+    day = (dt.date(2024, 3, 2), "Hall")
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        (101, *day, "Ann", "Bea"), (101, *day, "Ann", "Bea"), (102, None, None, "Ann", "Bea"), (None, None, None, "Ann", "Bea"),
+    ]
+
+
 def test_quotes(spark):
     def page(label="Betting Odds", left="<a>Ann</a>"):
         return (
