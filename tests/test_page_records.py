@@ -1,7 +1,11 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from boutlab import fixtures
 from boutlab.operators import page_records as records
 from boutlab.operators.snapshots import append_with_child_keys
+from boutlab.sources.tables import stage
 
 LISTING = """<table><tr class="b-statistics__table-row"><td>Name</td></tr>
 <tr class="b-statistics__table-row"><td><a class="b-link b-link_style_black" href="http://s.example{}">E</a>
@@ -117,3 +121,28 @@ def test_children_are_numbered_with_their_parents(spark):
         ]
     first = append_with_child_keys(old.limit(0), kids.limit(0), rows, "id", "kid", ["day", "at"], ["r", "b"])
     assert [tuple(r) for r in first.orderBy("id").select("id", "r", "b").collect()][0] == (1, 1, 2)
+
+
+def test_days_go_to_tasks_of_their_own(spark):
+    """Rows that shrink in a shuffle must not bring the pages of all days into one task."""
+    bouts = spark.range(400).selectExpr(
+        "id AS bout_id", "date_add(DATE'2024-01-01', CAST(id % 40 AS INT)) AS bout_date", "id AS r_id",
+        "concat('user ', id) AS r_name", "concat('user ', id + 1) AS b_name", "'Flyweight' AS weight_class",
+    )
+    made = fixtures.event_pages(bouts).select("page_id", "html", F.spark_partition_id().alias("task")).collect()
+    assert len(made) == 40 and len({r.task for r in made}) > 8
+    assert all(r.html.count("data-link") == 10 for r in made)
+
+
+def test_titles_are_read_from_wanted_pages_alone(spark):
+    pages = _pages(
+        spark,
+        (1, "/b/1", '<i class="b-fight-details__fight-title">Flyweight Bout</i>'),
+        (2, "http://s.example/b/2", '<i class="b-fight-details__fight-title">Heavyweight Bout</i>'),
+        (3, "/b/3", '<i class="b-fight-details__fight-title">Odd Bout</i>'),
+    )
+    wanted = spark.createDataFrame([("/b/2",), ("/b/2",), (None,), ("/b/3",), ("/b/9",)], "bout_path string")
+    paths = stage(wanted, "paths")
+    found = {tuple(r) for r in records._titles(pages, paths).collect()}
+    assert found == {("/b/2", "Heavyweight Bout"), ("/b/3", "Odd Bout")}
+    assert "LeftSemi" in records._titles(pages, paths)._jdf.queryExecution().optimizedPlan().toString()
