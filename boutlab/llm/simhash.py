@@ -21,12 +21,18 @@ DISTANCE = 4
 SEED = 42
 PIVOTS = 24
 # Copies whose texts differ: words of a shingle, least Jaccard similarity, bits their fingerprints differ
-# in at most, and how often two with ``USUAL`` differing bits share no table.
+# in at most, and how often two with ``USUAL`` differing bits share no table. Prefixes find those.
 COPY_SHINGLE = 5
 SIMILAR = 0.8
-WIDE, USUAL, MISSED = 14, 10, 0.04
+WIDE, USUAL, MISSED = 14, 10, 0.3
 # Places of a sketch, and the share of them that has to agree before texts are compared.
 SKETCH, ALIKE = 64, 0.68
+# Bits of a parity map, the leading ones of a shingle's hash.
+PARITY = 9
+# Shingles that come last in prefixes, and how they are found: among so many at once, those of so many texts.
+FREQUENT, COUNTED, OFTEN = 65_536, 1 << 21, 4
+# One in so many texts is counted to see which prefix shingles are hot.
+SEEN = 16
 # Fingerprints that one task compares with each other at once; larger buckets are cut.
 BLOCK = 4096
 
@@ -222,7 +228,7 @@ def sketch_of(hashes: np.ndarray) -> bytes:
 
 
 def tables_for(rows: int) -> list[int]:
-    """Masks of sampled bits, so many that two fingerprints ``USUAL`` bits apart share one in 96 of 100 cases.
+    """Masks of sampled bits, so many that two fingerprints ``USUAL`` bits apart share one in 70 of 100 cases.
 
     A table's bits grow with the logarithm of the rows, which keeps its buckets small, and the number of
     tables with the bits, which keeps that share.
@@ -282,6 +288,158 @@ def _copy_links(distinct: DataFrame, rows: int) -> DataFrame:
     return both.mapInPandas(alike, "a long, b long")
 
 
+def frequent_shingles(docs: DataFrame, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """At most ``FREQUENT`` shingles that most texts share, the most frequent last.
+
+    They only set the order of prefixes, which any order serves: it keeps frequent ones out. A task counts
+    ``COUNTED`` shingles at a time, equal sets once.
+    """
+    ready_for_python(docs.sparkSession, 256)
+
+    def often(held: list[np.ndarray]) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        kept = counts >= OFTEN
+        return pd.DataFrame({"shingle": values[kept].view(np.int64), "n": counts[kept]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for frame in frames:
+            for text in frame.text:
+                found = np.unique(shingle_hashes(text.encode("utf-8", "surrogatepass"), shingle))
+                name = set_name(found)
+                if name not in held:
+                    held[name] = found
+                    size += len(found)
+            if size >= COUNTED:
+                yield often(list(held.values()))
+                held, size = {}, 0
+        if held:
+            yield often(list(held.values()))
+
+    counted = texts(docs).select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    return np.array([r.shingle for r in reversed(most)], np.int64).view(np.uint64)
+
+
+def set_name(shingles: np.ndarray) -> int:
+    """A number for a set, given as its sorted hashes."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def parity_map(shingles: np.ndarray) -> bytes:
+    """Whether an even or odd number of a set's hashes start with the same bits.
+
+    Two maps differ in no more bits than the sets have elements of which the other has none.
+    """
+    counts = np.bincount((shingles >> np.uint64(64 - PARITY)).astype(np.int64), minlength=1 << PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, so many that two sets alike by ``SIMILAR`` have one in common among theirs.
+
+    Frequent ones come last: ``frequent`` has them sorted, ``places`` their places in that order.
+    """
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        place = np.where(frequent[at] == shingles, places[at], -1)
+        shingles = shingles[np.argsort(place, kind="stable")]
+    return shingles[: len(shingles) - _ceiling(SIMILAR * len(shingles)) + 1]
+
+
+def _ceiling(number: float) -> int:
+    return math.ceil(number - 1e-9)
+
+
+def pairs_alike(rows: np.ndarray) -> np.ndarray:
+    """Pairs of nodes that share a prefix shingle and may be alike; ``rows`` are (node, root, size, place).
+
+    Only nodes of different roots are compared. A pair is left to another bucket if what follows the shingle in
+    one of them is too short: the first shingle that both have always has enough behind it.
+    """
+    if (rows[:, 1] == rows[0, 1]).all():
+        return rows[:0, :2]
+    rows = rows[np.argsort(rows[:, 2], kind="stable")]
+    node, root, size, place = rows.T
+    behind = size - place
+    last = np.searchsorted(size, np.floor(size / SIMILAR + 1e-9), side="right")
+    found = []
+    for i in range(len(rows) - 1):
+        to = slice(i + 1, last[i])
+        enough = np.minimum(behind[i], behind[to]) >= SIMILAR / (1 + SIMILAR) * (size[i] + size[to]) - 1e-9
+        other = node[to][enough & (root[to] != root[i])]
+        if len(other):
+            found.append(np.column_stack([np.full(len(other), node[i]), other]))
+    return np.concatenate(found) if found else rows[:0, :2]
+
+
+def _shared_buckets(frames: Iterator[pd.DataFrame], values_of: list[str]) -> Iterator[np.ndarray]:
+    """Like ``_whole_buckets``, but only buckets of two rows and more."""
+    held = None
+    for frame in frames:
+        rows = frame[["bucket", *values_of]].to_numpy()
+        rows = rows if held is None else np.concatenate([held, rows])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
+        longer = np.flatnonzero(np.diff(starts) > 1)
+        for a, b in zip(starts[longer].tolist(), starts[longer + 1].tolist(), strict=True):
+            yield rows[a:b, 1:]
+        held = rows[starts[-1] :]
+    if held is not None and len(held) > 1:
+        yield held[:, 1:]
+
+
+def _prefix_links(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """All links (a, b) between nodes of different roots whose texts can be alike.
+
+    Two sets alike share a shingle of their prefixes, so buckets by these bring every such pair together; sizes, places
+    in the prefix and parity maps then rule out pairs that cannot be alike, and no others. Nodes that are known
+    to be of one group are not compared, so a group of near copies makes no pairs. Buckets are numbered by half a
+    shingle's hash: shingles that share it only bring more nodes together.
+    """
+    spark = distinct.sparkSession
+    ready_for_python(spark, 10_000)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rooted = distinct.join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("place", "bucket")
+    )
+    # A hot bucket is cut into parts that all meet; how hot it is, a part of the texts shows.
+    some = rooted.filter(F.pmod(F.xxhash64("node"), F.lit(SEEN)) == 0).groupBy("bucket")
+    seen = some.agg(F.count(F.lit(1)).alias("_seen"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    hot = seen.filter((F.col("_seen") * SEEN > BLOCK) & (F.col("_low") < F.col("_high"))).select("bucket", "_seen")
+    parts = F.ceil(F.coalesce("_seen", F.lit(0)) * SEEN / F.lit(float(BLOCK))).cast("int")
+    shared = lookup(rooted, stage(hot, "hot_shingles"), ["bucket"], ["node"]).withColumn("_parts", F.greatest(parts, F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")
+    met = shared.withColumn("_part", part).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    pair = F.xxhash64("bucket", F.least("_part", "_other"), F.greatest("_part", "_other"))
+    keyed = met.select(
+        F.when(F.col("_parts") == 1, F.col("bucket")).otherwise(pair).alias("bucket"),
+        "node", "root", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("measures"),
+    )
+    gathered = keyed.repartition(shuffles, "bucket").sortWithinPartitions("bucket")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for bucket in _shared_buckets(frames, ["node", "root", "measures"]):
+            size, place = bucket[:, 2] >> 32, bucket[:, 2] & 0xFFFFFFFF
+            found = pairs_alike(np.column_stack([bucket[:, :2], size, place]))
+            if len(found):
+                yield pd.DataFrame(np.sort(found, axis=1), columns=["a", "b"])
+
+    links = stage(gathered.mapInPandas(run, "a long, b long").distinct(), "prefix_pairs")
+    one = links.join(distinct.select(F.col("node").alias("a"), F.col("parity").alias("_a"), F.col("size").alias("_m")), "a")
+    both = one.join(distinct.select(F.col("node").alias("b"), F.col("parity").alias("_b"), F.col("size").alias("_n")), "b")
+    ready_for_python(spark, 10_000)
+
+    def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            a, b = (np.frombuffer(b"".join(frame[c]), np.uint8).reshape(len(frame), -1) for c in ("_a", "_b"))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            most = (1 - SIMILAR) / (1 + SIMILAR) * (frame._m + frame._n).to_numpy() + 1e-9
+            yield frame.loc[apart <= most, ["a", "b"]]
+
+    return both.mapInPandas(possible, "a long, b long")
+
+
 def _similar(links: DataFrame, shingles: DataFrame) -> DataFrame:
     """The links whose texts share ``SIMILAR`` of their shingles."""
     one = links.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
@@ -294,56 +452,74 @@ def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
     """One row of each group of near copies, that with the smallest doc_id, with its columns.
 
     Two texts are near copies if they share at least 0.8 of their five-word shingles (Jaccard), and a group is
-    what such links reach. Candidates come from SimHash fingerprints that agree on sampled bits, within
-    ``WIDE`` bits by pivot distance tables and Hamming distance; a sketch of the shingles leaves out
-    strangers, and the texts themselves decide. Inside a bucket a group takes one link per member. At a
-    similarity of 0.8 fingerprints usually differ in some ten bits, for which candidates miss 4 %.
+    what such links reach; none is left out. First candidates come from SimHash fingerprints that agree on sampled
+    bits, within ``WIDE`` bits by pivot distance tables and Hamming distance; a sketch of the shingles leaves out
+    strangers, and the texts themselves decide. Inside a bucket a group takes one link per member. What these
+    miss is found by prefixes: texts of different groups that share one of their first shingles are candidates
+    too, unless their sizes, or parity maps, rule it out. Texts with the same set of shingles are one from the start.
 
     Rows that share a doc_id, or have none, are compared by their texts like any others. A null doc_id comes
     after all others, equal ones are ordered by the checksum of the text, and of rows alike in both any one
     stays. Null and empty texts have no words and are one group; an empty table stays empty.
     """
     spark = docs.sparkSession
+    common = frequent_shingles(docs, shingle)
+    places = np.argsort(common).astype(np.int32)
+    frequent = common[places]
     ready_for_python(spark, 256)
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             hashes = [shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle) for t in frame.text]
             prints = np.array([majority_bits(h) for h in hashes], np.uint64).view(np.int64)
-            yield frame[["doc_id", "md5"]].assign(fingerprint=prints, sketch=[sketch_of(h) for h in hashes])
+            sets = [np.unique(h) for h in hashes]
+            yield frame[["doc_id", "md5"]].assign(
+                fingerprint=prints,
+                sketch=[sketch_of(h) for h in hashes],
+                node=np.array([set_name(s) for s in sets], np.uint64).view(np.int64),
+                size=[len(s) for s in sets],
+                parity=[parity_map(s) for s in sets],
+                prefix=[(prefix_of(s, frequent, places) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets],
+            )
 
     text = F.coalesce("text", F.lit(""))
     given = docs.select("doc_id", text.alias("text"), F.md5(text).alias("md5"))
-    marked = stage(
-        given.mapInPandas(profile, "doc_id long, md5 string, fingerprint long, sketch binary").withColumn(
-            "node", F.xxhash64("fingerprint", "sketch")
-        ),
-        "profiles",
-    )
+    columns = "fingerprint long, sketch binary, node long, size int, parity binary, prefix array<int>"
+    marked = given.mapInPandas(profile, f"doc_id long, md5 string, {columns}")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5")
-    distinct = marked.groupBy("node").agg(
-        F.first("fingerprint").alias("fingerprint"), F.first("sketch").alias("sketch"), F.min(name).alias("first")
-    )
-    distinct = stage(distinct, "distinct_profiles")
-    links = stage(_copy_links(distinct, distinct.count()), "copy_candidates")
+    of_set = [F.first(c).alias(c) for c in ("fingerprint", "sketch", "size", "parity", "prefix")]
+    distinct = marked.groupBy("node").agg(*of_set, F.min(name).alias("first"))
+    # From here on nodes have small numbers, which travel often.
+    distinct = stage(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct_profiles")
     nothing = F.lit(-(1 << 63))
     keyed = carried(docs).select(
         "_row", F.coalesce("_row.doc_id", nothing).alias("_id"), F.md5(F.coalesce("_row.text", F.lit(""))).alias("_md5")
     )
     named = distinct.select("node", F.coalesce("first.doc_id", nothing).alias("_id"), F.col("first.md5").alias("_md5"), "first")
-    wanted = named.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    texts_of = keyed.select("_id", "_md5", F.coalesce("_row.text", F.lit("")).alias("text")).join(
-        wanted.select("node", "_id", "_md5"), ["_id", "_md5"]
-    ).dropDuplicates(["node"])
-    ready_for_python(spark, 256)
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle)).view(np.int64) for t in frame.text]
             yield pd.DataFrame({"node": frame.node, "shingles": found})
 
-    shingles = stage(texts_of.select("node", "text").mapInPandas(sets, "node long, shingles array<long>"), "copy_shingles")
-    roots = connected(_similar(links, shingles))
+    def verified(links: DataFrame) -> DataFrame:
+        """The links whose texts are alike, stored; texts are read again for the nodes of links alone."""
+        links = stage(links, "copy_candidates")
+        wanted = named.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        # Stored, so that texts need not travel if the links are few.
+        wanted = stage(wanted.select("node", "_id", "_md5"), "wanted_texts")
+        texts_of = keyed.select("_id", "_md5", F.coalesce("_row.text", F.lit("")).alias("text")).join(
+            wanted, ["_id", "_md5"]
+        ).dropDuplicates(["node"])
+        ready_for_python(spark, 256)
+        shingles = stage(texts_of.select("node", "text").mapInPandas(sets, "node long, shingles array<long>"), "copy_shingles")
+        return stage(_similar(links, shingles), "copy_links")
+
+    near = verified(_copy_links(distinct, distinct.count()))
+    roots = connected(near)
+    rest = verified(_prefix_links(distinct, roots))
+    if not rest.isEmpty():
+        roots = connected(near.unionByName(rest))
     rooted = named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("_root"))
     chosen = rooted.agg(F.min("first").alias("first")).select(
         F.coalesce("first.doc_id", nothing).alias("_id"), F.col("first.md5").alias("_md5")

@@ -150,3 +150,82 @@ def test_sketches_agree_as_often_as_sets_do_and_tables_grow():
     assert abs((a == b).mean() - 360 / 440) < 0.15 and simhash.sketch_of(one[:0]) == bytes(simhash.SKETCH)
     wide = simhash.tables_for(10_000_000), simhash.tables_for(100)
     assert len(wide[0]) > len(wide[1]) and wide[0][0].bit_count() > wide[1][0].bit_count()
+
+
+def _kept_by_brute_force(rows):
+    """Smallest doc_id of every component of links at a similarity of 0.8."""
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, one in enumerate(sets):
+        for j in range(i):
+            shared = len(one & sets[j])
+            if 5 * shared >= 4 * (len(one) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_no_copy_at_the_threshold_is_left_out(spark):
+    """Pairs just above and below 0.8, short and long, among frequent phrases; all links count."""
+    rng = np.random.default_rng(18)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    phrase = "as it was said before in this very place".split()
+    rows = []
+    for group in range(250):
+        n = int(rng.choice([9, 14, 23, 24, 60, 220]))
+        words = [*phrase, *rng.choice(vocabulary, n), *phrase] if group % 2 else list(rng.choice(vocabulary, n))
+        for copy in range(3):
+            changed = list(words)
+            at = int(rng.integers(len(words)))
+            # A stretch of new words costs its length and four shingles.
+            width = max(0, int(len(words) * rng.uniform(0.04, 0.16)) - 4) if len(words) > 30 else int(rng.integers(0, 2))
+            changed[at : at + width] = [f"x{group}_{copy}_{k}" for k in range(width)]
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(len(rows), "one two three four five six seven"), (len(rows) + 1, "one two three four five six seven eight")]
+    rows += [(len(rows), "a b c d e f g h"), (len(rows) + 1, "a b c d e f g h i")]
+    expected = _kept_by_brute_force(rows)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert 300 < len(expected) < len(rows) - 100
+    assert kept == expected
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 20), st.integers(0, 20), st.integers(0, 2**32), st.floats(0, 0.6))
+def test_prefixes_and_maps_never_part_sets_that_are_alike(both, left, right, seed, often):
+    rng = np.random.default_rng(seed)
+    drawn = np.unique(rng.integers(0, 1 << 63, both + left + right, dtype=np.uint64) * np.uint64(2))
+    one = np.sort(drawn[: both + left])
+    other = np.sort(np.concatenate([drawn[:both], drawn[both + left :]]))
+    common = rng.permutation(drawn[rng.random(len(drawn)) < often])
+    places = np.argsort(common)
+    a, b = (simhash.prefix_of(s, common[places], places) for s in (one, other))
+    if 5 * both < 4 * len(drawn):
+        return
+    rows = [
+        np.array([[1, 1, len(one), a.tolist().index(h)], [2, 2, len(other), b.tolist().index(h)]])
+        for h in set(a.tolist()) & set(b.tolist())
+    ]
+    assert any(len(simhash.pairs_alike(r)) for r in rows)
+    assert not any(len(simhash.pairs_alike(r * [1, 0, 1, 1])) for r in rows)
+    x, y = (np.frombuffer(simhash.parity_map(s), np.uint8) for s in (one, other))
+    assert np.bitwise_count(x ^ y).sum() <= left + right
+
+
+def test_hot_shingles_are_cut_without_loss(spark, monkeypatch):
+    """Many texts of frequent shingles alone, in blocks of few."""
+    phrases = ["the cat sat on the mat", "a dog ran in the park", "it was a day like any other", "we went home by bus"]
+    rows = []
+    for i in range(160):
+        words = " ".join(phrases[(i * 7 + k * (1 + i % 3)) % 4] for k in range(3 + i % 6))
+        rows.append((i, words + (f" only here {i}" if i % 2 else "")))
+    expected = _kept_by_brute_force(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, seen in ((4096, 16), (8, 1)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "SEEN", seen)
+        assert {r.doc_id for r in simhash.keep_one(frame).collect()} == expected
