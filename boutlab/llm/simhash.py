@@ -516,7 +516,8 @@ def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
         return stage(_similar(links, shingles), "copy_links")
 
     near = verified(_copy_links(distinct, distinct.count()))
-    roots = connected(near)
+    # Stored, so that prefixes need not travel to them while they are few.
+    roots = stage(connected(near), "near_groups")
     rest = verified(_prefix_links(distinct, roots))
     if not rest.isEmpty():
         roots = connected(near.unionByName(rest))
