@@ -200,3 +200,45 @@ def test_card_rows_with_unknown_columns_get_no_pick(rows):
     )
     picks = models.predict_upcoming(model, card).collect()
     assert picks and all(r["card_id"] % 2 == 0 for r in picks)
+
+
+def test_layers_are_as_plain_sums_and_do_not_depend_on_batches(spark):
+    """What SQL over one number at a time gives, bit by bit; an unknown input leaves the hidden units at zero."""
+    rng = np.random.default_rng(4)
+    layers = [5, 7, 3]
+    weights, x = network.first_weights(layers, 1), rng.normal(size=(3000, 5))
+    drawn = [(i, [None if i % 97 == 5 and j == 2 else v for j, v in enumerate(row)]) for i, row in enumerate(x.tolist())]
+    frame = spark.createDataFrame(drawn, "i long, x array<double>").repartition(3)
+    model = models.PipelineModel(stages=network.network_stages(weights, layers, "x"))
+    found = {r["i"]: r for r in model.transform(frame).select("i", "_layer_1", "_layer_2", "_probabilities").collect()}
+    assert len(found) == 3000
+    for i, row in drawn:
+        below = row
+        for at, (matrix, offset) in enumerate(network.split_weights(weights, layers)):
+            units = []
+            for k, total in enumerate(offset.tolist()):
+                for value, factor in zip(below, matrix[:, k].tolist(), strict=True):
+                    total = None if total is None or value is None else total + value * factor
+                units.append(total if at else 0.0 if total is None else max(0.0, total))
+            below = units
+            assert found[i][f"_layer_{at + 1}"] == below
+        assert sum(found[i]["_probabilities"]) == pytest.approx(1)
+    # A network without hidden layers has no result for such a row.
+    alone = models.PipelineModel(stages=network.network_stages(network.first_weights([5, 3], 1), [5, 3], "x"))
+    none = {r["i"] for r in alone.transform(frame).filter("prediction IS NULL").collect()}
+    assert none == {i for i in range(3000) if i % 97 == 5}
+    assert alone.transform(frame.limit(0)).count() == 0
+
+
+def test_rows_are_scaled_once_per_fold(rows, monkeypatch):
+    """Four points over two folds, and the best point on all rows: three scalings, not nine."""
+    calls, scaling = [], models.scaling_stage
+    monkeypatch.setattr(models, "scaling_stage", lambda train: calls.append(1) or scaling(train))
+    two = rows.filter("winner <> 'DRAW'")
+    grid = {"hidden": ((2,), (3,)), "alpha": (0.01, 0.1)}
+    done = models.grid_search_network(two, grid, folds=2, maxIter=2)
+    assert len(calls) == 3
+    one = models.search(two, models.train_network, {"hidden": ((3,),), "alpha": (0.1,)}, folds=2, maxIter=2).table.first()
+    same = next(r for r in done.table.collect() if r["settings"] == one["settings"])
+    # Tasks end in any order, so sums differ in their last digits.
+    assert same["fold_accuracy"] == pytest.approx(one["fold_accuracy"], abs=0.02)
