@@ -440,12 +440,30 @@ def _prefix_links(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     return both.mapInPandas(possible, "a long, b long")
 
 
-def _similar(links: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The links whose texts share ``SIMILAR`` of their shingles."""
-    one = links.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
-    both = one.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(shared >= F.lit(SIMILAR) * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+def _similar(links: DataFrame, texts_of: DataFrame, shingle: int) -> DataFrame:
+    """The links whose texts share ``SIMILAR`` of their shingles.
+
+    Texts travel, not their shingles: eight bytes a word that no codec makes smaller.
+    """
+    ready_for_python(links.sparkSession, 256)
+    one = links.join(texts_of.select(F.col("node").alias("a"), F.col("text").alias("_a")), "a")
+    both = one.join(texts_of.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
+
+    def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            # Rows of one node often follow each other.
+            sets: dict[int, np.ndarray] = {}
+            kept = np.zeros(len(frame), bool)
+            for i, row in enumerate(frame.itertuples(index=False, name=None)):
+                for node, text in zip(row[:2], row[2:], strict=True):
+                    if node not in sets:
+                        sets[node] = np.unique(shingle_hashes(text.encode("utf-8", "surrogatepass"), shingle))
+                x, y = sets[row[0]], sets[row[1]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
+            yield frame.loc[kept, ["a", "b"]]
+
+    return both.select("a", "b", "_a", "_b").mapInPandas(alike, "a long, b long")
 
 
 def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
@@ -497,11 +515,6 @@ def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
     )
     named = distinct.select("node", F.coalesce("first.doc_id", nothing).alias("_id"), F.col("first.md5").alias("_md5"), "first")
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), shingle)).view(np.int64) for t in frame.text]
-            yield pd.DataFrame({"node": frame.node, "shingles": found})
-
     def verified(links: DataFrame) -> DataFrame:
         """The links whose texts are alike, stored; texts are read again for the nodes of links alone."""
         links = stage(links, "copy_candidates")
@@ -511,9 +524,7 @@ def keep_one(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
         texts_of = keyed.select("_id", "_md5", F.coalesce("_row.text", F.lit("")).alias("text")).join(
             wanted, ["_id", "_md5"]
         ).dropDuplicates(["node"])
-        ready_for_python(spark, 256)
-        shingles = stage(texts_of.select("node", "text").mapInPandas(sets, "node long, shingles array<long>"), "copy_shingles")
-        return stage(_similar(links, shingles), "copy_links")
+        return stage(_similar(links, stage(texts_of.select("node", "text"), "copy_texts"), shingle), "copy_links")
 
     near = verified(_copy_links(distinct, distinct.count()))
     # Stored, so that prefixes need not travel to them while they are few.

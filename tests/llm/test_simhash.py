@@ -229,3 +229,19 @@ def test_hot_shingles_are_cut_without_loss(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         monkeypatch.setattr(simhash, "SEEN", seen)
         assert {r.doc_id for r in simhash.keep_one(frame).collect()} == expected
+
+
+def test_texts_of_links_decide(spark):
+    """Links between texts, of which some appear often, against plain sets."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[: 40 - i] + [f"x{i}"] * (i % 3))) for i in range(12)] + [(12, ""), (13, " \n"), (14, "A B"), (15, "a b")]
+    pairs = [(i, j) for i in range(16) for j in range(i + 1, 16)]
+    texts_of = spark.createDataFrame(rows, "node long, text string").repartition(2)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in rows}
+
+    def alike(x, y):
+        return len(x & y) >= 0.8 * len(x | y)
+
+    found = {(r.a, r.b) for r in simhash._similar(links, texts_of, 5).collect()}
+    assert found == {(i, j) for i, j in pairs if alike(sets[i], sets[j])} and 0 < len(found) < len(pairs)
