@@ -104,3 +104,23 @@ def test_three_class_query_trains_all_rounds(spark, monkeypatch):
     g = MagicMock(spark=spark, folder="whole rounds")
     queries._fitted(g, "softmax")
     assert [(s["maxIter"], s["maxDepth"]) for s in asked] == [(100, 8)]
+
+
+def test_grid_is_as_good_as_its_folds_say(spark, drawn, monkeypatch):
+    """Accuracy of every fold is that of trees fitted on the others; a depth alone has the same mean."""
+    rows = two(drawn).withColumnRenamed("id", "bout_id")
+    monkeypatch.setattr(models, "prepare_gbt", lambda train: (trees.binned(train, 2), []))
+    settings = {"maxIter": 3, "stepSize": 0.3}
+    best, table = models.grid_search(rows, depths=(1, 4), folds=3, **settings)
+    found = {r["max_depth"]: r["mean_accuracy"] for r in table.collect()}
+    dealt, shares = models.with_folds(rows, folds=3), []
+    for fold in range(3):
+        model = boosting.fit_two_class_trees(trees.binned(dealt.filter(F.col("fold") != fold), 2), [], maxDepth=4, **settings)
+        measured = model.transform(dealt.filter(F.col("fold") == fold)).select("label", "prediction").collect()
+        shares.append(sum(r["label"] == r["prediction"] for r in measured) / len(measured))
+    assert found[4] == pytest.approx(sum(shares) / 3) and found[4] > found[1]
+    alone = models.cross_val_score(rows, folds=3, maxDepth=4, **settings).first()["mean_accuracy"]
+    assert alone == pytest.approx(found[4])
+    assert best.stages[0].getOrDefault("classes") == 1
+    with pytest.raises(ValueError, match="fold 0 is empty|fold 1 is empty"):
+        models.grid_search(rows.filter("bout_id = 1"), depths=(1,), folds=2, **settings)
