@@ -96,6 +96,22 @@ def bare(name):
     return queries.QUERIES[name].__wrapped__
 
 
+def test_searches_train_all_rounds(monkeypatch):
+    """The settings of the library: 1,000 rounds, for three depths in the grid."""
+    seen = []
+
+    def fold_accuracies(train, depths, folds, parallelism, **settings):
+        seen.append((list(depths), folds, models.GBT | settings))
+        raise InterruptedError
+
+    monkeypatch.setattr(models, "_fold_accuracies", fold_accuracies)
+    monkeypatch.setattr(queries, "_train", lambda g: None)
+    for name in ("cross_val_score", "grid_search"):
+        with pytest.raises(InterruptedError):
+            bare(name)(None)
+    assert seen == [([3], 5, models.GBT), ([3, 8, 10], 5, models.GBT)] and models.GBT["maxIter"] == 1000
+
+
 def test_three_class_query_trains_all_rounds(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(queries, "_stored_dataset", lambda g: spark.range(1).selectExpr("id AS bout_id", "'Red' AS winner"))
