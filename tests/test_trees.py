@@ -122,6 +122,18 @@ def test_three_class_query_trains_all_rounds(spark, monkeypatch):
     assert [(s["maxIter"], s["maxDepth"]) for s in asked] == [(100, 8)]
 
 
+def test_full_refresh_query_leaves_models_their_settings(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(refresh, "full_refresh", lambda *a, **settings: asked.append(settings) or MagicMock())
+    monkeypatch.setattr(queries.fx, "last_day", lambda bouts: F.lit(datetime.date(2024, 1, 30)))
+    for name in ("bout_pages", "event_pages", "listing_pages", "linked_bouts", "aliases"):
+        monkeypatch.setattr(queries.fx, name, MagicMock())
+    monkeypatch.setattr(tables, "stage", MagicMock())
+    monkeypatch.setattr(queries.evaluate, "model_comparison", MagicMock())
+    bare("full_refresh")(MagicMock(spark=spark))
+    assert asked == [{}]
+
+
 def test_grid_is_as_good_as_its_folds_say(spark, drawn, monkeypatch):
     """Accuracy of every fold is that of trees fitted on the others; a depth alone has the same mean."""
     rows = two(drawn).withColumnRenamed("id", "bout_id")
