@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutlab.llm.common import ready_for_python
-from boutlab.sources.tables import stage
+from boutlab.sources.tables import remove, stage, stage_for_a_while
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,8 @@ class Settings:
     point to the node, meet in each round; rounds end when the share of neighbours that a round changed is
     at most ``settled``. ``trees`` random partitions into blocks of about
     ``block`` nodes give the first graph, each the ``first`` nearest of every node. A search keeps the best ``beam`` nodes and expands ``steps``
-    of them at each of at most ``hops``."""
+    of them at each of at most ``hops``. The vectors of at most ``together`` nodes and of all they meet are
+    shuffled at once, which says how much disk that takes, not what is found."""
 
     neighbours: int = 32
     sample: int = 16
@@ -32,6 +34,7 @@ class Settings:
     steps: int = 16
     hops: int = 6
     entries: int = 32
+    together: int = 200_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -96,8 +99,8 @@ def _top(scored: DataFrame, key: str, most: int) -> DataFrame:
     return scored.withColumn("place", best).filter(F.col("place") <= most).drop("place")
 
 
-def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
-    """(node, other, score) of the best neighbours inside the blocks of several random partitions.
+def first_graph(codes: DataFrame, settings: Settings) -> tuple[DataFrame, str]:
+    """(node, other, score), stored, and its path: the best neighbours inside the blocks of several random partitions.
 
     A partition puts nodes on the same sides of random hyperplanes together; what is still above the
     block size, such as a dense cluster, is dealt to several blocks by hash.
@@ -118,15 +121,14 @@ def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
             found.append(bits @ (1 << np.arange(planes, dtype=np.int64)))
         return pd.Series(list(np.stack(found, axis=1)))
 
-    placed = codes.select("node", "code", F.posexplode(sides("code")).alias("tree", "side"))
-    placed = stage(placed, "blocks")
+    spark = codes.sparkSession
+    placed, path = stage_for_a_while(codes.select("node", "code", F.posexplode(sides("code")).alias("tree", "side")), "blocks")
     sizes = placed.groupBy("tree", "side").agg(F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / F.lit(2.0 * block)).cast("int")
     dealt = placed.join(sizes.select("tree", "side", parts.alias("parts")), ["tree", "side"]).select(
-        F.xxhash64("tree", "side", F.pmod(F.xxhash64("node", "tree"), F.col("parts"))).alias("block"), "node", "code"
+        "tree", F.xxhash64("tree", "side", F.pmod(F.xxhash64("node", "tree"), F.col("parts"))).alias("block"), "node", "code"
     )
-    shuffles = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = dealt.repartition(shuffles, "block").sortWithinPartitions("block")
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A near node is among the first of any block it shares.
     most = settings.first
 
@@ -149,8 +151,22 @@ def first_graph(codes: DataFrame, settings: Settings) -> DataFrame:
                     }
                 )
 
-    found = gathered.mapInPandas(run, "node long, other long, score float").distinct()
-    return _top(found, "node", settings.neighbours)
+    # Some partitions at a time; the best of all are among the best of each.
+    some = max(1, trees * settings.together // count)
+    best = []
+    for at in range(0, trees, some):
+        own = dealt.filter((F.col("tree") >= at) & (F.col("tree") < at + some)).drop("tree")
+        gathered = own.repartition(shuffles, "block").sortWithinPartitions("block")
+        found = gathered.mapInPandas(run, "node long, other long, score float").distinct()
+        best.append(stage_for_a_while(_top(found, "node", settings.neighbours), "graph"))
+    remove(spark, path)
+    if len(best) == 1:
+        return best[0]
+    both = functools.reduce(DataFrame.unionByName, [x for x, _ in best]).distinct()
+    whole = stage_for_a_while(_top(both, "node", settings.neighbours), "graph")
+    for _, path in best:
+        remove(spark, path)
+    return whole
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,20 +199,23 @@ def _meeting(graph: DataFrame, sample: int) -> DataFrame:
     return meeting.groupBy("node", "meets").agg(F.max("new").alias("new"))
 
 
-def descend(codes: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame:
-    """One graph better than the last: neighbours of a node are proposed to each other."""
+def descend(codes: DataFrame, graph: DataFrame, settings: Settings) -> tuple[DataFrame, str]:
+    """One graph better than the last, stored, and its path: neighbours of a node are proposed to each other."""
     spark = codes.sparkSession
     ready_for_python(spark, 1024)
-    meeting = _meeting(graph, settings.sample)
+    meeting, path = stage_for_a_while(_meeting(graph, settings.sample), "meeting")
+    held = [path]
     worst = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n"))
     full = F.when(F.col("n") >= settings.neighbours, F.col("worst")).otherwise(F.lit(-9.0)).cast("float")
     floors = codes.join(worst, "node", "left").select(F.col("node").alias("meets"), "code", full.alias("floor"))
-    groups = meeting.join(floors, "meets").groupBy("node").agg(
-        F.collect_list(F.struct("meets", "new", "code", "floor")).alias("all")
-    )
-    flat = groups.select("all.meets", "all.new", "all.code", "all.floor")
     best = 6
 
+    def gathered(some: DataFrame) -> DataFrame:
+        groups = some.join(floors, "meets").groupBy("node").agg(
+            F.collect_list(F.struct("meets", "new", "code", "floor")).alias("all")
+        )
+        return groups.select("all.meets", "all.new", "all.code", "all.floor")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found: list[tuple] = []
@@ -218,8 +237,15 @@ def descend(codes: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame
                 node, other, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pd.DataFrame({"node": node, "other": other, "score": score})
 
-    proposed = flat.mapInPandas(run, "node long, other long, score float")
-    fresh = proposed.groupBy("node", "other").agg(F.max("score").alias("score")).withColumn("new", F.lit(True))
+    kind, proposed = "node long, other long, score float", []
+    parts = max(1, -(-codes.count() // settings.together))
+    for part in range(parts):
+        some = meeting.filter(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(parts)) == part) if parts > 1 else meeting
+        best_of = gathered(some).mapInPandas(run, kind).groupBy("node", "other").agg(F.max("score").alias("score"))
+        found, path = stage_for_a_while(best_of, "proposed")
+        proposed.append(found)
+        held.append(path)
+    fresh = functools.reduce(DataFrame.unionByName, proposed).withColumn("new", F.lit(True))
     # A neighbour that has met the others of its node is old from now on.
     met = meeting.filter("new").select("node", F.col("meets").alias("other"), F.lit(True).alias("met"))
     kept = graph.join(met, ["node", "other"], "left").select(
@@ -228,21 +254,29 @@ def descend(codes: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame
     merged = kept.unionByName(fresh).groupBy("node", "other").agg(
         F.max("score").alias("score"), F.min("new").alias("new")
     )
-    return _top(merged, "node", settings.neighbours)
+    found = stage_for_a_while(_top(merged, "node", settings.neighbours), "graph")
+    for path in held:
+        remove(spark, path)
+    return found
 
 
 def build_graph(codes: DataFrame, settings: Settings) -> DataFrame:
     """(node, near): the neighbours of every node in the graph, and some of those it is one of."""
-    graph = stage(first_graph(codes, settings).withColumn("new", F.lit(True)), "graph")
-    changed = 1.0
+    spark = codes.sparkSession
+    graph, path = first_graph(codes, settings)
+    graph, changed = graph.withColumn("new", F.lit(True)), 1.0
     while changed > settings.settled:
-        before, graph = graph, stage(descend(codes, graph, settings), "graph")
+        before, last = graph, path
+        graph, path = descend(codes, graph, settings)
         fresh = graph.join(before.select("node", "other"), ["node", "other"], "left_anti").count()
         changed = fresh / max(1, graph.count())
+        remove(spark, last)
     ahead = graph.select("node", "other")
     back = _meeting(graph.withColumn("new", F.lit(False)), settings.sample).select("node", F.col("meets").alias("other"))
     both = ahead.unionByName(back).distinct()
-    return stage(both.groupBy("node").agg(F.collect_list("other").alias("near")), "graph")
+    near = stage(both.groupBy("node").agg(F.collect_list("other").alias("near")), "graph")
+    remove(spark, path)
+    return near
 
 
 def _entries(codes: DataFrame, most: int) -> list[int]:
@@ -268,7 +302,7 @@ def greedy_search(queries: DataFrame, codes: DataFrame, graph: DataFrame, settin
         F.array_distinct(F.concat("start", entries)).alias("ask"),
         F.expr("cast(array() AS array<bigint>)").alias("seen"),
     )
-    state = stage(state, "search")
+    state, path = stage_for_a_while(state, "search")
 
     @F.pandas_udf("float")
     def inner(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -300,7 +334,9 @@ def greedy_search(queries: DataFrame, codes: DataFrame, graph: DataFrame, settin
                 ),
             ),
         )
-        opened = stage(opened, "search")
+        last = path
+        opened, path = stage_for_a_while(opened, "search")
+        remove(spark, last)
         if hop == settings.hops or opened.filter(F.size("expand") > 0).isEmpty():
             return opened.select("query", "beam")
         around = (
@@ -310,13 +346,15 @@ def greedy_search(queries: DataFrame, codes: DataFrame, graph: DataFrame, settin
             .groupBy("query")
             .agg(F.collect_set("near").alias("near"))
         )
-        state = stage(
+        last = path
+        state, path = stage_for_a_while(
             opened.drop("expand")
             .join(around, "query", "left")
             .withColumn("ask", F.coalesce(F.array_except("near", "seen"), F.expr("cast(array() AS array<bigint>)")))
             .drop("near"),
             "search",
         )
+        remove(spark, last)
     raise AssertionError("the loop returns")
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from boutlab.llm import nn_descent
 from boutlab.llm.nn_descent import Settings, search
+from boutlab.sources import tables
 
 
 def _exact(ids, vectors, query, most=20):
@@ -85,3 +86,22 @@ def test_rounds_go_on_until_the_graph_settles(spark, monkeypatch):
     settings = Settings(block=16, trees=3, first=2)
     recall, _ = _recall(search(table, F.col("vec_id") % 20 == 0, settings=settings).collect(), list(range(1500)), vectors)
     assert len(rounds) > 2 and recall >= 0.9
+
+
+def test_parts_find_the_same_and_leave_little(spark, monkeypatch, tmp_path):
+    """Shuffles of a few nodes at a time change nothing, and tables of former rounds and hops are removed."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(700, 6)).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    paths = iter(range(10_000))
+    monkeypatch.setattr(tables, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{next(paths)}")
+    found, gathers = [], []
+    for together in (200_000, 250):
+        settings = Settings(block=32, trees=6, first=4, together=together)
+        found.append(sorted(search(table, F.col("vec_id") % 20 == 0, settings=settings).collect()))
+        gathers.append(next(paths))
+    assert found[0] == found[1] and len(found[0]) == 700
+    # More tables are written in parts, and of each kind one stays.
+    assert gathers[1] - gathers[0] > gathers[0]
+    kinds = sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
+    assert kinds == sorted(2 * ["vectors", "vector_nodes", "vector_codes", "graph", "queries", "search"])
